@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from protomill.plans import item_queries, match_queries, metric_queries, record_queries, step_queries, text_queries  # noqa: F401  they register their queries
+from protomill.plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP = "select_windows"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
