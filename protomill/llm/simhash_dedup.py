@@ -194,7 +194,6 @@ def links(nodes: DataFrame, lanes: int, max_bits: int, all_bits: int | None = No
 
     ``nodes`` has n (the node's id), f0, ... and shingles.
     """
-    spark = nodes.sparkSession
     total = nodes.count()
     sample = [r[0] for r in nodes.orderBy(F.xxhash64("f0"), "f0").limit(SAMPLE).select("f0").collect()]  # SAMPLE rows at most
     tree = VantageTree(np.array(sample, dtype=np.int64).view(np.uint64), total, max_bits)
@@ -222,7 +221,7 @@ def links(nodes: DataFrame, lanes: int, max_bits: int, all_bits: int | None = No
             home, who, where = tree.route(prints)
             band = bands(pdf["shingles"].to_numpy())
             mixed = (prints * _M1) ^ ((prints * _M2) >> np.uint64(32))
-            count = np.array([blocks[b, h] for b, h in zip(band.tolist(), home.tolist(), strict=True)])
+            count = np.array([blocks[k] for k in zip(band.tolist(), home.tolist(), strict=True)])
             own = ((mixed >> np.uint64(20)) % count.astype(np.uint64)).astype(np.int64)
             parts = [(np.arange(len(pdf)), band, home, own, np.ones(len(pdf), dtype=bool))]
 
@@ -239,22 +238,28 @@ def links(nodes: DataFrame, lanes: int, max_bits: int, all_bits: int | None = No
             if ratio:
                 b = band[who] + 1
                 visit(who, b, where, np.array([blocks.get(k, 0) for k in zip(b.tolist(), where.tolist(), strict=True)], dtype=np.int64))
-            index, b, leaf, block, at_home = (np.concatenate(x) for x in zip(*parts, strict=True))
-            out = pdf[["n", *names, "shingles"]].iloc[index].reset_index(drop=True)
-            yield out.assign(band=b.astype(np.int32), leaf=leaf.astype(np.int32), block=block.astype(np.int32), home=at_home)
+            index, *place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            # what goes to one shard from here travels as one row of arrays
+            order = np.lexsort(place[::-1])
+            index, place = index[order], [x[order] for x in place]
+            new = np.ones(len(index), dtype=bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in place], axis=0)
+            first = np.nonzero(new)[0]
+            packed = {c: np.split(pdf[c].to_numpy()[index], first[1:]) for c in ("n", *names, "shingles")}
+            yield pd.DataFrame(packed | {c: x[first] for c, x in zip(("band", "leaf", "block", "home"), place, strict=True)})
 
     kind = dict(nodes.dtypes)["n"]
-    whole = f"n {kind}, " + ", ".join(f"f{i} long" for i in range(lanes)) + ", shingles long, band int, leaf int, block int, home boolean"
+    whole = f"n array<{kind}>, " + ", ".join(f"f{i} array<long>" for i in range(lanes)) + ", shingles array<long>, band int, leaf int, block int, home boolean"
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.ascontiguousarray(pdf[[f"f{i}" for i in range(lanes)]].to_numpy(dtype=np.int64)).view(np.uint64)
-        sizes = pdf["shingles"].to_numpy() if ratio else None
-        member, root = forest(values, pdf["home"].to_numpy(), sizes, max_bits, all_bits if all_bits is not None else 64 * lanes, ratio or 0.0)
-        n = pdf["n"].to_numpy()
+        joined = lambda c: np.concatenate([np.asarray(x) for x in pdf[c]])
+        values = np.stack([joined(f"f{i}") for i in range(lanes)], axis=1).astype(np.int64).view(np.uint64)
+        home = np.repeat(pdf["home"].to_numpy(), [len(x) for x in pdf["n"]])
+        member, root = forest(values, home, joined("shingles") if ratio else None, max_bits, all_bits if all_bits is not None else 64 * lanes, ratio or 0.0)
+        n = joined("n")
         return pd.DataFrame({"a": n[member], "b": n[root]})
 
     dealt = nodes.select("n", *[f"f{i}" for i in range(lanes)], "shingles").mapInPandas(deal, whole)
-    del spark
     return dealt.groupBy("band", "leaf", "block").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
