@@ -78,10 +78,12 @@ def map_texts(
     """Columns ``keep`` of every row, and columns computed from its whole text (null: empty).
 
     ``make`` runs once in each task and returns a function from a list of texts to one list of values
-    for each new column.  ``schema`` is the DDL of the new columns.
+    for each new column.  ``schema`` is the DDL of the new columns; a kept column with the name of one is replaced.
     """
+    new = {name for name, _ in new_fields(schema)}
+    keep = [c for c in keep if c not in new]
     chosen = df.select(*keep, F.col(text_col).alias("__text"))
-    run = _mapper(len(keep), [f"{c}" for c in keep], new_fields(schema), make)
+    run = _mapper(len(keep), keep, new_fields(schema), make)
     return chosen.mapInArrow(run, with_fields(chosen, len(keep), schema))
 
 
@@ -106,3 +108,12 @@ def _mapper(kept: int, names: list[str], fields: list[tuple[str, pa.DataType]],
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *[name for name, _ in fields]])
 
     return run
+
+
+def numbered(df: DataFrame, named: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns renamed to c0, c1, ... but for those ``named``, and the new names in order.
+
+    Lets an operator add columns of its own to a table whose other columns may have any names.
+    """
+    new = [c if c in named else f"__c{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*new), new
