@@ -63,7 +63,7 @@ def dedupe_items(df: DataFrame, id_col: str, pos_col: str, name: str = "name", v
 def upper_median(c: Column) -> Column:
     """The element at half the count of the sorted values, as ``sorted(x)[len(x) // 2]``.
 
-    An exact percentile by counting: the values' frequencies are aggregated, so a group's buffer holds its distinct values.
+    An aggregate that collects a group's values, for groups known to be small; upper_medians() counts instead.
     """
     return F.element_at(F.sort_array(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))
 

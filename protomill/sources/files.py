@@ -20,9 +20,9 @@ def tolerant_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The malformed lines, as text."""
     whole = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_corrupt_record", T.StringType())])
-    # the reader refuses plans that ask for nothing but the corrupt column
     read = spark.read.schema(whole).option("mode", "PERMISSIVE").json(path)
-    return read.where(F.col("_corrupt_record").isNotNull()).select(*read.columns).select("_corrupt_record") if len(whole) > 1 else read
+    # the reader refuses plans that ask for nothing but the corrupt column, so all columns are read first
+    return read.select(F.struct(*read.columns).alias("r")).where("r._corrupt_record is not null").select("r._corrupt_record")
 
 
 def whole_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -32,7 +32,7 @@ def whole_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def pages(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:
     """(name, text) of files, a row for each; the name has no folder and no suffix."""
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    read = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
     return read.select(name.alias("name"), F.col("value").alias("text"))
 

@@ -87,11 +87,11 @@ def paged_source(name: str, schema: str, fetch_for: Callable[[str], Fetch]) -> t
         def schema(self) -> str:
             return schema
 
-        def reader(self, _schema: object) -> DataSourceReader:
+        def reader(self, schema: object) -> DataSourceReader:
             limit = self.options.get("limit")
             return _Reader(self.options.get("queries", "").split("\n"), fetch_for, int(limit) if limit else None)
 
-        def simpleStreamReader(self, _schema: object) -> SimpleDataSourceStreamReader:
+        def simpleStreamReader(self, schema: object) -> SimpleDataSourceStreamReader:
             return _Stream(fetch_for(self.options.get("queries", "")))
 
     return Paged
