@@ -82,8 +82,10 @@ def map_texts(
     """
     new = {name for name, _ in new_fields(schema)}
     keep = [c for c in keep if c not in new]
-    chosen = df.select(*keep, F.col(text_col).alias("__text"))
-    run = _mapper(len(keep), keep, new_fields(schema), make)
+    # a text that is kept crosses to Python once
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    chosen = df.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("__text")]))
+    run = _mapper(at, keep, new_fields(schema), make)
     return chosen.mapInArrow(run, with_fields(chosen, len(keep), schema))
 
 
@@ -98,12 +100,12 @@ def new_fields(schema: str) -> list[tuple[str, pa.DataType]]:
     return [(f.name, kinds[f.dataType.simpleString()]) for f in T.StructType.fromDDL(schema).fields]
 
 
-def _mapper(kept: int, names: list[str], fields: list[tuple[str, pa.DataType]], make: Callable) -> Callable:
+def _mapper(text_at: int, names: list[str], fields: list[tuple[str, pa.DataType]], make: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for part in slices(batches, kept):
-            texts = [x or "" for x in part.column(kept).to_pylist()]
-            columns = [part.column(i) for i in range(kept)]
+        for part in slices(batches, text_at):
+            texts = [x or "" for x in part.column(text_at).to_pylist()]
+            columns = [part.column(i) for i in range(len(names))]
             columns += [pa.array(values, type=kind) for values, (_, kind) in zip(work(texts), fields, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *[name for name, _ in fields]])
 

@@ -96,7 +96,7 @@ def fit(vectors: DataFrame, centroids: int) -> MultiIndex | None:
 
 
 def nearest(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, centroids: int = 32, share: float = 0.5, block_rows: int = 2048
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, centroids: int = 32, share: float = 0.6, block_rows: int = 2048
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` largest inner products found for every query.
 

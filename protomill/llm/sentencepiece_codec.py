@@ -26,8 +26,10 @@ from protomill.llm.common import map_texts
 
 #: The mark that stands for a space inside pieces.
 MARK = "▁"
-#: Words that one Python worker remembers (about 200 bytes each); then it starts anew.
-MEMORY_WORDS = 600_000
+#: Words that one Python worker remembers (about 150 bytes each); then it starts anew.
+MEMORY_WORDS = 500_000
+#: Symbols up to which the agenda is a plain list, and a heap beyond.
+SHORT = 48
 
 
 class MergeVocabulary:
@@ -69,33 +71,49 @@ class MergeVocabulary:
 
     def merge(self, symbols: str) -> list[int]:
         """Ids of a text in which spaces are marks already."""
-        rank = self.rank
-        parts = list(symbols)
-        n = len(parts)
-        agenda = [(rank[p], i, i + 1, p) for i, p in enumerate(map(str.__add__, parts, parts[1:])) if p in rank]
-        if agenda:
-            before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-            heapify(agenda)
-            while agenda:
-                _, left, right, piece = heappop(agenda)
-                if after[left] != right or parts[left] + parts[right] != piece:
-                    continue  # one of the two was merged meanwhile
-                parts[left], parts[right] = piece, ""
-                nxt = after[left] = after[right]
-                after[right] = -2
-                if nxt >= 0:
-                    before[nxt] = left
-                    if (p := piece + parts[nxt]) in rank:
-                        heappush(agenda, (rank[p], left, nxt, p))
-                prev = before[left]
-                if prev >= 0 and (p := parts[prev] + piece) in rank:
-                    heappush(agenda, (rank[p], prev, left, p))
-            parts = [p for p in parts if p]
+        parts = self._merge_short(list(symbols)) if len(symbols) <= SHORT else self._merge_long(list(symbols))
         try:
             return [self.id_of[p] for p in parts]
         except KeyError:
             return self._with_bytes(parts)
 
+    def _merge_short(self, parts: list[str]) -> list[str]:
+        """The agenda as a list of the pairs' ranks, whose smallest (leftmost among equals) is next."""
+        rank, none = self.rank.get, float("inf")
+        agenda = [rank(p, none) for p in map(str.__add__, parts, parts[1:])]
+        while agenda and (best := min(agenda)) != none:
+            i = agenda.index(best)
+            piece = parts[i] + parts[i + 1]
+            parts[i : i + 2] = [piece]
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(piece + parts[i + 1], none)
+            if i:
+                agenda[i - 1] = rank(parts[i - 1] + piece, none)
+        return parts
+
+    def _merge_long(self, parts: list[str]) -> list[str]:
+        """The agenda as a heap."""
+        rank, n = self.rank, len(parts)
+        agenda = [(rank[p], i, i + 1, p) for i, p in enumerate(map(str.__add__, parts, parts[1:])) if p in rank]
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heapify(agenda)
+        while agenda:
+            _, left, right, piece = heappop(agenda)
+            if after[left] != right or parts[left] + parts[right] != piece:
+                continue  # one of the two was merged meanwhile
+            parts[left], parts[right] = piece, ""
+            nxt = after[left] = after[right]
+            after[right] = -2
+            if nxt >= 0:
+                before[nxt] = left
+                if (p := piece + parts[nxt]) in rank:
+                    heappush(agenda, (rank[p], left, nxt, p))
+            prev = before[left]
+            if prev >= 0 and (p := parts[prev] + piece) in rank:
+                heappush(agenda, (rank[p], prev, left, p))
+        return [p for p in parts if p]
+
     def _with_bytes(self, parts: list[str]) -> list[int]:
         """Ids of symbols some of which have no piece."""
         ids: list[int] = []
@@ -176,11 +194,8 @@ class Codec:
     def __init__(self, model_path: str, check: bool = True):
         self.vocabulary = MergeVocabulary(model_path)
         self.check = check
-        self.known: dict[str, tuple[str, int, str]] = {}
-
-    def _entry(self, word: str, ids: list[int]) -> tuple[str, int, str]:
-        decoded = self.vocabulary.decode(ids)
-        return " ".join(map(str, ids)), len(ids), word if decoded == word else decoded
+        self.known: dict[str, str] = {}  # ids of a word, decimal and joined by spaces
+        self.odd: dict[str, str] = {}  # what such a word is decoded to, where that isn't the word
 
     def _words(self, text: str) -> list[str]:
         """The text cut before each run of spaces; each word stands for one space mark and itself."""
@@ -206,16 +221,19 @@ class Codec:
         known, vocabulary = self.known, self.vocabulary
         if len(known) > MEMORY_WORDS:
             known.clear()
-        new = list({w for words in split for w in words if w not in known})
+            self.odd.clear()
+        new = list(set().union(*split).difference(known))
         encoded = [vocabulary.encode(w) if w else vocabulary.merge(MARK) for w in new]
         for w, ids in zip(new, encoded, strict=True):
-            known[w] = self._entry(w, ids)
+            known[w] = " ".join(map(str, ids))
+            if (decoded := vocabulary.decode(ids)) != w:
+                self.odd[w] = decoded
         out = []
         end = str(vocabulary.end)
         for words in split:
-            found = [known[w] for w in words]
-            ids = " ".join([*[f[0] for f in found], end])
-            out.append((sum([f[1] for f in found]) + 1, ids, " ".join([f[2] for f in found])))
+            ids = " ".join([*map(known.__getitem__, words), end])
+            decoded = " ".join([self.odd.get(w, w) for w in words] if self.odd else words)
+            out.append((ids.count(" ") + 1, ids, decoded))
         if self.check:
             self._compare(new, encoded, texts, out)
         return out
@@ -225,7 +243,8 @@ class Codec:
         some = [(w, ids) for w, ids in zip(new, encoded, strict=True) if w]
         if some:
             words, ours = [w for w, _ in some], [ids for _, ids in some]
-            if library.encode(words, num_threads=1) != ours or library.decode(ours, num_threads=1) != [self.known[w][2] for w in words]:
+            decoded = [self.odd.get(w, w) for w in words]
+            if library.encode(words, num_threads=1) != ours or library.decode(ours, num_threads=1) != decoded:
                 raise RuntimeError("the encoder and the sentencepiece library differ on a word")
         if texts:
             at = min(range(len(texts)), key=lambda i: (not texts[i], len(texts[i])))

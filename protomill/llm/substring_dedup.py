@@ -176,7 +176,9 @@ def duplicate_windows(keyed: DataFrame, window: int = 35, gram: int = GRAM) -> D
     blocks = stored(keyed.mapInArrow(_blocks(window, gram), "g long, b long, d long, k long, at int, n int"), "blocks")
     # grams of two occurrences at least; mixed: in different blocks
     grams = blocks.groupBy("g").agg(F.count("*").alias("c"), F.min("b").alias("lo"), F.max("b").alias("hi")).where("c > 1")
-    met = blocks.join(grams.select("g", (F.col("lo") != F.col("hi")).alias("mixed")), "g")
+    # stored, so that both sides of the join are plain shuffles, of which adaptive execution splits the one of a hot gram
+    grams = stored(grams.select("g", (F.col("lo") != F.col("hi")).alias("mixed")), "grams")
+    met = blocks.join(grams, "g")
     met = stored(met.select("g", "b", "d", "k", "at", "n", "mixed"), "met")
     mixed = met.where("mixed")
     one = F.min(F.struct("d", "k", "at", "n")).alias("one")
@@ -224,13 +226,20 @@ def remove_duplicates(
 ) -> DataFrame:
     """``keep`` and n_words, n_removed and kept_sha256 of every row; with ``texts`` also kept_text.
 
+    A kept column with the name of a new one is replaced.
+
     ``kept_text`` is the unchanged text where no word goes, else the kept words joined by single spaces.
     """
-    keyed = document_keys(df, text_col, id_col).withColumn("__text", F.col(text_col))
+    schema = "n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
+    new = [name for name, _ in new_fields(schema)]
+    keep = [c for c in keep if c not in new]
+    plain = df.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)], F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    keyed = document_keys(plain, "__text", "__id")
     runs = duplicate_windows(keyed.select("__d", "__k", "__text"), window, gram)
     # a set, since a row that repeats with its id brings its runs again; as long as a document at most
     by_doc = runs.groupBy("d", "k").agg(F.collect_set(F.struct("at", "n")).alias("__runs"))
     on = (F.col("__d") == F.col("d")) & (F.col("__k") == F.col("k"))
-    whole = keyed.select(*keep, "__text", "__d", "__k").join(by_doc, on, "left").select(*keep, "__text", "__runs")
-    schema = "n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return whole.mapInArrow(_remove(window, keep, new_fields(schema)), with_fields(whole, len(keep), schema))
+    held = [f"__c{i}" for i in range(len(keep))]
+    whole = keyed.join(by_doc, on, "left").select(*held, "__text", "__runs")
+    out = whole.mapInArrow(_remove(window, held, new_fields(schema)), with_fields(whole, len(keep), schema))
+    return out.toDF(*keep, *new)

@@ -37,7 +37,7 @@ CHUNK_CHARS = 16_384
 #: Characters that two chunks share at first.
 OVERLAP_CHARS = 256
 #: Words that one Python worker remembers; then it starts anew.
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 500_000
 _WORD = re.compile(r"[^ \n\t\r]+")
 
 
