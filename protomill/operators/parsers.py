@@ -1,7 +1,8 @@
 """Parsers of article sources: each turns a column of XML or HTML into one common record.
 
-A parser is a function from a text column to a struct of metadata, materials and steps, made of native expressions; only the
-search for balanced sections runs in Python, in Arrow batches.  register() adds one under a name, parse() applies it.
+A parser is a function of a text column and its sections to metadata, materials and steps, made of native expressions; only the
+search for balanced sections runs in Python, in Arrow batches, once for all titles that a parser asks for.  register() adds one
+under a name, parse() applies it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from protomill.functions import fixed_values as V
 from protomill.functions import text as X
 from protomill.operators import extract as E
 
-REGISTRY: dict[str, Callable[[Column], dict[str, Column]]] = {}
+Parser = Callable[[Column, "Sections"], dict[str, Column]]
+REGISTRY: dict[str, Parser] = {}
 #: Kinds of the columns that parsers fill, in the order of the record.
 RECORD = {
     "doi": "string",
@@ -33,28 +35,45 @@ RECORD = {
 
 
 def register(name: str) -> Callable:
-    def add(f: Callable[[Column], dict[str, Column]]) -> Callable[[Column], dict[str, Column]]:
+    def add(f: Parser) -> Parser:
         REGISTRY[name] = f
         return f
 
     return add
 
 
+class Sections:
+    """The sections of a text by title; the titles asked for are noted, so that one UDF can find them all."""
+
+    def __init__(self, found: Column | None = None):
+        self.titles: dict[str, int] = {}
+        self.found = found
+
+    def all(self, title: str) -> Column:
+        """Bodies of all sections with the title."""
+        at = self.titles.setdefault(title, len(self.titles))
+        return F.get(self.found, at) if self.found is not None else F.array().cast("array<string>")
+
+    def first(self, *titles: str) -> Column:
+        """The body of the first section with one of the titles, the titles in order; empty if none."""
+        return F.coalesce(*[F.nullif(F.get(self.all(t), 0), F.lit("")) for t in titles], F.lit(""))
+
+
 def parse(pages: DataFrame, source: str, text_col: str, keep: list[str]) -> DataFrame:
     """``keep``, source and the columns of RECORD (missing ones empty)."""
-    found = REGISTRY[source](F.col(text_col))
+    asked = Sections()
+    REGISTRY[source](F.col(text_col), asked)
+    rows = pages.select(*keep, F.col(text_col).alias("__xml"))
+    if asked.titles:
+        rows = rows.withColumn("__sections", E.all_sections(list(asked.titles))("__xml"))
+    found = REGISTRY[source](F.col("__xml"), Sections(F.col("__sections") if asked.titles else None))
     empty = {k: F.array() if kind.startswith("array") else F.lit("") for k, kind in RECORD.items()}
-    return pages.select(*keep, F.lit(source).alias("source"), *[(found.get(k, empty[k])).cast(kind).alias(k) for k, kind in RECORD.items()])
-
-
-def _first(x: Column, *titles: str) -> Column:
-    """The body of the first section with one of the titles, empty if none."""
-    return F.coalesce(*[F.nullif(F.try_element_at(E.sections(t)(x), F.lit(1)), F.lit("")) for t in titles], F.lit(""))
+    return rows.select(*keep, F.lit(source).alias("source"), *[(found.get(k, empty[k])).cast(kind).alias(k) for k, kind in RECORD.items()])
 
 
 def _steps(items: Column, section: Column | str = "") -> Column:
     title = F.lit(section) if isinstance(section, str) else section
-    return F.transform(items, lambda s: F.struct(s["num"].alias("step_no"), F.left(s["text"], F.lit(2000)).alias("text"), title.alias("section")))
+    return F.transform(items, lambda i: F.struct(i["num"].alias("step_no"), F.left(i["text"], F.lit(2000)).alias("text"), title.alias("section")))
 
 
 def _cascade(*options: Column) -> Column:
@@ -92,16 +111,16 @@ def _materials(body: Column, reagents: Column, fewest: int = 1, limit: int = 500
 
 
 @register("bioprot")
-def bioprot(x: Column) -> dict[str, Column]:
-    materials, procedure = _first(x, "Materials and reagents", "Materials"), _first(x, "Procedure")
+def bioprot(x: Column, s: Sections) -> dict[str, Column]:
+    materials, procedure = s.first("Materials and reagents", "Materials"), s.first("Procedure")
     reagents = E.entities(materials)
     steps = _cascade(_steps(E.list_items(procedure)), _subsections(procedure), _paragraph_steps(procedure))
-    return E.metadata(x) | {"reagents": reagents, "equipment": E.entities(_first(x, "Equipment")), "materials_raw": _materials(materials, reagents), "steps": steps}
+    return E.metadata(x) | {"reagents": reagents, "equipment": E.entities(s.first("Equipment")), "materials_raw": _materials(materials, reagents), "steps": steps}
 
 
-def _krt(x: Column) -> tuple[Column, Column]:
+def _krt(s: Sections) -> tuple[Column, Column]:
     """Reagents and equipment of the key resources table, without the categories that only names of devices decide."""
-    rows = F.filter(E.table_rows(_first(x, "Key resources table")), lambda r: (F.size(r) >= 3) & (F.get(r, 0) != "") & ~F.contains(F.upper(F.get(r, 0)), F.lit("REAGENT")))
+    rows = F.filter(E.table_rows(s.first("Key resources table")), lambda r: (F.size(r) >= 3) & (F.get(r, 0) != "") & ~F.contains(F.upper(F.get(r, 0)), F.lit("REAGENT")))
     filled = F.filter(rows, lambda r: F.size(F.filter(r, lambda c: c != "")) > 1)
     items = F.transform(filled, lambda r: F.struct(F.get(r, 0).alias("name"), F.get(r, 1).alias("vendor"), F.get(r, 2).alias("catalog_id")))
     device = lambda i: F.lower(i["name"]).rlike("|".join(V.EQUIPMENT_WORDS))
@@ -109,19 +128,19 @@ def _krt(x: Column) -> tuple[Column, Column]:
 
 
 @register("star")
-def star(x: Column) -> dict[str, Column]:
-    reagents, equipment = _krt(x)
-    body = _first(x, "Step-by-step method details")
+def star(x: Column, s: Sections) -> dict[str, Column]:
+    reagents, equipment = _krt(s)
+    body = s.first("Step-by-step method details")
     steps = _cascade(_subsections(body), _steps(E.list_items(body)))
-    materials = _materials(_first(x, "Materials and equipment"), reagents, fewest=5)
-    timing = F.left(X.strip_tags(_first(x, "Timing")), F.lit(500))
+    materials = _materials(s.first("Materials and equipment"), reagents, fewest=5)
+    timing = F.left(X.strip_tags(s.first("Timing")), F.lit(500))
     return E.metadata(x) | {"reagents": reagents, "equipment": equipment, "materials_raw": materials, "steps": steps, "timing": timing}
 
 
 @register("jove")
-def jove(x: Column) -> dict[str, Column]:
-    body = _first(x, "Protocol", "Procedure", "Methods?")
-    rows = E.table_rows(_first(x, "Table of [Mm]aterials", "Materials", "Reagents(?: and equipment)?"))
+def jove(x: Column, s: Sections) -> dict[str, Column]:
+    body = s.first("Protocol", "Procedure", "Methods?")
+    rows = E.table_rows(s.first("Table of [Mm]aterials", "Materials", "Reagents(?: and equipment)?"))
     data = F.filter(rows, lambda r: (F.size(r) >= 2) & (F.get(r, 0) != "") & ~F.lower(F.get(r, 0)).rlike("^name|material"))
     items = F.transform(data, lambda r: F.struct(F.get(r, 0).alias("name"), F.get(r, 1).alias("vendor"), F.coalesce(F.get(r, 2), F.lit("")).alias("catalog_id")))
     device = lambda i: F.lower(i["name"]).rlike("|".join(V.EQUIPMENT_WORDS))
@@ -131,39 +150,39 @@ def jove(x: Column) -> dict[str, Column]:
 
 
 @register("curprot")
-def curprot(x: Column) -> dict[str, Column]:
-    bodies = E.sections("Materials", first_only=False)(x)
+def curprot(x: Column, s: Sections) -> dict[str, Column]:
+    bodies = s.all("Materials")
     items = F.flatten(F.transform(bodies, lambda b: E.entities(b)))
     device = lambda i: F.lower(i["name"]).rlike("|".join(V.EQUIPMENT_WORDS))
     reagents = F.filter(items, lambda i: ~device(i))
-    steps = F.filter(_steps(E.list_items(x, shortest=10)), lambda s: s["step_no"].rlike("^[0-9]"))
+    steps = F.filter(_steps(E.list_items(x, shortest=10)), lambda i: i["step_no"].rlike("^[0-9]"))
     raw = F.array_join(F.transform(bodies, X.strip_tags), "\n")
     materials = F.when(F.length(raw) < 150, _listed(reagents, 8000)).otherwise(F.left(raw, F.lit(8000)))
     return E.metadata(x) | {"reagents": reagents, "equipment": F.filter(items, device), "materials_raw": materials, "steps": steps}
 
 
 @register("f1000")
-def f1000(x: Column) -> dict[str, Column]:
-    body = _first(x, "Methods?", "Materials and methods")
+def f1000(x: Column, s: Sections) -> dict[str, Column]:
+    body = s.first("Methods?", "Materials and methods")
     paragraphs = F.filter(F.transform(E.elements(body, "p"), X.strip_tags), lambda t: (F.length(t) > 20) & (F.length(t) < 2000))
     flat = F.transform(paragraphs, lambda t: F.struct(F.lit("").alias("step_no"), t.alias("text"), F.lit("").alias("section")))
-    reagents = E.entities(_first(x, "Materials", "Reagents"))
+    reagents = E.entities(s.first("Materials", "Reagents"))
     return E.metadata(x) | {"reagents": reagents, "materials_raw": _materials(F.lit(""), reagents), "steps": _cascade(_steps(E.list_items(body)), _subsections(body), flat)}
 
 
 @register("mimb")
-def mimb(x: Column) -> dict[str, Column]:
-    materials, body = _first(x, "Materials?"), _first(x, "Methods?", "Procedures?")
+def mimb(x: Column, s: Sections) -> dict[str, Column]:
+    materials, body = s.first("Materials?"), s.first("Methods?", "Procedures?")
     reagents = E.entities(materials)
     return E.metadata(x) | {"reagents": reagents, "materials_raw": _materials(materials, reagents), "steps": _cascade(_steps(E.list_items(body)), _subsections(body))}
 
 
 @register("nprot")
-def nprot(x: Column) -> dict[str, Column]:
-    parts = [_first(x, t) for t in ("Materials", "Reagents", "Reagent setup", "Equipment")]
-    body = _first(x, "Procedure")
+def nprot(x: Column, s: Sections) -> dict[str, Column]:
+    parts = [s.first(t) for t in ("Materials", "Reagents", "Reagent setup", "Equipment")]
+    body = s.first("Procedure")
     raw = F.left(F.array_join(F.filter(F.array(*[X.strip_tags(p) for p in parts]), lambda t: t != ""), "\n"), F.lit(8000))
-    timing = F.left(X.strip_tags(_first(x, "Timing")), F.lit(500))
+    timing = F.left(X.strip_tags(s.first("Timing")), F.lit(500))
     steps = _cascade(_steps(E.list_items(body)), _subsections(body), _paragraph_steps(body))
     return E.metadata(x) | {"reagents": E.entities(F.concat(parts[0], parts[1])), "equipment": E.entities(parts[3]), "materials_raw": raw, "steps": steps, "timing": timing}
 
@@ -172,7 +191,7 @@ REGISTRY["nmeth"] = REGISTRY["nprot"]
 
 
 @register("oww")
-def oww(x: Column) -> dict[str, Column]:
+def oww(x: Column, s: Sections) -> dict[str, Column]:
     clean = F.regexp_replace(F.regexp_replace(x, r'(?s)<span class="mw-editsection">.*?</span>', ""), r'(?s)<div id="toc".*?</div>', "")
     parts = E.titled_sections(clean)
     bodies = lambda p: F.array_join(F.transform(F.filter(parts, lambda s: F.lower(s["title"]).rlike(p)), lambda s: s["body"]), "\n")

@@ -16,14 +16,14 @@ _KEY = "trim(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(
-    "WITH s AS (SELECT doc_id, lower(source) AS term, CASE WHEN doc_id % 3 = 0 THEN 'After 10 min at 2-3 h ' ELSE 'Once ' END || text[1:80] || CASE WHEN doc_id % 4 = 0 THEN ' ' || source ELSE '' END AS q FROM documents), "
+    "WITH s AS (SELECT doc_id, lower(source) AS term, CASE WHEN doc_id % 3 = 0 THEN 'After 10 min at 2-3 h ' ELSE 'Once ' END || text || CASE WHEN doc_id % 4 = 0 THEN ' ' || source ELSE '' END AS q FROM documents), "
     f"k AS (SELECT *, {_KEY} AS key, len(regexp_extract_all(q, '\\b\\d+(?:\\.\\d+)?(?:[–-]\\d+(?:\\.\\d+)?)?\\b')) AS numbers FROM s) "
     "SELECT doc_id, concat_ws(',', CASE WHEN contains(key, term) THEN 'leaks_identity' END, CASE WHEN " + " OR ".join(f"contains(key, '{c}')" for c in CUES) + " THEN 'leaks_function' END, "
-    "CASE WHEN doc_id % 3 <> 0 THEN 'few_numbers' END, CASE WHEN NOT (" + " OR ".join(f"contains(key, '{c}')" for c in ("already", "just", "after", "before", "previous", "prior", "then", "next")) + ") THEN 'no_sequence' END) AS reasons FROM k"
+    "CASE WHEN numbers < 2 THEN 'few_numbers' END, CASE WHEN NOT (" + " OR ".join(f"contains(key, '{c}')" for c in ("already", "just", "after", "before", "previous", "prior", "then", "next")) + ") THEN 'no_sequence' END) AS reasons FROM k"
 )
 def f6_stem_validator(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
-    q = F.concat(F.when(d % 3 == 0, "After 10 min at 2-3 h ").otherwise("Once "), F.left("text", F.lit(80)), F.when(d % 4 == 0, F.concat(F.lit(" "), "source")).otherwise(""))
+    q = F.concat(F.when(d % 3 == 0, "After 10 min at 2-3 h ").otherwise("Once "), F.col("text"), F.when(d % 4 == 0, F.concat(F.lit(" "), "source")).otherwise(""))
     return table(spark, sf, "documents").select("doc_id", F.array_join(I.stem_failures(q, F.array(F.lower("source")), CUES), ",").alias("reasons"))
 
 
@@ -124,11 +124,11 @@ def o7_quota_letters(spark: SparkSession, sf: str) -> DataFrame:
     return I.quota_letters(table(spark, sf, "documents").select("doc_id"), "doc_id", seed=97)
 
 
-@query("SELECT doc_id, 'Title: ' || source || chr(10) || 'Answer with one letter (' || CASE WHEN lang = 'en' THEN 'English' ELSE 'other' END || ').' || chr(10) || CASE WHEN length(text) > 60 THEN rtrim(trim(regexp_replace(text, '\\s+', ' ', 'g'))[1:59]) || '...' ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS prompt FROM documents WHERE length(text) > 200")
+@query("SELECT doc_id, 'Title: ' || source || chr(10) || 'Answer with one letter (' || CASE WHEN lang = 'en' THEN 'English' ELSE 'other' END || ').' || chr(10) || CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 60 THEN rtrim(trim(regexp_replace(text, '\\s+', ' ', 'g'))[1:59]) || '...' ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS prompt FROM documents")
 def g1_prompts(spark: SparkSession, sf: str) -> DataFrame:
     guard = F.when(F.col("lang") == "en", "English").otherwise("other")
     prompt = F.concat_ws("\n", F.concat(F.lit("Title: "), "source"), F.concat(F.lit("Answer with one letter ("), guard, F.lit(").")), X.compact(F.col("text"), 60))
-    return table(spark, sf, "documents").where(F.length("text") > 200).select("doc_id", prompt.alias("prompt"))
+    return table(spark, sf, "documents").select("doc_id", prompt.alias("prompt"))
 
 
 def _even(prompt: str) -> str:

@@ -60,9 +60,9 @@ def j3_candidate_entries(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", F.array_join("matched_groups", ",").alias("matched_groups"), F.array_join("candidate_entries", ",").alias("candidates"))
 
 
-@query(f"SELECT doc_id, md5({KEY.format("source || ' ' || lang || ' ' || text[1:50] || ' steps troubleshooting'")}) AS published, md5({KEY.format("source || ' ' || lang || ' ' || text[1:50] || ' ' || text")}) AS intended FROM documents")
+@query(f"SELECT doc_id, md5({KEY.format("source || ' ' || lang || ' ' || source || ' steps troubleshooting'")}) AS published, md5({KEY.format("source || ' ' || lang || ' ' || source || ' ' || text")}) AS intended FROM documents")
 def p26_search_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.array(F.left("text", F.lit(50)))
+    names = F.array("source")
     return table(spark, sf, "documents").select(
         "doc_id",
         F.md5(M.search_corpus(F.col("source"), F.col("lang"), names)).alias("published"),

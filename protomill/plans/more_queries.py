@@ -15,7 +15,7 @@ from protomill.sources.files import entry_views
 
 def article(steps_title: str, materials_title: str):
     """An article's XML made from a document's row."""
-    text = F.regexp_replace(F.left("text", F.lit(400)), "[<>&]", " ")
+    text = F.regexp_replace("text", "[<>&]", " ")
     return F.concat(
         F.lit('<article-id pub-id-type="doi">10.1/'), "doc_id", F.lit("</article-id><article-title>"), "source",
         F.lit(f"</article-title><sec><title>{materials_title}</title>"),
@@ -85,19 +85,19 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", P.compare_programs("gold", "found", F.array(F.lit("tube"))).alias("s"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 3 WHEN 1 THEN NULL WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 0 END AS aligned FROM documents WHERE doc_id % 5 <> 1")
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 2 WHEN 4 THEN 0 ELSE 3 END AS aligned FROM documents")
 def j9_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return _scores(spark, sf).where("doc_id % 5 <> 1").select("doc_id", F.col("s.aligned").alias("aligned"))
+    return _scores(spark, sf).select("doc_id", F.col("s.aligned").alias("aligned"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1.0 WHEN 2 THEN 0.666667 ELSE 0.0 END AS parameters FROM documents WHERE doc_id % 5 IN (0, 2, 4)")
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.666667 WHEN 2 THEN 0.666667 WHEN 3 THEN 1.0 ELSE 0.0 END AS parameters FROM documents")
 def m3_strict_parameters(spark: SparkSession, sf: str) -> DataFrame:
-    return _scores(spark, sf).where("doc_id % 5 in (0, 2, 4)").select("doc_id", F.round("s.parameters", 6).alias("parameters"))
+    return _scores(spark, sf).select("doc_id", F.round("s.parameters", 6).alias("parameters"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1.0 WHEN 2 THEN round(5 / 6, 6) WHEN 3 THEN 1.0 ELSE 0.0 END AS parameters FROM documents WHERE doc_id % 5 <> 1")
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.666667 WHEN 2 THEN round(5 / 6, 6) WHEN 3 THEN 1.0 ELSE 0.0 END AS parameters FROM documents")
 def m5_relaxed_parameters(spark: SparkSession, sf: str) -> DataFrame:
-    return _scores(spark, sf).where("doc_id % 5 <> 1").select("doc_id", F.round("s.relaxed_parameters", 6).alias("parameters"))
+    return _scores(spark, sf).select("doc_id", F.round("s.relaxed_parameters", 6).alias("parameters"))
 
 
 @query("SELECT source, count(*) AS full_rows, count(*) FILTER (quality = 1) AS slim_rows FROM documents JOIN labels USING (doc_id) GROUP BY source")

@@ -20,7 +20,7 @@ def raw_records(spark: SparkSession, sf: str) -> DataFrame:
         (d % 3).alias("n_equipment"),
         F.size(F.split("text", "\n")).cast("bigint").alias("n_steps"),
         (d % 2).alias("n_troubleshooting"),
-        F.left("text", F.lit(300)).alias("materials_raw"),
+        F.col("text").alias("materials_raw"),
         F.when(d % 11 == 0, "").otherwise(F.col("source")).alias("title"),
         F.when(d % 4 == 0, "").otherwise("10.1/x").alias("doi"),
         F.lit("").alias("pmcid"),
@@ -30,7 +30,7 @@ def raw_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RAW = """raw AS (SELECT doc_id, source, doc_id % 9 AS n_reagents, doc_id % 3 AS n_equipment, len(string_split(text, chr(10))) AS n_steps, doc_id % 2 AS n_troubleshooting,
- text[1:300] AS materials_raw, CASE WHEN doc_id % 11 = 0 THEN '' ELSE source END AS title, CASE WHEN doc_id % 4 = 0 THEN '' ELSE '10.1/x' END AS doi, CASE WHEN doc_id % 5 = 0 THEN '1 h' ELSE '' END AS timing FROM documents),
+ text AS materials_raw, CASE WHEN doc_id % 11 = 0 THEN '' ELSE source END AS title, CASE WHEN doc_id % 4 = 0 THEN '' ELSE '10.1/x' END AS doi, CASE WHEN doc_id % 5 = 0 THEN '1 h' ELSE '' END AS timing FROM documents),
 gated AS (SELECT *, concat_ws(',', CASE WHEN n_reagents < 3 THEN 'reagents_lt_min' END, CASE WHEN n_equipment < 1 AND length(materials_raw) < 150 THEN 'materials_thin' END,
  CASE WHEN n_steps < 3 THEN 'steps_lt_min' END, CASE WHEN title = '' THEN 'no_title' END, CASE WHEN doi = '' THEN 'no_id' END) AS flags,
  n_reagents >= 3 AND (n_equipment >= 1 OR length(materials_raw) >= 150) AND n_steps >= 3 AND title <> '' AS qc_pass,

@@ -180,13 +180,13 @@ def c18_path_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {LINES} SELECT doc_id, string_agg(line_no || '. ' || {TRIM.format('line')}, chr(10) ORDER BY line_no) AS rendered FROM lines WHERE line_no <= 5 GROUP BY doc_id"
+    f"WITH {LINES} SELECT doc_id, md5(string_agg(line_no || '. ' || {TRIM.format('line')}, chr(10) ORDER BY line_no)) AS digest FROM lines GROUP BY doc_id"
 )
 def c19_render_steps(spark: SparkSession, sf: str) -> DataFrame:
-    lines = S.lines_of(table(spark, sf, "documents")).where("line_no <= 5")
+    lines = S.lines_of(table(spark, sf, "documents"))
     row = F.struct("line_no", F.concat(F.col("line_no"), F.lit(". "), X.normalize(F.col("line"))).alias("r"))
     ordered = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"])
-    return lines.groupBy("doc_id").agg(F.array_join(ordered, "\n").alias("rendered"))
+    return lines.groupBy("doc_id").agg(F.md5(F.array_join(ordered, "\n")).alias("digest"))
 
 
 @query(f"SELECT page_id, md5({STRIP.format('html')}) AS digest FROM pages")
@@ -248,7 +248,7 @@ def j12_zip_shorter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def p7_troubleshooting(spark: SparkSession, sf: str) -> DataFrame:
-    body = F.concat(F.lit("<title>Problem 1</title><p>"), F.left("text", F.lit(40)), F.lit("</p><title>Potential solution</title><p>"), "source", F.lit("</p><title>Problem 2</title>"))
+    body = F.concat(F.lit("<title>Problem 1</title><p>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</p><title>Potential solution</title><p>"), "source", F.lit("</p><title>Problem 2</title>"))
     pairs = E.troubleshooting(body)
     return table(spark, sf, "documents").select("doc_id", F.size(pairs).alias("n"), F.get(pairs, 0)["problem"].alias("problem"), F.get(pairs, 0)["solution"].alias("solution"))
 
@@ -360,10 +360,10 @@ def s8_cache_key(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p2_balanced_sections(spark: SparkSession, sf: str) -> DataFrame:
     xml = F.concat(
-        F.lit("<sec><title>Other</title>x</sec><sec id='a'><title> Procedure </title>"), F.left("text", F.lit(20)), F.lit("<sec><title>Inner</title>"), "source", F.lit("</sec> end</sec><sec><title>Procedure</title>2</sec>")
+        F.lit("<sec><title>Other</title>x</sec><sec id='a'><title> Procedure </title>"), F.regexp_replace("text", "[<>&]", " "), F.lit("<sec><title>Inner</title>"), "source", F.lit("</sec> end</sec><sec><title>Procedure</title>2</sec>")
     )
     d = table(spark, sf, "documents").select("doc_id", xml.alias("xml"))
-    return d.select("doc_id", F.get(E.sections("Procedure")("xml"), 0).alias("first"), F.size(E.sections("Procedure", False)("xml")).alias("all"))
+    return d.select("doc_id", F.md5(F.get(E.sections("Procedure")("xml"), 0)).alias("first"), F.size(E.sections("Procedure", False)("xml")).alias("all"))
 
 
 @query()
@@ -385,7 +385,7 @@ def u1_parser_registry(spark: SparkSession, sf: str) -> DataFrame:
     xml = F.concat(
         F.lit('<article-id pub-id-type="doi">10.1/'), "doc_id", F.lit("</article-id><article-title>"), "source", F.lit("</article-title><sec><title>Materials</title>"),
         F.lit("<list-item><p>Buffer number one (Vendor, cat# A1)</p></list-item></sec><sec><title>Procedure</title>"),
-        F.concat(F.lit("<list-item><label>1</label><p>"), F.left(F.regexp_replace("text", "[<>&]", " "), F.lit(300)), F.lit("</p></list-item></sec>")),
+        F.concat(F.lit("<list-item><label>1</label><p>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</p></list-item></sec>")),
     )
     docs = table(spark, sf, "documents").select("doc_id", xml.alias("xml"), F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % len(names) + 1).cast("int")).alias("kind"))
     parts = [parse(docs.where(F.col("kind") == n), n, "xml", ["doc_id"]) for n in names]
