@@ -240,7 +240,7 @@ def test_simhash_awkward(awkward, empty, clashing):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [0]
     assert H.simhash_components(clashing).count() == awkward.count()
     assert H.simhash_components(empty).count() == 0
-    wide = H.simhash_components(awkward, words=5, max_bits=12, lanes=4, all_bits=45, ratio=0.8).collect()
+    wide = H.simhash_components(awkward, words=5, max_bits=14, lanes=4, all_bits=45, ratio=0.8).collect()
     linked = {r["doc_id"]: r["component_id"] for r in wide}
     assert linked[1] == 0 and linked[3] == 3 and linked[6] == 6
 
