@@ -5,11 +5,12 @@ source with share w is released at slot floor(j / w) and due by slot ceil((j + 1
 blocks the one with the earliest deadline takes the next slot.  With shares that sum to one, each source's
 count of blocks then stays within one block of its share of the slots.
 
-Shares are rounded to whole parts of ``PERIOD`` slots.  All deviations are zero at the end of a period, so
-the schedule of one period, made on the driver (PERIOD slots, whatever the corpus), repeats, and the slot of any block
-follows from its number by arithmetic: no scheduler walks over the blocks.  When a source runs out, a new phase
+Shares are exact: weights become whole parts over their common denominator, and a period has as many slots as there are
+parts (a float counts as the decimal that it prints as).  All deviations are zero at the end of a period, so the schedule of one
+period repeats, and the slot of any block follows from its number by arithmetic.  When a source runs out, a new phase
 with the remaining sources' shares begins at that slot; there are at most as many phases as sources.  Nothing is dropped:
-the last phase ends with the last block of the last source.
+the last phase ends with the last block of the last source.  The driver schedules one period of a phase, or the phase up to its
+end if that is shorter, and so never more slots than there are blocks.
 
 What reaches the driver is one count for each source.  Ranks come from two levels: documents are dealt into
 (source, bucket) groups of about ``bucket_docs`` rows, ranked there, and shifted by the counts of the
@@ -22,20 +23,28 @@ without a weight).  Weights must be positive.  Rows that repeat are ranked next
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from fractions import Fraction
+from math import gcd, lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots after which a schedule repeats.
-PERIOD = 1000
 
+def parts_of(weights: dict, period: int | None = None) -> dict:
+    """Whole parts for each source that stand to each other exactly as the weights do.
 
-def parts_of(weights: dict, period: int = PERIOD) -> dict:
-    """Whole parts of ``period`` for each source, by largest remainders, one at least."""
-    total = sum(Fraction(w) for w in weights.values())
+    With ``period``, parts of so many slots by largest remainders instead, one at least.
+    """
+    given = {s: Fraction(str(w)) if isinstance(w, float) else Fraction(w) for s, w in weights.items()}
+    if period is None:
+        common = lcm(*[w.denominator for w in given.values()])
+        parts = {s: int(w * common) for s, w in given.items()}
+        shared = gcd(*parts.values())
+        return {s: p // shared for s, p in parts.items()}
+    total = sum(given.values())
     period = max(period, len(weights))
-    exact = {s: Fraction(w) * period / total for s, w in weights.items()}
+    exact = {s: w * period / total for s, w in given.items()}
     parts = {s: max(1, int(x)) for s, x in exact.items()}
     order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))
     k = 0
@@ -48,41 +57,54 @@ def parts_of(weights: dict, period: int = PERIOD) -> dict:
     return parts
 
 
-def one_period(parts: dict) -> list:
-    """The source of each slot of a period: earliest deadline first among released blocks."""
+def one_period(parts: dict, blocks: dict | None = None) -> list:
+    """The source of each slot of a period: earliest deadline first among released blocks.
+
+    With counts of ``blocks``, it ends early at the slot of the first source's last block.
+    """
     period = sum(parts.values())
-    released_at: list[list] = [[] for _ in range(period)]
-    for s, p in parts.items():
-        for j in range(p):
-            released_at[j * period // p].append((-(-(j + 1) * period // p), str(s), s))
+    left = dict(blocks or {})
+    coming = [(0, str(s), k, s, 0) for k, s in enumerate(parts)]  # every source's next block by release
+    heapq.heapify(coming)
     ready, slots = [], []
     for t in range(period):
-        for block in released_at[t]:
-            heapq.heappush(ready, block)
-        slots.append(heapq.heappop(ready)[2])
+        while coming and coming[0][0] <= t:
+            _, name, k, s, j = heapq.heappop(coming)
+            p = parts[s]
+            heapq.heappush(ready, (-(-(j + 1) * period // p), name, k, s))
+            if j + 1 < p:
+                heapq.heappush(coming, ((j + 1) * period // p, name, k, s, j + 1))
+        s = heapq.heappop(ready)[3]
+        slots.append(s)
+        if blocks is not None:
+            left[s] -= 1
+            if not left[s]:
+                break
     return slots
 
 
-def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[dict]:
+def phases(blocks: dict, weights: dict, period: int | None = None) -> list[dict]:
     """The schedule in closed form, for counts of blocks by source.
 
-    Each phase has its first slot ``at``, the ``offset`` of every active source's blocks, its ``parts``, and for
-    each source the slots of one period in ``pattern``.
+    Each phase has its first slot ``at``, the ``offset`` of every active source's blocks, its ``parts`` of ``size`` slots, and for
+    each source the slots in ``pattern``: those of one period, or of the whole phase if it ends within the first.
     """
     left, done, at, out = {s: n for s, n in blocks.items() if n > 0}, {s: 0 for s in blocks}, 0, []
     while left:
         parts = parts_of({s: weights.get(s, 1) for s in left}, period)
-        slots = one_period(parts)
-        size = len(slots)
+        size = sum(parts.values())
+        slots = one_period(parts, left)
         pattern: dict = {s: [] for s in left}
         for t, s in enumerate(slots):
             pattern[s].append(t)
         # the slot after the first source's last block
-        end = min((n - 1) // parts[s] * size + pattern[s][(n - 1) % parts[s]] + 1 for s, n in left.items())
+        end = len(slots)
+        if end == size:
+            end = min((n - 1) // parts[s] * size + pattern[s][(n - 1) % parts[s]] + 1 for s, n in left.items())
         out.append({"at": at, "size": size, "end": at + end, "offset": {s: done[s] for s in left}, "parts": parts, "pattern": pattern})
         whole, rest = divmod(end, size)
         for s in list(left):
-            used = whole * parts[s] + sum(t < rest for t in pattern[s])
+            used = whole * parts[s] + bisect_left(pattern[s], rest)
             left[s] -= used
             done[s] += used
             if not left[s]:
@@ -113,7 +135,7 @@ def mix(
     source_col: str = "source",
     id_col: str = "doc_id",
     block_docs: int = 16,
-    period: int = PERIOD,
+    period: int | None = None,
     tie_cols: list[str] | None = None,
 ) -> DataFrame:
     """``df`` with its place in the mixture: block, slot, release, deadline and position.
@@ -126,12 +148,17 @@ def mix(
     own = df.drop("block", "slot", "release", "deadline", "position")
     counts = {r[0]: r[1] for r in own.groupBy(source_col).count().collect()}
     plan = phases({s: -(-n // block_docs) for s, n in counts.items()}, weights, period)
-    table = [
-        (s, p["offset"][s], p["at"], p["size"], p["parts"][s], p["pattern"][s])
-        for p in plan
-        for s in p["offset"]
-    ]
-    schema = f"__s {dict(own.dtypes)[source_col]}, __first long, __at long, __size long, __parts long, __slots array<long>"
+    table = []
+    for p in plan:
+        for s, slots in p["pattern"].items():
+            size, parts = p["size"], p["parts"][s]
+            begins = [j * size // parts for j in range(len(slots))]
+            ends = [-(-(j + 1) * size // parts) for j in range(len(slots))]
+            # what ends within its first period never steps into a second
+            step, each = (size, parts) if len(slots) == parts else (0, max(1, len(slots)))
+            table.append((s, p["offset"][s], p["at"], step, each, slots, begins, ends))
+    lists = ", ".join(f"{c} array<long>" for c in ("__slots", "__begins", "__ends"))
+    schema = f"__s {dict(own.dtypes)[source_col]}, __first long, __at long, __size long, __parts long, {lists}"
     made = spark.createDataFrame(table, schema)
     # a phase of a source holds the blocks from its offset up to the next phase's
     nxt = F.lead("__first").over(Window.partitionBy("__s").orderBy("__at"))
@@ -139,16 +166,16 @@ def mix(
     rows = ranked(own, source_col, [id_col, *(tie_cols or [])])
     rows = rows.withColumn("block", F.floor(F.col("__rank") / block_docs).cast("long"))
     on = rows[source_col].eqNullSafe(made["__s"]) & (rows["block"] >= made["__first"]) & (rows["block"] < made["__last"])
-    out = rows.join(F.broadcast(made), on)  # a row for each source and phase, of PERIOD slots at most
+    out = rows.join(F.broadcast(made), on)  # a row for each source and phase, with its slots of one period
     j = F.col("block") - F.col("__first")
-    size, parts = F.col("__size"), F.col("__parts")
-    slot = F.col("__at") + F.floor(j / parts) * size + F.element_at("__slots", (F.pmod(j, parts) + 1).cast("int"))
+    base = F.col("__at") + F.floor(j / F.col("__parts")) * F.col("__size")
+    at = (F.pmod(j, F.col("__parts")) + 1).cast("int")
     return out.select(
         *[F.col(f"`{c}`") for c in own.columns],
         "block",
-        slot.cast("long").alias("slot"),
-        (F.col("__at") + F.expr("(block - __first) * __size div __parts")).cast("long").alias("release"),
-        (F.col("__at") + F.expr("((block - __first + 1) * __size + __parts - 1) div __parts")).cast("long").alias("deadline"),
+        (base + F.element_at("__slots", at)).cast("long").alias("slot"),
+        (base + F.element_at("__begins", at)).cast("long").alias("release"),
+        (base + F.element_at("__ends", at)).cast("long").alias("deadline"),
         F.pmod(F.col("__rank"), F.lit(block_docs)).cast("int").alias("position"),
     )
 

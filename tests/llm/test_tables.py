@@ -124,6 +124,49 @@ def test_mix(spark, awkward, empty):
     assert M.mix(empty).count() == 0
 
 
+def worst_deviation(counts, weights):
+    """Of any source's blocks from its exact share of the slots, while no source has run out; from the closed form."""
+    first = M.phases(counts, weights)[0]
+    order = np.full(first["end"], -1)
+    names = list(counts)
+    for k, s in enumerate(names):
+        slots, parts, size = np.array(first["pattern"][s], dtype=int), first["parts"][s], first["size"]
+        j = np.arange(counts[s])
+        if len(slots) == parts:
+            at = j // parts * size + slots[j % parts]
+        else:
+            at = slots
+        order[at[at < first["end"]]] = k
+    assert (order >= 0).all()  # every slot once
+    total = sum(weights.get(s, 1) for s in names)
+    t = np.arange(1, len(order) + 1)
+    return max(float(np.abs(np.cumsum(order == k) - t * (weights.get(s, 1) / total)).max()) for k, s in enumerate(names))
+
+
+def test_schedule_keeps_the_given_weights_over_many_periods():
+    names = [f"src{i}" for i in range(20)]
+    assert worst_deviation({s: 25_000 if s == "src0" else 5_000 for s in names}, {"src0": 5}) < 1
+    assert worst_deviation({"a": 20_000, "b": 20_000, "c": 20_000}, {"a": 0.1, "b": 0.33, "c": 1 / 8}) < 1
+
+
+def test_schedule_keeps_the_given_weights_of_many_sources():
+    counts = {f"src{i}": 50 if i == 0 else 10 for i in range(1500)}
+    assert worst_deviation(counts, {"src0": 5}) < 1
+    assert worst_deviation({"a": 30, "b": 3_000, "c": 40}, {"a": 0.123457, "b": 12.3456789, "c": 0.2}) < 1  # a period longer than the phase
+
+
+def test_mix_keeps_the_given_weights(spark):
+    rows = [(i, "hot" if i % 24 < 5 else f"s{i % 24}") for i in range(24 * 150)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, source string"), {"hot": 5}, block_docs=1).orderBy("slot").collect()
+    assert [r["slot"] for r in got] == list(range(len(rows)))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    done = Counter()
+    for t, r in enumerate(got[: 24 * 149], 1):  # in the last period sources run out
+        done[r["source"]] += 1
+        assert abs(done[r["source"]] * 24 - t * (5 if r["source"] == "hot" else 1)) < 24
+        assert r["release"] == r["block"] * 24 // (5 if r["source"] == "hot" else 1)
+
+
 def brute_dedup(texts, window=35):
     words = [(t or "").encode().split() for t in texts]
     seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
