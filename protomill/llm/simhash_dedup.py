@@ -16,11 +16,18 @@ Every pair within ``max_bits`` is thus compared exactly, in one task.  A task em
 pairs, so a group of thousands of near copies costs as many rows as it has members.  The forests of all tasks are joined into components by
 alternating large-star and small-star rounds on tables in the shared folder.  No fingerprints (but for the sample), links or
 components reach the driver.
+
+Exact similarity.  ``shingle_components`` takes the fingerprints of distinct shingles and uses them only to find candidates.  Rows with equal
+sets of shingles are one node.  The links of the search join nodes into candidate components; two nodes in different ones are no candidates.
+The shingle hashes of a component's nodes are then joined to them and met once, a pair of blocks of the component in each task, and a pair of
+candidates is linked if the exact Jaccard similarity of its sets reaches the bound.  Nodes without any candidate ship no shingles.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import accumulate
 
 import numpy as np
@@ -28,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from protomill.llm.common import map_texts, stored
+from protomill.llm.common import document_keys, map_texts, stored
 
 #: Nodes that the driver sees to build a tree.
 SAMPLE = 4096
@@ -36,6 +43,8 @@ SAMPLE = 4096
 LEAF_NODES = 2048
 #: Leaves of a tree at most.
 MAX_LEAVES = 1024
+#: Nodes and shingles of a block of a candidate component, about.
+BLOCK_NODES, BLOCK_SHINGLES = 2048, 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -73,18 +82,29 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(df: DataFrame, keep: list[str], words: int, lanes: int = 1, text_col: str = "text") -> DataFrame:
-    """``keep`` and f0, f1, ... and shingles (how many) of every whole text; narrow, no shuffle."""
+def fingerprints(df: DataFrame, keep: list[str], words: int, lanes: int = 1, text_col: str = "text", distinct: bool = False, sets: bool = False) -> DataFrame:
+    """``keep`` and f0, f1, ... and shingles (how many) of every whole text; narrow, no shuffle.
+
+    With ``distinct``, repeats don't count, and n is a digest of the set, or with ``sets``, hashes its sorted hashes.
+    """
 
     def make() -> Callable[[list[str]], list[list]]:
         def work(texts: list[str]) -> list[list]:
             hashes = [shingle_hashes(t, words) for t in texts]
+            if distinct:
+                hashes = [np.unique(h) for h in hashes]
             found = [fingerprint(h, lanes) for h in hashes]
-            return [[f[i] for f in found] for i in range(lanes)] + [[len(h) for h in hashes]]
+            columns = [[f[i] for f in found] for i in range(lanes)] + [[len(h) for h in hashes]]
+            if sets:
+                columns.append([h.tobytes() for h in hashes])
+            elif distinct:
+                columns.append([hashlib.md5(h.tobytes()).digest() for h in hashes])
+            return columns
 
         return work
 
     schema = ", ".join(f"f{i} long" for i in range(lanes)) + ", shingles long"
+    schema += ", hashes binary" if sets else ", n binary" if distinct else ""
     return map_texts(df, keep, text_col, schema, make)
 
 
@@ -189,6 +209,103 @@ def forest(lanes: np.ndarray, home: np.ndarray, sizes: np.ndarray | None, max_bi
     return member, label[member]
 
 
+def exact_forest(sets: list[np.ndarray], lanes: np.ndarray, home: np.ndarray, max_bits: int, all_bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) indices of a spanning forest of the pairs whose sets have at least the Jaccard similarity.
+
+    Pairs are candidates by their fingerprints, and have one end at home, or both if all are; those connected already are not looked at.
+    """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    label = np.arange(n)
+    _, index = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    member_of = [index[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    mark = np.zeros(int(index.max()) + 1 if len(index) else 1, dtype=bool)
+    # a quotient of whole numbers, so that no rounding decides at the bound
+    bound = Fraction(str(similarity))
+    over, under = bound.numerator, bound.denominator
+    for a in np.nonzero(home)[0]:
+        some = np.nonzero(label != label[a])[0]
+        some = some[some > a] if home.all() else some[~home[some]]  # two blocks: pairs within one are met in a task of their own
+        small, large = np.minimum(sizes[some], sizes[a]), np.maximum(sizes[some], sizes[a])
+        some = some[small * under >= large * over]
+        some = some[np.bitwise_count(lanes[some, 0] ^ lanes[a, 0]) <= max_bits]
+        some = some[np.bitwise_count(lanes[some] ^ lanes[a]).sum(1, dtype=np.int64) <= all_bits]
+        if not len(some) or not sizes[a]:
+            continue
+        mark[member_of[a]] = True
+        for b in some.tolist():
+            if label[b] == label[a]:
+                continue
+            both = int(np.count_nonzero(mark[member_of[b]]))
+            if both * under >= int(sizes[a] + sizes[b] - both) * over:
+                low, high = sorted((label[a], label[b]))
+                label[label == high] = low
+        mark[member_of[a]] = False
+    member = np.nonzero(label != np.arange(n))[0]
+    return member, label[member]
+
+
+def exact_links(docs: DataFrame, placed: DataFrame, words: int, lanes: int, max_bits: int, all_bits: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect exactly the nodes that candidate pairs of at least the similarity connect.
+
+    ``docs`` has __d, __k and text; ``placed`` has n, root (its candidate component), shingles, and the __d and __k of one of its rows.
+    """
+    counts = placed.groupBy("root").agg(F.count("*").alias("__nodes"), F.sum("shingles").alias("__all"))
+    blocks = F.floor(F.col("__nodes") / BLOCK_NODES + F.col("__all") / BLOCK_SHINGLES).cast("int") + 1
+    counts = counts.where("__nodes > 1").select("root", blocks.alias("blocks"))
+    chosen = placed.select("n", "root", "__d", "__k").join(counts, "root")
+    texts = docs.select("__d", "__k", "text").join(chosen, ["__d", "__k"]).dropDuplicates(["n"])
+    own = F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int").alias("own")
+    # computed once, then sent to each pair of blocks
+    sets = stored(fingerprints(texts.select("n", "root", "blocks", own, "text"), ["n", "root", "blocks", "own"], words, lanes, distinct=True, sets=True), "sets")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = sets.withColumn("other", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = np.stack([pdf[f"f{i}"].to_numpy() for i in range(lanes)], axis=1).astype(np.int64).view(np.uint64)
+        found = [np.frombuffer(x, dtype=np.uint64) for x in pdf["hashes"]]
+        home = (pdf["own"] == pdf["i"]).to_numpy()
+        member, root = exact_forest(found, values, home, max_bits, all_bits, similarity)
+        n = pdf["n"].to_numpy()
+        return pd.DataFrame({"a": n[member], "b": n[root]})
+
+    columns = ["root", "i", "j", "own", "n", *[f"f{i}" for i in range(lanes)], "hashes"]
+    return dealt.select(*columns).groupBy("root", "i", "j").applyInPandas(compare, "a binary, b binary")
+
+
+def shingle_components(
+    df: DataFrame,
+    max_bits: int,
+    all_bits: int,
+    similarity: float,
+    words: int = 5,
+    lanes: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """A row for each input row: its id and component_id, over links of texts whose sets of shingles have at least the Jaccard similarity.
+
+    Candidates differ in ``max_bits`` of the first lane and ``all_bits`` of all lanes at most.  ``component_id`` is as in ``simhash_components``.
+    Texts without a word have equal (empty) sets, and link with each other only.
+    """
+    docs = document_keys(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")), "text", "__id")
+    prints = stored(fingerprints(docs, ["__id", "__d", "__k"], words, lanes, distinct=True), "prints")
+    names = [f"f{i}" for i in range(lanes)]
+    firsts = [F.first(c).alias(c) for c in (*names, "shingles")]  # the same in all rows of a node
+    row = F.min(F.struct("__d", "__k")).alias("__row")
+    nodes = prints.groupBy("n").agg(F.min("__id").alias("least"), row, *firsts)
+    nodes = stored(nodes.select("n", "least", "__row.*", *names, "shingles"), "nodes")
+    candidates = connected(links(nodes, lanes, max_bits, all_bits, similarity))
+    candidates = stored(candidates.union(candidates.select(F.col("root").alias("node"), "root")).distinct(), "candidates")
+    placed = nodes.join(candidates.withColumnRenamed("node", "n"), "n")
+    roots = connected(exact_links(docs, placed, words, lanes, max_bits, all_bits, similarity))
+    final = nodes.select("n", "least").join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+    smallest = final.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = prints.select("__id", "n").join(final.join(smallest, "root").select("n", "component_id"), "n")
+    return out.select(F.col("__id").alias(id_col), "component_id")
+
+
 def links(nodes: DataFrame, lanes: int, max_bits: int, all_bits: int | None = None, ratio: float | None = None) -> DataFrame:
     """Edges (a, b) between node ids that connect exactly the nodes that links connect.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
 from protomill.llm import queries as Q
+from protomill.llm import simhash_dedup
+from tests.llm.conftest import prose
 from tests.llm.test_tables import brute_dedup
 
 FOLDER = "/root/testdata/sf0.001"
@@ -49,6 +52,50 @@ def test_exact_copies_go_and_passages_too(stages):
         assert len(after[i].split()) == n - removed and (removed or after[i] == before[i])
 
 
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_near(texts):
+    """The least index that each text's links of Jaccard similarity 0.8 or more lead to."""
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] != label[j] and 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("block_nodes", [7, 2048])
+def test_near_duplicates_are_those_of_exact_similarity(spark, monkeypatch, block_nodes):
+    monkeypatch.setattr(simhash_dedup, "BLOCK_NODES", block_nodes)
+    rng = random.Random(17)
+    texts = ["", None, " \n", "one two", "ONE two", "one two three"]
+    for size in (8, 9, 13, 16, 20, 40, 150, 400):
+        for _ in range(6):
+            words = prose(rng, size).split()
+            texts.append(" ".join(words))
+            texts.append(" ".join(words[: max(1, size * 4 // 5 + rng.randrange(3))]))  # a prefix, near the bound
+            copy = list(words)
+            for at in rng.sample(range(size), max(1, size // 45)):
+                copy[at] = "changed"  # each takes five shingles away
+            texts.append(" ".join(copy))
+    base = prose(rng, 60).split()
+    texts += [" ".join(base), " ".join(base * 3), " ".join([*base, *base[:56], *base])]  # repeated lines
+    group = prose(rng, 100).split()
+    for _ in range(40):  # below the bar to each other, and candidates nearly all
+        copy = list(group)
+        for at in rng.sample(range(100), 3):
+            copy[at] = prose(rng, 1)
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i for i, low in enumerate(brute_near(texts)) if i == low}
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+
+
 def test_mixture_keeps_every_row(stages):
     key = lambda df: sorted((r["doc_id"], r["text"]) for r in df.collect())
     assert key(stages["mixture"]) == key(stages["repeated_passages"])
