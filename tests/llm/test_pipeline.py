@@ -10,6 +10,8 @@ import pytest
 import corpus_pipeline
 from protomill.llm import queries as Q
 from protomill.llm import simhash_dedup
+from protomill.llm.queries import SOURCE_WEIGHTS
+from protomill.llm.source_mixing import mix
 from tests.llm.conftest import prose
 from tests.llm.test_tables import brute_dedup
 
@@ -101,6 +103,26 @@ def test_mixture_keeps_every_row(stages):
     assert key(stages["mixture"]) == key(stages["repeated_passages"])
 
 
+@pytest.mark.parametrize("kept", ["stored", "cached"])
+def test_tokens_return_the_place_in_the_mixture(spark, stages, tmp_path, kept):
+    """Also where readers pack large files first, which turns the order of the files around."""
+    docs = stages["repeated_passages"]
+    mixed = mix(docs, SOURCE_WEIGHTS, tie_cols=["text"]).orderBy("slot", "position").collect()
+    want = [(r["doc_id"], r["source"]) for r in mixed]
+    rows = corpus_pipeline.mixture(spark, docs, FOLDER)
+    if kept == "stored":
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows.write.parquet(str(tmp_path / "mixture"))
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        rows = spark.read.parquet(str(tmp_path / "mixture"))
+        assert len(rows.inputFiles()) > 1
+    else:
+        rows = rows.cache()
+    got = corpus_pipeline.tokens(spark, rows, FOLDER).collect()
+    assert sorted(r["place"] for r in got) == list(range(len(want)))
+    assert [(r["doc_id"], r["source"]) for r in sorted(got, key=lambda r: r["place"])] == want
+
+
 def test_awkward_tables(spark, awkward, clashing, empty, tmp_path):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
