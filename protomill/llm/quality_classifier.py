@@ -8,7 +8,8 @@ A filter's response is a sum of one learned weight for each byte and place.  For
 neighbouring places are added up beforehand for all 65,536 byte pairs, so a response is WIDTH / 2 table rows.
 
 The network is fitted on the driver with at most ``sample_docs`` labelled documents, those with the smallest hashes of
-their ids, and ``sample_chunks`` chunks of each (documented bounds; scoring covers every byte of every document).
+their ids, and on their chunks, which cover the whole of each text as in scoring; of more than ``sample_chunks`` chunks in all, those with the
+smallest hashes (documented bounds; scoring covers every byte of every document).  Every document weighs the same, however many chunks it has.
 Null and empty texts are one chunk of padding.
 """
 
@@ -53,27 +54,39 @@ def padded(text: bytes) -> np.ndarray:
     return np.frombuffer((text or b"\0") + bytes(WIDTH - 1), dtype=np.uint8)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, rate: float = 0.01, chunks: int = 2, seed: int = 7) -> Network:
-    """Trains on some chunks of each text with Adam; deterministic for a given order of the texts."""
+def chunks_of(text: bytes) -> list[np.ndarray]:
+    """The chunks that a text is scored by."""
+    data = padded(text)
+    return [data[at : at + CHUNK + WIDTH - 1] for at in range(0, len(data) - WIDTH + 1, CHUNK)]
+
+
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, rate: float = 0.01, seed: int = 7) -> Network:
+    """Trains on all chunks of each text with Adam; deterministic for a given order of the texts."""
+    return fit_chunks([chunks_of(t) for t in texts], labels, epochs, rate, seed)
+
+
+def fit_chunks(documents: list[list[np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.01, seed: int = 7) -> Network:
+    """Trains on the chunks of each document, and a crop of one."""
     rng = np.random.default_rng(seed)
     rows, marks = [], []
-    for text, label in zip(texts, labels, strict=True):
-        data = padded(text)
-        last = max(0, len(data) - WIDTH + 1 - CHUNK)
-        pieces = [data[at : at + CHUNK + WIDTH - 1] for at in np.unique(np.linspace(0, last, chunks).astype(int))]
+    for pieces, label in zip(documents, labels, strict=True):
+        whole = pieces[int(rng.integers(len(pieces)))]
+        whole = whole[: len(whole) - WIDTH + 1]
         short = int(rng.integers(4, 96))  # a crop, so that shortness is not taken for a mark of either label
-        at = int(rng.integers(0, max(1, len(text) - short)))
-        pieces.append(padded(text[at : at + short]))
-        for part in pieces:
+        at = int(rng.integers(0, max(1, len(whole) - short)))
+        parts = [*pieces, padded(whole[at : at + short].tobytes())]
+        for part in parts:
             rows.append(np.pad(part, (0, CHUNK + WIDTH - 1 - len(part))))
-            marks.append((label, max(1, min(CHUNK, len(part) - WIDTH + 1))))
+            marks.append((label, max(1, min(CHUNK, len(part) - WIDTH + 1)), 1 / len(parts)))
     net = Network(rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.append(rng.normal(0, 0.3, FILTERS), 0).astype(np.float32), 0.0)
     if not rows:
         return net
     data, target = np.stack(rows), np.array([m[0] for m in marks], dtype=np.float32)
     places = np.array([m[1] for m in marks])
-    positive = min(max(float(target.mean()), 1e-3), 1 - 1e-3)
-    weight = np.where(target > 0, 0.5 / positive, 0.5 / (1 - positive)).astype(np.float32)
+    share = np.array([m[2] for m in marks])
+    share /= share.mean()
+    positive = min(max(float((target * share).mean()), 1e-3), 1 - 1e-3)
+    weight = (np.where(target > 0, 0.5 / positive, 0.5 / (1 - positive)) * share).astype(np.float32)
     params = [net.bytes_, net.bias, net.out, np.zeros(1, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step, size = 0, 64
@@ -158,20 +171,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_chunks: int = 2, sample_bytes: int = 4096) -> Network:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_chunks: int = 1 << 16) -> Network:
     """Fits a network on at most ``sample_docs`` labelled documents outside the held-out part.
 
-    Each gives its first and last ``sample_bytes`` / 2 characters to the driver; the order, and so the sample, follows a hash of the
-    id.  Labels other than 0 and 1, and null ids or labels, are left out.
+    Their whole texts are cut into chunks by a Spark job, of which at most ``sample_chunks`` reach the driver; order and samples follow
+    hashes of the id and the place.  Labels other than 0 and 1, and null ids or labels, are left out.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_docs)  # the documented bound
-    half = sample_bytes // 2
-    text = F.coalesce(F.col("text"), F.lit(""))
-    ends = F.when(F.length(text) <= 2 * half, text).otherwise(F.concat(F.substring(text, 1, half), F.right(text, F.lit(half))))
-    rows = docs.select("doc_id", ends.alias("__part")).join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["__part"]))
-    return fit([r["__part"].encode() for r in rows], np.array([r["quality"] for r in rows]), chunks=sample_chunks)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    data = F.when(F.length(text) > 0, text).otherwise(F.lit(b"\0"))
+    found = docs.select("doc_id", data.alias("__data")).join(F.broadcast(chosen), "doc_id").withColumn("__k", F.xxhash64("__data"))
+    cut = found.select(
+        "doc_id",
+        "quality",
+        "__k",
+        F.concat("__data", F.lit(bytes(WIDTH - 1))).alias("__data"),
+        F.explode(F.sequence(F.lit(0), F.length("__data") - 1, F.lit(CHUNK))).alias("__at"),
+    )
+    part = F.substring("__data", F.col("__at") + 1, F.lit(CHUNK + WIDTH - 1)).alias("__part")
+    order = [F.xxhash64("doc_id", "__k", "__at"), "doc_id", "quality", "__k", "__at"]
+    rows = cut.select("doc_id", "quality", "__k", "__at", part).orderBy(*order).limit(sample_chunks).collect()  # the documented bound
+    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["__k"], r["__at"]))
+    documents: dict[tuple, list[np.ndarray]] = {}
+    for r in rows:
+        documents.setdefault((r["doc_id"], r["quality"], r["__k"]), []).append(np.frombuffer(bytes(r["__part"]), dtype=np.uint8))
+    return fit_chunks(list(documents.values()), np.array([k[1] for k in documents]))
 
 
 def score(df: DataFrame, net: Network, keep: list[str], text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -215,6 +215,21 @@ def junk_and_prose(n=300):
     return rows
 
 
+def test_classifier_learns_from_the_middle_of_texts(spark):
+    """Labels that only the middle of a text shows, over 2,500 characters from both ends."""
+    rng = random.Random(23)
+    prose = lambda n: "".join(rng.choice("etaoin shrdlu") for _ in range(n))
+    junk = lambda n: "".join(rng.choice("#@~|=+") for _ in range(n))
+    rows = [(i, prose(2600) + (prose if i % 2 else junk)(2600) + prose(2600), i % 2) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    net = Q.train(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    held = docs.where(Q.held_out(F.col("doc_id")))
+    got = Q.score(held, net, ["quality"]).collect()
+    assert len(got) > 20 and all(r["predicted"] == r["quality"] for r in got)
+    some = Q.train(docs.select("doc_id", "text"), docs.select("doc_id", "quality"), sample_chunks=1000)
+    assert all(r["predicted"] == r["quality"] for r in Q.score(held, some, ["quality"]).collect())
+
+
 def test_classifier(spark, awkward, empty):
     rows = junk_and_prose()
     docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
