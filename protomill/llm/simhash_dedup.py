@@ -17,10 +17,14 @@ pairs, so a group of thousands of near copies costs as many rows as it has membe
 alternating large-star and small-star rounds on tables in the shared folder.  No fingerprints (but for the sample), links or
 components reach the driver.
 
-Exact similarity.  ``shingle_components`` takes the fingerprints of distinct shingles and uses them only to find candidates.  Rows with equal
-sets of shingles are one node.  The links of the search join nodes into candidate components; two nodes in different ones are no candidates.
-The shingle hashes of a component's nodes are then joined to them and met once, a pair of blocks of the component in each task, and a pair of
-candidates is linked if the exact Jaccard similarity of its sets reaches the bound.  Nodes without any candidate ship no shingles.
+Exact similarity.  ``shingle_components`` links texts by the Jaccard similarity of their sets of shingles.  Fingerprints of texts at 0.8 differ in so
+many bits (25 of 64 must be allowed) that no vantage point's bounds prune anything: distances between unrelated texts all lie within that of half the
+bits, and a tree would compare all pairs.  There the shards are dealt by minima instead: a text goes to one shard for each of ``BANDS`` bands of
+``BAND_ROWS`` minima of its shingles' hashes, so a pair at similarity s shares none with probability (1 - s ** BAND_ROWS) ** BANDS (2.7e-5 at 0.8).  Rows with
+equal sets are one node; nodes that share a shard join into candidate components, and only nodes of the same one can be linked.  The shingle hashes
+of a component's nodes are joined to them and met once, a pair of blocks of the component in each task (many small components share one).
+A pair is compared if its SimHash fingerprints differ in few enough bits, and linked if the exact similarity of its sets reaches the bound.
+Nodes without any candidate ship no shingles.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -45,6 +50,8 @@ LEAF_NODES = 2048
 MAX_LEAVES = 1024
 #: Nodes and shingles of a block of a candidate component, about.
 BLOCK_NODES, BLOCK_SHINGLES = 2048, 1 << 20
+#: Bands of minima that deal sets of shingles to shards, and the minima of each.
+BANDS, BAND_ROWS = 20, 4
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -82,10 +89,32 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> list[int]:
     return out
 
 
+@cache
+def _factors(count: int) -> np.ndarray:
+    """Odd multipliers, each of which puts hashes in an order of its own."""
+    return np.random.default_rng(29).integers(0, 1 << 63, size=count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """A key for each band, from the least hashes of a set in ``rows`` orders; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.uint64)
+    factors = _factors(bands * rows)
+    mixed = hashes ^ (hashes >> np.uint64(32))
+    least = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(mixed), 256):
+        least = np.minimum(least, (mixed[at : at + 256, None] * factors[None, :]).min(0))
+    key = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        key = (key ^ column) * _M1
+        key ^= key >> np.uint64(29)
+    return key
+
+
 def fingerprints(df: DataFrame, keep: list[str], words: int, lanes: int = 1, text_col: str = "text", distinct: bool = False, sets: bool = False) -> DataFrame:
     """``keep`` and f0, f1, ... and shingles (how many) of every whole text; narrow, no shuffle.
 
-    With ``distinct``, repeats don't count, and n is a digest of the set, or with ``sets``, hashes its sorted hashes.
+    With ``distinct``, repeats don't count, and n is a digest of the set and bands holds its 64-bit band keys; or with ``sets``, hashes its sorted hashes.
     """
 
     def make() -> Callable[[list[str]], list[list]]:
@@ -99,12 +128,13 @@ def fingerprints(df: DataFrame, keep: list[str], words: int, lanes: int = 1, tex
                 columns.append([h.tobytes() for h in hashes])
             elif distinct:
                 columns.append([hashlib.md5(h.tobytes()).digest() for h in hashes])
+                columns.append([band_keys(h).tobytes() for h in hashes])
             return columns
 
         return work
 
     schema = ", ".join(f"f{i} long" for i in range(lanes)) + ", shingles long"
-    schema += ", hashes binary" if sets else ", n binary" if distinct else ""
+    schema += ", hashes binary" if sets else ", n binary, bands binary" if distinct else ""
     return map_texts(df, keep, text_col, schema, make)
 
 
@@ -254,24 +284,71 @@ def exact_links(docs: DataFrame, placed: DataFrame, words: int, lanes: int, max_
     counts = placed.groupBy("root").agg(F.count("*").alias("__nodes"), F.sum("shingles").alias("__all"))
     blocks = F.floor(F.col("__nodes") / BLOCK_NODES + F.col("__all") / BLOCK_SHINGLES).cast("int") + 1
     counts = counts.where("__nodes > 1").select("root", blocks.alias("blocks"))
-    chosen = placed.select("n", "root", "__d", "__k").join(counts, "root")
-    texts = docs.select("__d", "__k", "text").join(chosen, ["__d", "__k"]).dropDuplicates(["n"])
+    chosen = placed.select("n", "root", "shingles", "__d", "__k").join(counts, "root")
+    texts = docs.select("__d", "__k", "text").join(chosen.drop("shingles"), ["__d", "__k"]).dropDuplicates(["n"])
     own = F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int").alias("own")
     # computed once, then sent to each pair of blocks
     sets = stored(fingerprints(texts.select("n", "root", "blocks", own, "text"), ["n", "root", "blocks", "own"], words, lanes, distinct=True, sets=True), "sets")
+    size = sets.where("blocks = 1").agg(F.count("*"), F.sum("shingles")).first()
+    # components of one block are dealt together, about a block's worth to a group
+    groups = 2 * max(-(-size[0] // BLOCK_NODES), -(-(size[1] or 0) // BLOCK_SHINGLES), 1)
+    whole = F.pmod(F.xxhash64("root"), F.lit(groups)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = sets.withColumn("other", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    together = F.when(F.col("blocks") > 1, F.col("root")), F.when(F.col("blocks") == 1, whole)
+    dealt = dealt.withColumns({"alone": together[0], "together": together[1]})
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         values = np.stack([pdf[f"f{i}"].to_numpy() for i in range(lanes)], axis=1).astype(np.int64).view(np.uint64)
         found = [np.frombuffer(x, dtype=np.uint64) for x in pdf["hashes"]]
         home = (pdf["own"] == pdf["i"]).to_numpy()
-        member, root = exact_forest(found, values, home, max_bits, all_bits, similarity)
-        n = pdf["n"].to_numpy()
-        return pd.DataFrame({"a": n[member], "b": n[root]})
+        n, members, heads = pdf["n"].to_numpy(), [], []
+        for some in pdf.groupby("root").indices.values():
+            if len(some) > 1:
+                member, head = exact_forest([found[i] for i in some], values[some], home[some], max_bits, all_bits, similarity)
+                members.append(n[some[member]])
+                heads.append(n[some[head]])
+        return pd.DataFrame({"a": np.concatenate(members), "b": np.concatenate(heads)} if members else {"a": [], "b": []})
+
+    columns = ["alone", "together", "root", "i", "j", "own", "n", *[f"f{i}" for i in range(lanes)], "hashes"]
+    return dealt.select(*columns).groupBy("alone", "together", "i", "j").applyInPandas(compare, "a binary, b binary")
+
+
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the nodes which share a shard: each to the least node of the shard.
+
+    ``nodes`` has n and bands.  A shard of a third of all nodes is one row of a partial aggregate, and edges go to no task as a group.
+    """
+    keys = F.expr("transform(sequence(1, int(length(bands) / 8)), i -> substring(bands, 8 * i - 7, 8))")
+    dealt = nodes.select("n", F.explode(keys).alias("key")).select("n", F.xxhash64("key").alias("key"))
+    shards = dealt.groupBy("key").agg(F.min("n").alias("b"), F.max("n").alias("__hi")).where("b <> __hi").select("key", "b")
+    return dealt.join(shards, "key").where("n <> b").select(F.col("n").alias("a"), "b").distinct()
+
+
+def shingle_classes(
+    docs: DataFrame,
+    max_bits: int,
+    all_bits: int,
+    similarity: float,
+    words: int = 5,
+    lanes: int = 4,
+) -> tuple[DataFrame, DataFrame]:
+    """(prints, classes): ``prints`` is ``docs`` (less its text) with n, the set that the text has; ``classes`` has n, least, __row and root, the class.
 
-    columns = ["root", "i", "j", "own", "n", *[f"f{i}" for i in range(lanes)], "hashes"]
-    return dealt.select(*columns).groupBy("root", "i", "j").applyInPandas(compare, "a binary, b binary")
+    ``docs`` has __id, __d, __k and text.  Texts whose sets have at least the Jaccard similarity are linked, and classes are the components of links.
+    ``least`` is the smallest __id of a node, and __row (no id, __d, __k) its first row by the same order.
+    """
+    prints = stored(fingerprints(docs, [c for c in docs.columns if c != "text"], words, lanes, distinct=True), "prints")
+    names = [f"f{i}" for i in range(lanes)]
+    firsts = [F.first(c).alias(c) for c in ("shingles", "bands")]  # the same in all rows of a node
+    row = F.min(F.struct(F.col("__id").isNull().alias("none"), "__d", "__k")).alias("__row")
+    nodes = stored(prints.groupBy("n").agg(F.min("__id").alias("least"), row, *firsts), "nodes")
+    candidates = connected(shared_bands(nodes))
+    candidates = candidates.union(candidates.select(F.col("root").alias("node"), "root")).distinct()
+    placed = nodes.select("n", "shingles", "__row.__d", "__row.__k").join(candidates.withColumnRenamed("node", "n"), "n")
+    roots = connected(exact_links(docs, stored(placed, "placed"), words, lanes, max_bits, all_bits, similarity))
+    classes = nodes.select("n", "least", "__row").join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+    return prints.drop("bands", "shingles", *names), classes
 
 
 def shingle_components(
@@ -286,26 +363,35 @@ def shingle_components(
 ) -> DataFrame:
     """A row for each input row: its id and component_id, over links of texts whose sets of shingles have at least the Jaccard similarity.
 
-    Candidates differ in ``max_bits`` of the first lane and ``all_bits`` of all lanes at most.  ``component_id`` is as in ``simhash_components``.
-    Texts without a word have equal (empty) sets, and link with each other only.
+    Pairs are compared if they differ in ``max_bits`` of the first lane and ``all_bits`` of all lanes at most.  ``component_id`` is as in
+    ``simhash_components``.  Texts without a word have equal (empty) sets, and link with each other only.
     """
     docs = document_keys(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")), "text", "__id")
-    prints = stored(fingerprints(docs, ["__id", "__d", "__k"], words, lanes, distinct=True), "prints")
-    names = [f"f{i}" for i in range(lanes)]
-    firsts = [F.first(c).alias(c) for c in (*names, "shingles")]  # the same in all rows of a node
-    row = F.min(F.struct("__d", "__k")).alias("__row")
-    nodes = prints.groupBy("n").agg(F.min("__id").alias("least"), row, *firsts)
-    nodes = stored(nodes.select("n", "least", "__row.*", *names, "shingles"), "nodes")
-    candidates = connected(links(nodes, lanes, max_bits, all_bits, similarity))
-    candidates = stored(candidates.union(candidates.select(F.col("root").alias("node"), "root")).distinct(), "candidates")
-    placed = nodes.join(candidates.withColumnRenamed("node", "n"), "n")
-    roots = connected(exact_links(docs, placed, words, lanes, max_bits, all_bits, similarity))
-    final = nodes.select("n", "least").join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
-    smallest = final.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = prints.select("__id", "n").join(final.join(smallest, "root").select("n", "component_id"), "n")
+    prints, classes = shingle_classes(docs, max_bits, all_bits, similarity, words, lanes)
+    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = prints.select("__id", "n").join(classes.join(smallest, "root").select("n", "component_id"), "n")
     return out.select(F.col("__id").alias(id_col), "component_id")
 
 
+def one_of_each(
+    df: DataFrame, max_bits: int, all_bits: int, similarity: float, words: int = 5, lanes: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of each component of ``shingle_components``, and all its columns.
+
+    That with the smallest id stays (rows without an id come last), of texts under one id that with the smallest hash, and of
+    rows with equal id and text one: the first by a hash of its other columns.
+    """
+    keyed = document_keys(df, text_col, id_col)
+    docs = keyed.select(F.col(f"`{id_col}`").cast("long").alias("__id"), "__d", "__k", F.col(f"`{text_col}`").alias("text"))
+    _, classes = shingle_classes(docs, max_bits, all_bits, similarity, words, lanes)
+    keep = classes.groupBy("root").agg(F.min("__row").alias("__row")).select("__row.__d", "__row.__k")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    order = F.struct(F.col(f"`{id_col}`").isNull(), F.xxhash64(*[F.to_json(F.struct(c)) for c in columns]))
+    # repeated rows meet in partial aggregates, so that many of them fill no task
+    rows = keyed.groupBy("__d", "__k").agg(F.min_by(F.struct(*columns), order).alias("__whole"))
+    return rows.join(keep, ["__d", "__k"], "left_semi").select("__whole.*")
+
+
 def links(nodes: DataFrame, lanes: int, max_bits: int, all_bits: int | None = None, ratio: float | None = None) -> DataFrame:
     """Edges (a, b) between node ids that connect exactly the nodes that links connect.
 

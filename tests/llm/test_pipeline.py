@@ -98,6 +98,36 @@ def test_near_duplicates_are_those_of_exact_similarity(spark, monkeypatch, block
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
 
 
+def test_rows_that_repeat_or_share_an_id_lose_no_text(spark, tmp_path):
+    """Two equal rows under an id, two without an id, one text under two ids, and another text under one of these."""
+    rng = random.Random(23)
+    a, b, c, d = (prose(rng, 100) for _ in range(4))
+    rows = [(1, a), (1, a), (None, b), (None, b), (3, c), (7, c), (7, d)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages):
+        docs = stage(spark, docs, "")
+        got = sorted(((r["doc_id"] or 0, r["text"]) for r in docs.collect()))
+        assert got == sorted([(1, a), (0, b), (3, c), (7, d)])
+
+
+def test_bands_find_pairs_at_the_bound():
+    """Of 400 pairs of sets at similarity 0.8, all share a band; unrelated sets share none."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    met = other = 0
+    for _ in range(400):
+        both, x, y = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (160, 20, 20))
+        one, two = (set(keys_of(np.concatenate((both, z)))) for z in (x, y))
+        met += bool(one & two)
+        other += bool(one & set(keys_of(rng.integers(0, 1 << 63, 180, dtype=np.uint64))))
+    assert met == 400 and other == 0
+
+
+def keys_of(hashes):
+    return simhash_dedup.band_keys(hashes).tolist()
+
+
 def test_mixture_keeps_every_row(stages):
     key = lambda df: sorted((r["doc_id"], r["text"]) for r in df.collect())
     assert key(stages["mixture"]) == key(stages["repeated_passages"])
