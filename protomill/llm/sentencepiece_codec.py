@@ -2,7 +2,9 @@
 
 The encoder keeps an agenda of adjacent symbol pairs ordered by the score of the piece they would
 form.  The best pair (leftmost among equals) is merged, its new neighbours join the agenda, and so on
-until no pair forms a piece.  Characters without a piece become byte pieces.
+until no pair forms a piece.  Characters without a piece become byte pieces.  Words of up to ``SHORT`` symbols are encoded together: those
+of one length are the rows of a table of symbols, their agendas the rows of a table of ranks, and a step merges the best pair of
+every row that has one.  Longer words keep a heap each.
 
 Two facts of the vocabulary, checked when it is loaded, let one worker remember what it has encoded:
 no piece goes on after a character other than the space mark with a space mark, so a text can be cut
@@ -17,9 +19,12 @@ agree, or the job fails.  Null texts count as empty, and an empty text has the e
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from protomill.llm.common import map_texts
@@ -28,8 +33,10 @@ from protomill.llm.common import map_texts
 MARK = "▁"
 #: Words that one Python worker remembers (about 150 bytes each); then it starts anew.
 MEMORY_WORDS = 500_000
-#: Symbols up to which the agenda is a plain list, and a heap beyond.
+#: Symbols up to which words are encoded together, and with a heap of their own beyond.
 SHORT = 48
+#: Stands in an agenda for a pair that forms no piece.
+NO_PAIR = (1 << 62) - 1
 
 
 class MergeVocabulary:
@@ -69,29 +76,99 @@ class MergeVocabulary:
         if "".join(probe) != f"{MARK}a{MARK}{MARK}b{MARK}":
             raise ValueError("only models without normalisation, with a leading space mark, are supported")
 
+        self._make_pairs()
+
+    def _make_pairs(self) -> None:
+        """Every pair of symbols that forms a piece, by sorted key, with the piece's rank (in the high bits) and id.
+
+        A symbol is the id of its piece, or the number of pieces and its code point if it has none.  Pieces of equal score have equal ranks.
+        """
+        self.base = len(self.piece_of)
+        rank_of = {r: k for k, r in enumerate(sorted(set(self.rank.values())))}
+        self.of_character = np.arange(0x110000, dtype=np.int64) + self.base
+        for p, i in self.id_of.items():
+            if len(p) == 1:
+                self.of_character[ord(p)] = i
+        keys: dict[int, int] = {}
+        for p, i in self.id_of.items():
+            for cut in range(1, len(p)):
+                left, right = (self.id_of.get(x, self.base + ord(x) if len(x) == 1 else -1) for x in (p[:cut], p[cut:]))
+                if left >= 0 and right >= 0:
+                    keys[left << 24 | right] = rank_of[self.rank[p]] << 24 | i
+        self.pair_keys = np.array(sorted(keys), dtype=np.int64)
+        self.pair_ranks = np.array([keys[k] for k in self.pair_keys.tolist()], dtype=np.int64)
+        self.names = [str(i) for i in range(self.base)]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank and id of what each two symbols form."""
+        wanted = left << 24 | right
+        if not len(self.pair_keys):
+            return np.full(wanted.shape, NO_PAIR, dtype=np.int64)
+        at = np.searchsorted(self.pair_keys, wanted)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == wanted, self.pair_ranks[at], NO_PAIR)
+
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """Ids of many words in which spaces are marks already."""
+        out: list[list[int]] = [[]] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        for length, where in by_length.items():
+            if not length:
+                continue
+            if length > SHORT:
+                for i in where:
+                    out[i] = self.merge(words[i])
+                continue
+            points = np.frombuffer("".join([words[i] for i in where]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            for row, symbols in self._merge_table(self.of_character[points].reshape(-1, length)):
+                for i, ids in zip(row.tolist(), symbols.tolist(), strict=True):
+                    out[where[i]] = ids if max(ids) < self.base else self._with_bytes([self._symbol(x) for x in ids])
+        return out
+
+    def _symbol(self, number: int) -> str:
+        return self.piece_of[number] if number < self.base else chr(number - self.base)
+
+    def _merge_table(self, symbols: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, their final symbols) of words of one length: each step takes the best pair from each row's agenda."""
+        rows, done = np.arange(len(symbols)), []
+        agenda = self._ranks(symbols[:, :-1], symbols[:, 1:])
+        while len(rows) and agenda.shape[1]:
+            each, at = np.arange(len(rows)), (agenda >> 24).argmin(1)  # the leftmost of equals
+            best = agenda[each, at]
+            ended = best == NO_PAIR
+            if ended.any():
+                done.append((rows[ended], symbols[ended]))
+                go = ~ended
+                rows, symbols, agenda, at, best, each = rows[go], symbols[go], agenda[go], at[go], best[go], each[: int(go.sum())]
+                if not len(rows):
+                    break
+            piece = best & 0xFFFFFF
+            symbols[each, at] = piece
+            # a row loses the pair's right symbol and the pair
+            stays = np.ones(symbols.shape, dtype=bool)
+            stays[each, at + 1] = False
+            symbols = symbols[stays].reshape(len(rows), -1)
+            stays = np.ones(agenda.shape, dtype=bool)
+            stays[each, at] = False
+            agenda = agenda[stays].reshape(len(rows), -1)
+            right = np.nonzero(at < agenda.shape[1])[0]
+            agenda[right, at[right]] = self._ranks(piece[right], symbols[right, at[right] + 1])
+            left = np.nonzero(at)[0]
+            agenda[left, at[left] - 1] = self._ranks(symbols[left, at[left] - 1], piece[left])
+        if len(rows):
+            done.append((rows, symbols))
+        return done
+
     def merge(self, symbols: str) -> list[int]:
         """Ids of a text in which spaces are marks already."""
-        parts = self._merge_short(list(symbols)) if len(symbols) <= SHORT else self._merge_long(list(symbols))
+        parts = self._merge_long(list(symbols))
         try:
             return [self.id_of[p] for p in parts]
         except KeyError:
             return self._with_bytes(parts)
 
-    def _merge_short(self, parts: list[str]) -> list[str]:
-        """The agenda as a list of the pairs' ranks, whose smallest (leftmost among equals) is next."""
-        rank, none = self.rank.get, float("inf")
-        agenda = [rank(p, none) for p in map(str.__add__, parts, parts[1:])]
-        while agenda and (best := min(agenda)) != none:
-            i = agenda.index(best)
-            piece = parts[i] + parts[i + 1]
-            parts[i : i + 2] = [piece]
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = rank(piece + parts[i + 1], none)
-            if i:
-                agenda[i - 1] = rank(parts[i - 1] + piece, none)
-        return parts
-
     def _merge_long(self, parts: list[str]) -> list[str]:
         """The agenda as a heap."""
         rank, n = self.rank, len(parts)
@@ -133,6 +210,15 @@ class MergeVocabulary:
             return []
         return self._encode_marked(MARK + text.replace(" ", MARK))
 
+    def encode_all(self, words: list[str]) -> list[list[int]]:
+        """As encode() for each of many words; an empty word is a space mark alone."""
+        marked = [MARK + w.replace(" ", MARK) if " " in w else MARK + w for w in words]
+        out = self.merge_all(["" if len(m) > SHORT and "\n" in m else m for m in marked])
+        for i, m in enumerate(marked):
+            if len(m) > SHORT and "\n" in m:
+                out[i] = self._encode_marked(m)
+        return out
+
     def _encode_marked(self, marked: str) -> list[int]:
         """As merge(), cut at line feeds where no piece joins them to anything."""
         if not (self.cut_at_line and "\n" in marked):
@@ -223,9 +309,10 @@ class Codec:
             known.clear()
             self.odd.clear()
         new = list(set().union(*split).difference(known))
-        encoded = [vocabulary.encode(w) if w else vocabulary.merge(MARK) for w in new]
+        encoded = vocabulary.encode_all(new)
+        names = vocabulary.names
         for w, ids in zip(new, encoded, strict=True):
-            known[w] = " ".join(map(str, ids))
+            known[w] = " ".join([names[i] for i in ids])
             if (decoded := vocabulary.decode(ids)) != w:
                 self.odd[w] = decoded
         out = []
@@ -243,11 +330,12 @@ class Codec:
         some = [(w, ids) for w, ids in zip(new, encoded, strict=True) if w]
         if some:
             words, ours = [w for w, _ in some], [ids for _, ids in some]
-            decoded = [self.odd.get(w, w) for w in words]
-            if library.encode(words, num_threads=1) != ours or library.decode(ours, num_threads=1) != decoded:
+            # a word begins with a space mark, so that all decoded at once are the words joined by spaces
+            decoded = " ".join([self.odd.get(w, w) for w in words])
+            if library.encode(words, num_threads=1) != ours or library.decode(list(chain.from_iterable(ours))) != decoded:
                 raise RuntimeError("the encoder and the sentencepiece library differ on a word")
         if texts:
-            at = min(range(len(texts)), key=lambda i: (not texts[i], len(texts[i])))
+            at = max(range(len(texts)), key=lambda i: (bool(texts[i]), zlib.crc32(texts[i].encode()), -i))  # any, by its hash
             ids = library.encode(texts[at], add_eos=True)
             if " ".join(map(str, ids)) != out[at][1] or library.decode(ids) != out[at][2]:
                 raise RuntimeError("the encoder and the sentencepiece library differ on a text")
