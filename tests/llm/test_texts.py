@@ -76,9 +76,37 @@ def test_counts_equal_the_library(name, rule):
     assert [C.count_huge(t, own, 1000, 50) for t in texts[:16]] == want[:16]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_overlaps_widen_where_alignment_fails(name):
+    own = C.tokenizer(vocabulary(name))
+    count = lambda t: len(own.library.encode(t, add_special_tokens=False) if name.endswith("json") else own.library.encode(t))
+    plain = "some words that tokenise well enough " * 20
+    for text, wanted in (
+        (plain, {"splice"}),
+        (plain + "undelimited" * 8 + " " + plain, {"splice", "widen"}),  # the overlap of 16 lies inside a word of 88
+        (plain + "x1" * 400 + " " + plain, {"splice", "widen", "grow"}),  # a word longer than a chunk
+        ("y" * 700, {"widen", "grow"}),
+    ):
+        trace: list = []
+        assert C.count_huge(text, own, 128, 16, trace) == count(text)
+        assert set(trace) == wanted
+
+
+def test_a_splice_needs_a_token_at_the_same_place_in_both_chunks():
+    class Chunk:
+        def __init__(self, starts):
+            self.starts = starts
+
+        def token_at(self, place):
+            return self.starts.index(place) if place in self.starts else -1
+
+    assert C.aligned_at(Chunk([0, 3, 9]), Chunk([4, 9]), [3, 4, 9], 4) == 9
+    assert C.aligned_at(Chunk([0, 3]), Chunk([4]), [3, 4, 9], 4) == -1
+
+
 def test_count_rows(awkward, empty, clashing):
     path = vocabulary("word_bpe_49k.json")
-    got = C.count_tokens(awkward, path, ["doc_id"], limit=100, chunk=512, overlap=16).collect()
+    got = C.count_tokens(awkward, path, ["doc_id"], limit=100, huge=700, chunk=512, overlap=16).collect()
     assert len(got) == awkward.count() and any(r["over_limit"] for r in got)
     assert {(r["n_bytes"], r["n_tokens"]) for r in got if r["doc_id"] in (8, 9)} == {(0, 0)}
     assert C.count_tokens(empty, path, ["doc_id"]).count() == 0
