@@ -44,7 +44,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/protomill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more: what was made of them is stored itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: A key with more than this part of all rows is hot; so there are never more hot keys than its inverse.
+HOT_SHARE = 1 / 10_000
+
+
+def hot_split_join(left: DataFrame, right: DataFrame, on: list[str], count: str, rows: int) -> DataFrame:
+    """Inner join in which hot keys fill no task.
+
+    ``right`` has one row for each key and is stored; its column ``count`` says in how many of the ``rows`` of ``left`` the key stands.
+    Rows of hot keys (10,000 keys at most, whatever the table) meet a broadcast and are not shuffled.
+    """
+    edge = max(rows * HOT_SHARE, 100)
+    hot = right.where(F.col(count) > edge)
+    some = left.join(F.broadcast(hot), on)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(count) <= edge), on)
+    return some.unionByName(rest)
 
 
 def document_keys(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

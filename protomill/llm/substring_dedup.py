@@ -6,13 +6,18 @@ Reference blocks.  A window owns its smallest k-word gram (by hash; the leftmost
 place, so all copies of a window meet under that gram.  The windows that own one occurrence of a gram are neighbours and span a block of ``window`` to
 2 x window - k words.  Every block of every document is indexed by (gram, hash of the whole block); about one for each 14 words.
 
-Factors.  A block that stands anywhere else as a whole makes all its windows duplicates, so consecutive known blocks run together into one long
-factor.  Factor boundaries: a block that is unique as a whole, but whose gram occurs in other blocks, may still share some windows with them.  Only these
-blocks, and one copy of each block they may share with, are expanded to window hashes (128 bits), which are counted and matched exactly.
+Matches.  A block that stands elsewhere as a whole matches there: its reference is the first place of the block in the index (the last, for that
+place itself).  A block that is unique as a whole, but whose gram occurs in other blocks, may still share a part with them: that is where a factor begins or
+ends.  Only these blocks, and one copy of each block they may share with, are expanded to window hashes (128 bits), which are matched in the same way.
 Grams that occur once end the factor and cost nothing more.
 
-All grouping is by aggregation with partial sums or by joins that adaptive execution can split, so a passage in a third of all documents
-doesn't fill one task.  The blocks are a table in the shared folder.  Two copies of a text count as copies of all its windows.
+Factors.  Each document is parsed greedily from the left: a factor starts at the first window that matches anywhere, and goes on for as long as the next
+windows match the same document at the next places.  A factor is (place, length, reference document,
+place there); it has ``window`` words at least, is as long as its reference allows, and its words are the duplicate span.
+
+Keys with a large part of all rows (a passage in a third of all documents) are joined by a broadcast of at most 10,000 keys and aggregated
+with partial sums, so they fill no task.  Blocks and matches are tables in the shared folder, deleted once the factors are stored.
+Two copies of a text count as copies of all its windows; rows of a batch that repeat with their ids are parsed once and counted as often as they stand.
 
 Null and empty texts have no words; texts with fewer words than the window lose none.
 """
@@ -20,14 +25,15 @@ Null and empty texts have no words; texts with fewer words than the window lose
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from protomill.llm.common import document_keys, new_fields, slices, stored, with_fields
+from protomill.llm.common import discard, document_keys, hot_split_join, new_fields, slices, stored, with_fields
 
 #: Words of a gram.
 GRAM = 8
@@ -131,16 +137,19 @@ def _blocks(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
             ids, keys = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
-            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+            times = Counter(zip(ids.tolist(), keys.tolist(), strict=True))
             for i, text in enumerate(part.column(2).to_pylist()):
-                words = text.encode().split() if text else []
+                m = times.pop((ids[i], keys[i]), 0)  # none if a row with the same id and text came before
+                words = text.encode().split() if m and text else []
                 if len(words) < window:
                     continue
                 g, b, first, count = blocks_of(word_hashes(words), window, gram)
-                for column, x in zip(columns, (_signed(g), _signed(b), np.full(len(g), ids[i]), np.full(len(g), keys[i]), first.astype(np.int32), count.astype(np.int32)), strict=True):
+                row = (_signed(g), _signed(b), *(np.full(len(g), x) for x in (ids[i], keys[i])), first.astype(np.int32), count.astype(np.int32), np.full(len(g), m, dtype=np.int32))
+                for column, x in zip(columns, row, strict=True):
                     column.append(x)
             if columns[0]:
-                names = ["g", "b", "d", "k", "at", "n"]
+                names = ["g", "b", "d", "k", "at", "n", "m"]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=names)
 
     return run
@@ -168,52 +177,133 @@ def _windows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def duplicate_windows(keyed: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
-    """(d, k, at, n): runs of n windows, from word ``at`` on, of the document with key (d, k), that stand elsewhere too.
+def _reference(place: Column) -> list[Column]:
+    """ref_d, ref_k and ref_at: the first place, but the last for the first itself."""
+    chosen = F.when(F.col("one") == place, F.col("other")).otherwise(F.col("one"))
+    return [chosen[c].alias(f"ref_{c}") for c in ("d", "k", "at")]
+
 
-    ``keyed`` has __d, __k and __text.
+def matches(keyed: DataFrame, window: int, gram: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (d, k, at, n, ref_d, ref_k, ref_at) and the tables that they are read from.
+
+    The n windows from word ``at`` on, of the document with key (d, k), stand at the reference too.  Rows of a document share no
+    window, but for rows that repeat.  ``keyed`` has __d, __k and __text.
     """
-    blocks = stored(keyed.mapInArrow(_blocks(window, gram), "g long, b long, d long, k long, at int, n int"), "blocks")
+    blocks = stored(keyed.mapInArrow(_blocks(window, gram), "g long, b long, d long, k long, at int, n int, m int"), "blocks")
+    total = blocks.count()
     # grams of two occurrences at least; mixed: in different blocks
-    grams = blocks.groupBy("g").agg(F.count("*").alias("c"), F.min("b").alias("lo"), F.max("b").alias("hi")).where("c > 1")
-    # stored, so that both sides of the join are plain shuffles, of which adaptive execution splits the one of a hot gram
-    grams = stored(grams.select("g", (F.col("lo") != F.col("hi")).alias("mixed")), "grams")
-    met = blocks.join(grams, "g")
-    met = stored(met.select("g", "b", "d", "k", "at", "n", "mixed"), "met")
-    mixed = met.where("mixed")
-    one = F.min(F.struct("d", "k", "at", "n")).alias("one")
-    kinds = stored(mixed.groupBy("g", "b").agg(F.count("*").alias("c"), one), "kinds")
-    pure = met.where("not mixed").select("d", "k", "at", "n")
-    known = mixed.join(kinds.where("c > 1").select("g", "b"), ["g", "b"]).select("d", "k", "at", "n")
+    grams = blocks.groupBy("g").agg(F.count("*").alias("c"), F.sum("m").alias("all"), F.min("b").alias("lo"), F.max("b").alias("hi")).where("all > 1")
+    grams = stored(grams.select("g", "c", (F.col("lo") != F.col("hi")).alias("mixed")), "grams")
+    met = hot_split_join(blocks, grams, ["g"], "c", total)
+    met = stored(met.select("g", "b", "d", "k", "at", "n", "m", "mixed"), "met")
+    place = F.struct("d", "k", "at")
+    kinds = met.groupBy("g", "b").agg(
+        F.count("*").alias("c"), F.sum("m").alias("all"), F.max("mixed").alias("mixed"), F.min("n").alias("__n"), F.min(place).alias("one"), F.max(place).alias("other")
+    )
+    kinds = stored(kinds, "kinds")
+    known = kinds.where("all > 1").select("g", "b", "c", "one", "other")
+    whole = hot_split_join(met.select("g", "b", "d", "k", "at", "n"), known, ["g", "b"], "c", met.count())
     # factor boundaries: unique blocks under a shared gram, and one copy of each block they may share windows with
-    edge = kinds.select(F.col("one.d").alias("d"), F.col("one.k").alias("k"), F.struct(F.col("one.at").alias("at"), F.col("one.n").alias("n"), (F.col("c") > 1).alias("whole")).alias("e"))
-    edges = edge.groupBy("d", "k").agg(F.collect_list("e").alias("edges"))
+    edge = F.struct(F.col("one.at").alias("at"), F.col("__n").alias("n"), (F.col("all") > 1).alias("whole")).alias("e")
+    edges = kinds.where("mixed").select(F.col("one.d").alias("d"), F.col("one.k").alias("k"), edge).groupBy("d", "k").agg(F.collect_list("e").alias("edges"))
     texts = keyed.select(F.col("__d").alias("d"), F.col("__k").alias("k"), "__text")
     joined = texts.join(edges, ["d", "k"]).select("d", "k", "__text", "edges")
-    windows = joined.mapInArrow(_windows(window), "h1 long, h2 long, d long, k long, at int, whole boolean")
-    windows = stored(windows, "windows")
-    shared = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    single = windows.where("not whole").join(shared, ["h1", "h2"]).select("d", "k", "at", F.lit(1).alias("n"))
-    return pure.unionByName(known).unionByName(single)
+    windows = stored(joined.mapInArrow(_windows(window), "h1 long, h2 long, d long, k long, at int, whole boolean"), "windows")
+    shared = stored(windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    again = stored(hot_split_join(windows, shared, ["h1", "h2"], "c", windows.count()), "again")
+    # the rows of a hash lie in few files, so that partial aggregates leave little to shuffle
+    places = stored(again.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(place).alias("one"), F.max(place).alias("other")), "places")
+    single = hot_split_join(again.where("not whole").drop("c"), places, ["h1", "h2"], "c", again.count())
+    out = whole.select("d", "k", "at", "n", *_reference(place)).unionByName(single.select("d", "k", "at", F.lit(1).alias("n"), *_reference(place)))
+    return out, [blocks, grams, met, kinds, windows, shared, again, places]
+
+
+def greedy_factors(found: np.ndarray, window: int) -> np.ndarray:
+    """Rows (d, k, at, length, ref_d, ref_k, ref_at) of the factors, from matches (d, k, at, n, ref_d, ref_k, ref_at) sorted by d, k and at."""
+    d, k, at, n, ref_d, ref_k, ref_at = found.T
+    same = (d[1:] == d[:-1]) & (k[1:] == k[:-1])
+    # a row that repeats with its id brings its matches again
+    once = np.append(True, ~(same & (at[1:] == at[:-1])))
+    if not once.all():
+        return greedy_factors(found[once], window)
+    on = same & (at[1:] == at[:-1] + n[:-1]) & (ref_d[1:] == ref_d[:-1]) & (ref_k[1:] == ref_k[:-1]) & (ref_at[1:] - at[1:] == ref_at[:-1] - at[:-1])
+    first = np.nonzero(np.append(True, ~on))[0]
+    last = np.append(first[1:], len(at)) - 1
+    out = found[first]
+    out[:, 3] = at[last] + n[last] - at[first] + window - 1
+    return out
+
+
+_FACTORS = ["d", "k", "at", "length", "ref_d", "ref_k", "ref_at"]
+_KINDS = ["long", "long", "int", "int", "long", "long", "int"]
+
+
+def _parse(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From matches, sorted by document and place, to one row of arrays for each document; a document may go on in the next batch."""
+
+    def rows(found: np.ndarray) -> pa.RecordBatch:
+        parsed = greedy_factors(found, window)
+        new = np.append(True, (parsed[1:, 0] != parsed[:-1, 0]) | (parsed[1:, 1] != parsed[:-1, 1]))
+        first = np.nonzero(new)[0]
+        cuts = pa.array(np.append(first, len(parsed)), type=pa.int32())
+        columns = [pa.array(parsed[first, i]) for i in (0, 1)]
+        for i in range(2, 7):
+            kind = pa.int64() if _KINDS[i] == "long" else pa.int32()
+            columns.append(pa.ListArray.from_arrays(cuts, pa.array(parsed[:, i]).cast(kind)))
+        return pa.RecordBatch.from_arrays(columns, names=_FACTORS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for part in batches:
+            if not part.num_rows:
+                continue
+            found = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in part.columns])
+            ends = np.nonzero((found[1:, 0] != found[:-1, 0]) | (found[1:, 1] != found[:-1, 1]))[0]
+            if held and (held[-1][-1, :2] != found[0, :2]).any():
+                yield rows(np.concatenate(held))
+                held = []
+            if len(ends):
+                cut = int(ends[-1]) + 1
+                yield rows(np.concatenate([*held, found[:cut]]))
+                held, found = [], found[cut:]
+            held.append(found)
+        if held:
+            yield rows(np.concatenate(held))
+
+    return run
+
+
+def factors(keyed: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
+    """The factors of every document that has any: its key (d, k) and arrays at, length, ref_d, ref_k, ref_at, one entry for each factor.
+
+    ``keyed`` has __d, __k and __text.  A stored table.
+    """
+    found, tables = matches(keyed, window, gram)
+    by_doc = found.repartition("d", "k").sortWithinPartitions("d", "k", "at")
+    schema = ", ".join(f"{c} {kind}" if i < 2 else f"{c} array<{kind}>" for i, (c, kind) in enumerate(zip(_FACTORS, _KINDS, strict=True)))
+    out = stored(by_doc.mapInArrow(_parse(window), schema), "factors")
+    discard(*tables)
+    return out
 
 
-def _remove(window: int, names: list[str], fields: list[tuple[str, pa.DataType]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _remove(names: list[str], fields: list[tuple[str, pa.DataType]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     kept = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, kept):
             rows: list[tuple] = []
-            for text, runs in zip(part.column(kept).to_pylist(), part.column(kept + 1).to_pylist(), strict=True):
+            spans = zip(part.column(kept + 1).to_pylist(), part.column(kept + 2).to_pylist(), strict=True)
+            for text, (begins, lengths) in zip(part.column(kept).to_pylist(), spans, strict=True):
                 words = text.encode().split() if text else []
-                if not runs:
+                if not begins:
                     left = words
                 else:
-                    at, n = np.array([r["at"] for r in runs]), np.array([r["n"] for r in runs])
-                    edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + n + window - 1, minlength=len(words) + 1)
+                    at, n = np.array(begins), np.array(lengths)
+                    edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + n, minlength=len(words) + 1)
                     gone = np.cumsum(edge[: len(words)]) > 0
                     left = [words[i] for i in np.nonzero(~gone)[0].tolist()]
                 joined = b" ".join(left)
-                rows.append((len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest(), joined.decode() if runs else text or ""))
+                rows.append((len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest(), joined.decode() if begins else text or ""))
             columns = [part.column(i) for i in range(kept)]
             columns += [pa.array([r[i] for r in rows], type=kind) for i, (_, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *[name for name, _ in fields]])
@@ -235,11 +325,9 @@ def remove_duplicates(
     keep = [c for c in keep if c not in new]
     plain = df.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)], F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     keyed = document_keys(plain, "__text", "__id")
-    runs = duplicate_windows(keyed.select("__d", "__k", "__text"), window, gram)
-    # a set, since a row that repeats with its id brings its runs again; as long as a document at most
-    by_doc = runs.groupBy("d", "k").agg(F.collect_set(F.struct("at", "n")).alias("__runs"))
+    found = factors(keyed.select("__d", "__k", "__text"), window, gram).select("d", "k", "at", "length")
     on = (F.col("__d") == F.col("d")) & (F.col("__k") == F.col("k"))
     held = [f"__c{i}" for i in range(len(keep))]
-    whole = keyed.join(by_doc, on, "left").select(*held, "__text", "__runs")
-    out = whole.mapInArrow(_remove(window, held, new_fields(schema)), with_fields(whole, len(keep), schema))
+    whole = keyed.join(found, on, "left").select(*held, "__text", "at", "length")
+    out = whole.mapInArrow(_remove(held, new_fields(schema)), with_fields(whole, len(keep), schema))
     return out.toDF(*keep, *new)

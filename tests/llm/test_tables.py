@@ -7,14 +7,17 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from protomill.llm import common
 from protomill.llm import multi_index as N
 from protomill.llm import simhash_dedup as H
 from protomill.llm import source_mixing as M
 from protomill.llm import substring_dedup as D
 from protomill.llm import url_filter as U
+from protomill.llm.common import document_keys
 from protomill.llm.queries import URL_RULES
 from tests.llm.conftest import awkward_rows, prose
 
@@ -197,6 +200,52 @@ def test_substrings_equal_brute_force(spark, seed):
     assert [got[i] for i in range(len(texts))] == brute_dedup(texts)
 
 
+def test_factors_match_their_references(spark):
+    """Each factor's words stand at its reference too, no factor could go on with the same reference, and together they are the duplicate words."""
+    texts = patchwork(4)
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string").repartition(4)
+    keyed = document_keys(docs).select("__d", "__k", F.col("text").alias("__text"))
+    words = [t.split() for t in texts]
+    gone = [set() for _ in texts]
+    parsed = D.factors(keyed).collect()
+    assert len({r["d"] for r in parsed}) == len(parsed)
+    for r in parsed:
+        mine, ends = words[r["d"]], set()
+        for at, length, ref, ref_at in zip(r["at"], r["length"], r["ref_d"], r["ref_at"], strict=True):
+            assert length >= 35 and mine[at : at + length] == words[ref][ref_at : ref_at + length]
+            assert (ref, ref_at) != (r["d"], at) or r["d"] == 0  # the row that repeats
+            assert (ref, ref_at - at, at) not in ends
+            ends.add((ref, ref_at - at, at + length - 34))
+            gone[r["d"]] |= set(range(at, at + length))
+    assert [len(g) for g in gone] == [n for _, n, _ in brute_dedup([*texts, texts[0]])[: len(texts)]]
+
+
+def test_a_long_copy_is_one_factor(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 4000)
+    docs = spark.createDataFrame([(1, prose(rng, 50) + " " + passage), (2, passage + " " + prose(rng, 70))], "doc_id long, text string")
+    rows = D.factors(document_keys(docs).select("__d", "__k", F.col("text").alias("__text"))).orderBy("d").collect()
+    assert [(r["d"], r["at"], r["length"], r["ref_d"], r["ref_at"]) for r in rows] == [(1, [50], [4000], [2], [0]), (2, [0], [4000], [1], [50])]
+
+
+def test_documents_go_on_in_the_next_batch():
+    rows = np.array([(1, 1, 0, 5, 9, 9, 3), (1, 1, 5, 2, 9, 9, 8), (1, 1, 5, 2, 9, 9, 8), (1, 1, 7, 1, 9, 9, 11), (1, 2, 8, 1, 9, 9, 11), (2, 2, 9, 4, 9, 9, 12)])
+    want = [(1, 1, [0, 7], [41, 35]), (1, 2, [8], [35]), (2, 2, [9], [38])]
+    for size in (1, 2, 3, 6):
+        batches = (pa.RecordBatch.from_arrays([pa.array(c) for c in rows[i : i + size].T], names=list("abcdefg")) for i in range(0, len(rows), size))
+        got = [r for b in D._parse(35)(batches) for r in b.to_pylist()]
+        assert [(r["d"], r["k"], r["at"], r["length"]) for r in got] == want
+
+
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_hot_keys_are_joined_whole(spark, monkeypatch, share):
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    left = spark.createDataFrame([("hot", i) for i in range(300)] + [(f"k{i}", i) for i in range(50)], "k string, v int")
+    right = spark.createDataFrame([("hot", 300), ("k1", 1), ("none", 0)], "k string, c int")
+    got = common.hot_split_join(left, right, ["k"], "c", 350).collect()
+    assert len(got) == 301 and {r["v"] for r in got if r["k"] == "k1"} == {1}
+
+
 def test_substrings_awkward(spark, awkward, empty, clashing):
     texts = [r[1] for r in awkward_rows()]
     want = Counter(brute_dedup(texts))
