@@ -122,7 +122,7 @@ def with_fields(df: DataFrame, kept: int, schema: str) -> T.StructType:
 
 def new_fields(schema: str) -> list[tuple[str, pa.DataType]]:
     """Names and Arrow types of the columns of a DDL."""
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
     return [(f.name, kinds[f.dataType.simpleString()]) for f in T.StructType.fromDDL(schema).fields]
 
 

@@ -6,12 +6,15 @@ order; the gaps between neighbouring anchors are aligned the same way.  A gap wi
 at its two ends.  The coverage is the share of the template's words that were aligned.
 
 A long text may hold a template more than once, or hold some of its words often.  So the text is not aligned
-as a whole: around each occurrence of the template word that is rarest in the text, a window of the template's length
-on either side (and half of it more) is aligned, and the best window counts.  Where that word is absent, the next
-rarest is taken, as often as the threshold allows words to be missing; a template that shares too few words with the text to reach the threshold is
-skipped, which loses nothing, since the coverage cannot exceed that share.
+as a whole but window by window.  A window starts and ends at a word of the template and has at most half as many words again as it.
+Every such window is aligned whose longest common subsequence with the template (its length, kept up word by word in the bits of one integer) is more
+than the best alignment so far covers; an alignment can't cover more, so nothing is lost.  Texts and starts with too few of the template's words to reach
+the threshold are skipped for the same reason.
 
-Null and empty texts: no license, coverage 0.  Ties go to the longer template, then to the first name.
+Templates are files of the folder ``licenses``: a version and named parts, each a template of its own.
+
+Null and empty texts: no license, coverage 0.  All templates that reach the threshold are reported; the headline is the one of the best
+coverage, ties going to the longer template, then to the first name.  Of equally good windows the first counts.  Rows that repeat are scanned each.
 """
 
 from __future__ import annotations
@@ -20,26 +23,18 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
 from protomill.llm.common import map_texts
 
-#: Notices by the usual short names of licenses.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
-        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
-    ),
-}
+#: Where the templates are.
+FOLDER = Path(__file__).parent / "licenses"
 #: Coverage from which a license counts as found.
 THRESHOLD = 0.8
+#: A window has at most so many times the words of the template.
+REACH = 1.5
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 
 
@@ -93,55 +88,84 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def read_templates(folder: Path = FOLDER) -> dict[str, str]:
+    """Template texts by name: that of the file for its notice, with the part's name behind for other parts."""
+    out = {}
+    for path in sorted(folder.glob("*.txt")):
+        version, *parts = re.split(r"^\[(\w+)\]$", path.read_text(encoding="utf-8"), flags=re.MULTILINE)
+        if version.strip() != "version 1":
+            raise ValueError(f"{path.name}: a version that is not known")
+        for part, text in zip(parts[::2], parts[1::2], strict=True):
+            out[path.stem if part == "notice" else f"{path.stem}-{part}"] = text.strip()
+    return out
+
+
 def best_window(words: list[str], where: dict[str, list[int]], template: list[str], threshold: float) -> tuple[float, int, int]:
     """(coverage, first word, last word) of the window that aligns best, (0, -1, -1) below the threshold."""
-    size = len(template)
-    present = sum(w in where for w in template)
-    if not size or present < threshold * size:
-        return 0.0, -1, -1
-    missing = size - int(-(-threshold * size // 1))  # words that a match may lack
-    rare = sorted({w for w in template if w in where}, key=lambda w: (len(where[w]), w))[: missing + 1]
-    reach, best, tried_to = size + size // 2 + 1, (0.0, -1, -1), -1
-    for at in sorted({p for w in rare for p in where[w]}):
-        if at <= tried_to:
-            continue  # lies in the middle of a window that was tried
-        start, end = max(0, at - reach), min(len(words), at + reach + size // 2)
-        tried_to = at + size // 4
-        pairs = align(words[start:end], template)
-        if pairs and len(pairs) / size > best[0]:
-            best = (len(pairs) / size, start + pairs[0][0], start + pairs[-1][0])
-    return best if best[0] >= threshold else (0.0, -1, -1)
-
-
-def scan(text: str, templates: dict[str, list[str]], threshold: float) -> tuple[str | None, float, int, int]:
-    """(license, coverage, first word, last word) of the best template of a whole text."""
-    rare = {w for t in templates.values() for w in t}
-    if not text:
-        return None, 0.0, -1, -1
-    words = words_of(text)
+    size, none = len(template), (0.0, -1, -1)
+    its = Counter(template)
+    needed = -int(-threshold * size // 1)  # aligned words at the threshold
+    if not size or sum(min(n, len(where.get(w, ()))) for w, n in its.items()) < needed:
+        return none
+    places = sorted(p for w in its if w in where for p in where[w])
+    reach, covered, best = int(REACH * size) + 1, max(needed, 1) - 1, none
+    full, bits = (1 << size) - 1, dict.fromkeys(its, 0)
+    for j, w in enumerate(template):
+        bits[w] |= 1 << j
+    last = 0  # the first place beyond the reach of a start
+    for k, start in enumerate(places):
+        while last < len(places) and places[last] < start + reach:
+            last += 1
+        if last - k <= covered:
+            continue
+        apart = full  # a zero for each word of the longest common subsequence up to here
+        for end in places[k:last]:
+            met = apart & bits[words[end]]
+            apart = (apart + met | apart - met) & full
+            if size - apart.bit_count() > covered:
+                pairs = align(words[start : end + 1], template)
+                if len(pairs) > covered:
+                    covered = len(pairs)
+                    best = (covered / size, start + pairs[0][0], start + pairs[-1][0])
+        if covered == size:
+            break
+    return best
+
+
+def scan(text: str, templates: dict[str, list[str]], threshold: float) -> tuple[str | None, float, int, int, list[str]]:
+    """(license, coverage, first word, last word) of the best template of a whole text, and the names of all that reach the threshold, best first."""
+    wanted = {w for t in templates.values() for w in t}
+    words = words_of(text) if text else []
     where: dict[str, list[int]] = {}
     for i, w in enumerate(words):
-        if w in rare:
+        if w in wanted:
             where.setdefault(w, []).append(i)
-    best: tuple = (None, 0.0, -1, -1)
+    found = []
     for name, template in templates.items():
-        coverage, first, last = best_window(words, where, template, threshold)
-        if coverage > best[1] or (coverage and coverage == best[1] and len(template) > len(templates[best[0]])):
-            best = (name, coverage, first, last)
-    return best
+        coverage, first, last = best_window(words, where, template, threshold) if where else (0.0, -1, -1)
+        if coverage:
+            found.append((-coverage, -len(template), name, first, last))
+    found.sort()
+    if not found:
+        return None, 0.0, -1, -1, []
+    coverage, _, name, first, last = found[0]
+    return name, -coverage, first, last, [f[2] for f in found]
 
 
 def scan_licenses(
     df: DataFrame, keep: list[str], templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text_col: str = "text"
 ) -> DataFrame:
-    """``keep`` and license (null if none), coverage, first_word and last_word (-1 if none); narrow, no shuffle."""
-    tokens = {name: words_of(t) for name, t in sorted((templates or TEMPLATES).items())}
+    """``keep`` and license (null if none), coverage, first_word and last_word (-1 if none), and licenses (all names found); narrow, no shuffle.
+
+    A kept column with the name of a new one is replaced.
+    """
+    tokens = {name: words_of(t) for name, t in sorted((templates or read_templates()).items())}
 
     def make() -> Callable[[list[str]], list[list]]:
         def work(texts: list[str]) -> list[list]:
             found = [scan(t, tokens, threshold) for t in texts]
-            return [[f[i] for f in found] for i in range(4)]
+            return [[f[i] for f in found] for i in range(5)]
 
         return work
 
-    return map_texts(df, keep, text_col, "license string, coverage double, first_word int, last_word int", make)
+    return map_texts(df, keep, text_col, "license string, coverage double, first_word int, last_word int, licenses array<string>", make)

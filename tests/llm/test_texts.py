@@ -218,19 +218,56 @@ def test_longest_increasing():
 
 
 def test_licenses_in_texts(awkward, empty):
-    tokens = {n: L.words_of(t) for n, t in sorted(L.TEMPLATES.items())}
+    templates = L.read_templates()
+    tokens = {n: L.words_of(t) for n, t in templates.items()}
     rng = random.Random(6)
-    for name, text in L.TEMPLATES.items():
+    for name, text in templates.items():
         words = text.split()
         around = ["the", "of", "under", "license", "word"] * 300
         rng.shuffle(around)
         assert L.scan(" ".join([*around[:700], *words, *around[700:]]), tokens, 0.8)[:2] == (name, 1.0)
         twice = L.scan(" ".join([*words, "x", *words]), tokens, 0.8)
         assert twice[:2] == (name, 1.0)
-    assert L.scan("the license is under this", tokens, 0.8) == (None, 0.0, -1, -1)
+    assert L.scan("the license is under this", tokens, 0.8) == (None, 0.0, -1, -1, [])
+    both = L.scan(templates["MIT-text"] + " and a word " + templates["GPL-3.0-header"], tokens, 0.8)
+    assert both[:2] == ("MIT-text", 1.0) and {"MIT-text", "GPL-3.0-header"} <= set(both[4])
     got = {(r["doc_id"], r["license"]) for r in L.scan_licenses(awkward, ["doc_id"]).collect()}
     assert {(14, "Apache-2.0"), (15, "MIT"), (8, None), (9, None)} <= got
     assert L.scan_licenses(empty, ["doc_id"]).count() == 0
+    wide = awkward.withColumns({c: F.lit(7) for c in ("license", "coverage", "licenses", "first_word")})
+    again = L.scan_licenses(wide, wide.columns)
+    assert len(set(again.columns)) == len(again.columns) and {(r["doc_id"], r["license"]) for r in again.collect()} == got
+
+
+def noisy_texts(template, n, seed):
+    """Texts with one to four copies of a template, with words lost, changed and put in, between words of its own."""
+    rng = random.Random(seed)
+    words = L.words_of(template)
+    for _ in range(n):
+        out = []
+        for _ in range(rng.randrange(1, 5)):
+            out += [rng.choice([*words, "x", "y"]) for _ in range(rng.randrange(30))]
+            for w in words:
+                if rng.random() > 0.15:
+                    out.append(w)
+                if rng.random() < 0.12:
+                    out.append(rng.choice([*words, "x", "y", "z"]))
+        yield out
+
+
+@pytest.mark.parametrize("template", ["Licensed under the Apache License, Version 2.0.", "the work of the user is under the license of the work and the user"])
+def test_licenses_equal_exhaustive_windows(template):
+    """No window of any length up to the reach, at any start, aligns better than the one found; what is found is aligned as said."""
+    its = L.words_of(template)
+    for words in noisy_texts(template, 60, 12):
+        reach = int(1.5 * len(its)) + 1
+        best = max(len(L.align(words[a:b], its)) for a in range(len(words)) for b in range(a + 1, min(len(words), a + reach) + 1)) / len(its)
+        where = {}
+        for i, w in enumerate(words):
+            where.setdefault(w, []).append(i)
+        coverage, first, last = L.best_window(words, where, its, 0.8)
+        assert coverage == (best if best >= 0.8 else 0.0)
+        assert not coverage or (words[first] in its and words[last] in its)
 
 
 def junk_and_prose(n=300):
