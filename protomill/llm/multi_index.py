@@ -8,8 +8,9 @@ vectors, and every vector in them is reranked with its exact inner product in do
 The codebooks are fitted on at most ``SAMPLE`` vectors (those whose ids have the smallest hashes); every vector is indexed.  The counts of
 the cells (centroids squared) are the only other thing on the driver.  Vectors are dealt by first centroid, in blocks of at most
 about ``block_rows`` (a hot cell becomes many blocks); a query goes once to each block that it visits, with the second centroids it
-wants.  Each block gives the best of every query; a window then takes the best over the blocks.  Codebooks fit directions, but scores use
-vectors as they are.
+wants.  Queries are dealt into parts of about ``part_queries`` and each block meets each part in a task of its own, so both sides of a task are
+bounded whatever the table.  Each task gives the best of every query; a window then takes the best over the tasks.  Codebooks fit directions, but scores
+use vectors as they are: a product of matrices only finds those near the best, which are then summed one by one, so that equal vectors have equal scores.
 
 Vectors that are null, zero, of another length than most of the sample's, or hold a null or a component that isn't finite take no part, as
 query or candidate.  Ties go to the smaller id.  With fewer candidates than asked for, all are returned.  Repeated ids are separate vectors, but none is its own id's neighbour.
@@ -96,7 +97,7 @@ def fit(vectors: DataFrame, centroids: int) -> MultiIndex | None:
 
 
 def nearest(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, centroids: int = 32, share: float = 0.6, block_rows: int = 2048
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, centroids: int = 32, share: float = 0.6, block_rows: int = 2048, part_queries: int = 4096
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` largest inner products found for every query.
 
@@ -123,6 +124,7 @@ def nearest(
     total = int(index.counts.sum())
     wanted = max(int(share * total), min(total, 50 * k))
     blocks = np.maximum(1, -(-index.counts.sum(1) // block_rows))
+    parts = max(1, -(-all_.where(F.col("id") % every == 0).count() // part_queries))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -133,29 +135,34 @@ def nearest(
             yield pd.DataFrame(rows, columns=["id", "vector", "i", "block", "js"])
 
     queries = all_.where(F.col("id") % every == 0).mapInPandas(deal, "id long, vector array<double>, i int, block int, js array<int>")
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int"))
     count = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("i") + 1)
     entries = entries.withColumn("block", F.pmod(F.xxhash64("id"), count).cast("int"))
+    entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def best(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             right = right.sort_values("id", kind="stable")
             data, ids, cell = np.array(right["vector"].tolist()), right["id"].to_numpy(), right["j"].to_numpy()
+            largest = np.abs(data).max()
             for at in range(0, len(left), 256):
                 some = left.iloc[at : at + 256]
                 scores = np.array(some["vector"].tolist()) @ data.T
-                for q, s, js in zip(some["id"], scores, some["js"], strict=True):
+                for q, vector, s, js in zip(some["id"], some["vector"], scores, some["js"], strict=True):
                     allowed = np.nonzero(np.isin(cell, js) & (ids != q))[0]
                     mine = s[allowed]
+                    x = np.asarray(vector, dtype=np.float64)
                     if len(mine) > k:
                         edge = np.partition(mine, len(mine) - k)[len(mine) - k]
-                        over, equal = np.nonzero(mine > edge)[0], np.nonzero(mine == edge)[0]
-                        chosen = np.concatenate((over, equal[: k - len(over)]))  # ids rise, so ties go to the smaller
-                        allowed, mine = allowed[chosen], mine[chosen]
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[allowed], "score": mine}))
+                        near = 1e-12 * np.abs(x).sum() * largest  # beyond what the order of a sum can change
+                        allowed = allowed[mine >= edge - near]
+                    exact = (data[allowed] * x).sum(1)
+                    order = np.argsort(-exact, kind="stable")[:k]  # ids rise, so ties go to the smaller
+                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[allowed[order]], "score": exact[order]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    found = queries.groupBy("i", "block").cogroup(entries.groupBy("i", "block")).applyInPandas(best, "query_id long, vec_id long, score double")
+    found = queries.groupBy("i", "block", "part").cogroup(entries.groupBy("i", "block", "part")).applyInPandas(best, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

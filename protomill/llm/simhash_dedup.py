@@ -10,7 +10,7 @@ space of first lanes: each inner vertex has a vantage point and a radius, and a
 distance.  The leaves are the shards.  Every node is at home in one leaf; by the triangle inequality a node x has no partner
 in a subtree unless its distance to each vantage point on the way lies within ``max_bits`` of that side, so it visits only those leaves, and
 of these only the ones numbered below its own, which meets every pair once.  Leaves with many nodes are cut into blocks, the later of
-which visit the earlier.  A vertex whose boundary band would hold the whole outside is not split, since nothing would be pruned.
+which visit the earlier, and the visitors of a leaf into parts; a task meets one block and one part, both of bounded size.  A vertex whose boundary band would hold the whole outside is not split, since nothing would be pruned.
 
 Every pair within ``max_bits`` is thus compared exactly, in one task.  A task emits a spanning forest of the links it finds, not the
 pairs, so a group of thousands of near copies costs as many rows as it has members.  The forests of all tasks are joined into components by
@@ -204,31 +204,23 @@ class VantageTree:
         return home, np.concatenate(who), np.concatenate(where)
 
 
-def forest(lanes: np.ndarray, home: np.ndarray, sizes: np.ndarray | None, max_bits: int, all_bits: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+def forest(prints: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) indices of a spanning forest of the links that have an end at home in the shard.
 
-    A link needs at most ``max_bits`` differing bits in the first lane, ``all_bits`` in all lanes together, and (with sizes)
-    numbers of shingles of which the smaller is at least ``ratio`` of the larger.
+    A link needs at most ``max_bits`` differing bits.
     """
-    n = len(lanes)
+    n = len(prints)
     label = np.arange(n)
-    first = np.ascontiguousarray(lanes[:, 0])
     own = np.nonzero(home)[0]
     step = max(1, (1 << 18) // max(1, n))
     for at in range(0, len(own), step):
         rows = own[at : at + step]
-        near = np.bitwise_count(first[rows][:, None] ^ first[None, :]) <= max_bits
+        near = np.bitwise_count(prints[rows][:, None] ^ prints[None, :]) <= max_bits
         near[np.arange(len(rows)), rows] = False
         a, b = np.nonzero(near)
         if not len(a):
             continue
         a = rows[a]
-        keep = np.ones(len(a), dtype=bool)
-        if lanes.shape[1] > 1:
-            keep &= np.bitwise_count(lanes[a] ^ lanes[b]).sum(1, dtype=np.int64) <= all_bits
-        if sizes is not None:
-            keep &= np.minimum(sizes[a], sizes[b]) >= ratio * np.maximum(sizes[a], sizes[b])
-        a, b = a[keep], b[keep]
         differ = label[a] != label[b]
         a, b = a[differ], b[differ]
         for i in np.unique(a):
@@ -392,78 +384,74 @@ def one_of_each(
     return rows.join(keep, ["__d", "__k"], "left_semi").select("__whole.*")
 
 
-def links(nodes: DataFrame, lanes: int, max_bits: int, all_bits: int | None = None, ratio: float | None = None) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int, block_nodes: int = LEAF_NODES) -> DataFrame:
     """Edges (a, b) between node ids that connect exactly the nodes that links connect.
 
-    ``nodes`` has n (the node's id), f0, ... and shingles.
+    ``nodes`` has n (the node's id) and f0.  A task's group is one block of a leaf's nodes and one part of the leaf's visitors, each of about
+    ``block_nodes`` nodes, however large the table.
     """
     total = nodes.count()
     sample = [r[0] for r in nodes.orderBy(F.xxhash64("f0"), "f0").limit(SAMPLE).select("f0").collect()]  # SAMPLE rows at most
-    tree = VantageTree(np.array(sample, dtype=np.int64).view(np.uint64), total, max_bits)
-    block_nodes = max(LEAF_NODES, total // 512)
-    base = 1 / ratio if ratio else 0.0
+    tree = VantageTree(np.array(sample, dtype=np.int64).view(np.uint64), total, max_bits, block_nodes)
 
-    def bands(sizes: np.ndarray) -> np.ndarray:
-        """Sizes within the ratio lie in the same band or in neighbours."""
-        return np.floor(np.log(np.maximum(sizes, 1)) / np.log(base)).astype(np.int32) if ratio else np.zeros(len(sizes), dtype=np.int32)
-
-    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def census(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The nodes at home in each leaf and the visitors from later leaves, of each batch."""
         for pdf in batches:
-            home, _, _ = tree.route(pdf["f0"].to_numpy().view(np.uint64))
-            yield pd.DataFrame({"band": bands(pdf["shingles"].to_numpy()), "leaf": home})
-
-    counted = nodes.select("f0", "shingles").mapInPandas(homes, "band int, leaf int").groupBy("band", "leaf").count().collect()
-    blocks = {(r[0], r[1]): -(-r[2] // block_nodes) for r in counted}  # a number for each leaf of each band of sizes
+            home, who, where = tree.route(pdf["f0"].to_numpy().view(np.uint64))
+            at_home = np.bincount(home, minlength=tree.leaves)
+            visits = np.bincount(where[where < home[who]], minlength=tree.leaves)
+            leaf = np.nonzero(at_home + visits)[0]
+            yield pd.DataFrame({"leaf": leaf.astype(np.int32), "nodes": at_home[leaf], "visits": visits[leaf]})
+
+    counted = nodes.select("f0").mapInPandas(census, "leaf int, nodes long, visits long").groupBy("leaf").agg(F.sum("nodes"), F.sum("visits")).collect()
+    blocks, parts = np.zeros(tree.leaves, dtype=np.int64), np.ones(tree.leaves, dtype=np.int64)  # MAX_LEAVES at most
+    for leaf, own, visits in counted:
+        blocks[leaf] = -(-own // block_nodes)
+        parts[leaf] = max(1, -(-(visits + (own if blocks[leaf] > 1 else 0)) // block_nodes))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f"f{i}" for i in range(lanes)]
         for pdf in batches:
             if not len(pdf):
                 continue
             prints = pdf["f0"].to_numpy().view(np.uint64)
             home, who, where = tree.route(prints)
-            band = bands(pdf["shingles"].to_numpy())
             mixed = (prints * _M1) ^ ((prints * _M2) >> np.uint64(32))
-            count = np.array([blocks[k] for k in zip(band.tolist(), home.tolist(), strict=True)])
-            own = ((mixed >> np.uint64(20)) % count.astype(np.uint64)).astype(np.int64)
-            parts = [(np.arange(len(pdf)), band, home, own, np.ones(len(pdf), dtype=bool))]
+            block = ((mixed >> np.uint64(20)) % blocks[home].astype(np.uint64)).astype(np.int64)
 
-            def visit(index: np.ndarray, b: np.ndarray, leaf: np.ndarray, upto: np.ndarray) -> None:
-                """The nodes ``index`` visit the first ``upto`` blocks of a leaf."""
-                each = np.repeat(np.arange(len(index)), upto)
-                number = np.arange(len(each)) - np.repeat(np.cumsum(upto) - upto, upto)
-                parts.append((index[each], b[each], leaf[each], number, np.zeros(len(each), dtype=bool)))
+            def each(index: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Every index so many times, numbered from 0."""
+                return np.repeat(index, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
 
-            visit(np.arange(len(pdf)), band, home, own)
+            # a node is at home in its block, which meets every part of the visitors
+            some, part = each(np.arange(len(pdf)), parts[home])
+            rows = [(some, home[some], block[some], part, np.ones(len(some), dtype=bool))]
+            # it visits the earlier blocks of its own leaf, and all blocks of the earlier leaves that it may have partners in
             lower = where < home[who]
-            w, x = who[lower], where[lower]
-            visit(w, band[w], x, np.array([blocks.get(k, 0) for k in zip(band[w].tolist(), x.tolist(), strict=True)], dtype=np.int64))
-            if ratio:
-                b = band[who] + 1
-                visit(who, b, where, np.array([blocks.get(k, 0) for k in zip(b.tolist(), where.tolist(), strict=True)], dtype=np.int64))
-            index, *place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for index, leaf, upto in ((np.arange(len(pdf)), home, block), (who[lower], where[lower], blocks[where[lower]])):
+                at, number = each(np.arange(len(index)), upto)
+                node, to = index[at], leaf[at]
+                part = ((mixed[node] >> np.uint64(7)) % parts[to].astype(np.uint64)).astype(np.int64)
+                rows.append((node, to, number, part, np.zeros(len(node), dtype=bool)))
+            index, *place = (np.concatenate(x) for x in zip(*rows, strict=True))
             # what goes to one shard from here travels as one row of arrays
             order = np.lexsort(place[::-1])
             index, place = index[order], [x[order] for x in place]
             new = np.ones(len(index), dtype=bool)
             new[1:] = np.any([x[1:] != x[:-1] for x in place], axis=0)
             first = np.nonzero(new)[0]
-            packed = {c: np.split(pdf[c].to_numpy()[index], first[1:]) for c in ("n", *names, "shingles")}
-            yield pd.DataFrame(packed | {c: x[first] for c, x in zip(("band", "leaf", "block", "home"), place, strict=True)})
+            packed = {c: np.split(pdf[c].to_numpy()[index], first[1:]) for c in ("n", "f0")}
+            yield pd.DataFrame(packed | {c: x[first] for c, x in zip(("leaf", "block", "part", "home"), place, strict=True)})
 
     kind = dict(nodes.dtypes)["n"]
-    whole = f"n array<{kind}>, " + ", ".join(f"f{i} array<long>" for i in range(lanes)) + ", shingles array<long>, band int, leaf int, block int, home boolean"
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        joined = lambda c: np.concatenate([np.asarray(x) for x in pdf[c]])
-        values = np.stack([joined(f"f{i}") for i in range(lanes)], axis=1).astype(np.int64).view(np.uint64)
+        n, prints = (np.concatenate([np.asarray(x) for x in pdf[c]]) for c in ("n", "f0"))
         home = np.repeat(pdf["home"].to_numpy(), [len(x) for x in pdf["n"]])
-        member, root = forest(values, home, joined("shingles") if ratio else None, max_bits, all_bits if all_bits is not None else 64 * lanes, ratio or 0.0)
-        n = joined("n")
+        member, root = forest(prints.astype(np.int64).view(np.uint64), home, max_bits)
         return pd.DataFrame({"a": n[member], "b": n[root]})
 
-    dealt = nodes.select("n", *[f"f{i}" for i in range(lanes)], "shingles").mapInPandas(deal, whole)
-    return dealt.groupBy("band", "leaf", "block").applyInPandas(compare, f"a {kind}, b {kind}")
+    dealt = nodes.select("n", "f0").mapInPandas(deal, f"n array<{kind}>, f0 array<long>, leaf int, block int, part int, home boolean")
+    return dealt.groupBy("leaf", "block", "part").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -489,30 +477,16 @@ def connected(edges: DataFrame) -> DataFrame:
         e = stored(small.distinct(), "edges")
 
 
-def simhash_components(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = 4,
-    max_bits: int = 4,
-    lanes: int = 1,
-    all_bits: int | None = None,
-    ratio: float | None = None,
-) -> DataFrame:
-    """A row for each input row: its id, fingerprint (hex of the first lane) and component_id.
+def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, block_nodes: int = LEAF_NODES) -> DataFrame:
+    """A row for each input row: its id, fingerprint (hex) and component_id.
 
     ``component_id`` is the smallest id reachable over links, the row's own included (null ids are passed over; null only if the component has
-    no other).  With ``lanes`` > 1, ``all_bits`` bounds the differing bits of all lanes, and ``ratio`` the sizes.
+    no other).
     """
-    names = [f"f{i}" for i in range(lanes)]
-    key = [*names, "shingles"] if lanes > 1 or ratio else names
-    prints = stored(fingerprints(df, [id_col], words, lanes, text_col), "prints")
-    nodes = prints.groupBy(*key).agg(F.min(id_col).alias("least"), *([] if "shingles" in key else [F.min("shingles").alias("shingles")]))
-    node = F.col("f0") if len(key) == 1 else F.unhex(F.md5(F.concat_ws(",", *key)))
-    nodes = stored(nodes.withColumn("n", node), "nodes")
-    roots = connected(links(nodes, lanes, max_bits, all_bits, ratio))
-    placed = nodes.select(*key, "least", "n").join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+    prints = stored(fingerprints(df, [id_col], words, 1, text_col), "prints")
+    nodes = stored(prints.groupBy("f0").agg(F.min(id_col).alias("least")).withColumn("n", F.col("f0")), "nodes")
+    roots = connected(links(nodes, max_bits, block_nodes))
+    placed = nodes.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = placed.join(smallest, "root").select(*key, "component_id")
-    out = prints.join(final, key)
+    out = prints.join(placed.join(smallest, "root").select("f0", "component_id"), "f0")
     return out.select(id_col, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")

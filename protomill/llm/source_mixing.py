@@ -12,12 +12,13 @@ with the remaining sources' shares begins at that slot; there are at most as man
 the last phase ends with the last block of the last source.  The driver schedules one period of a phase, or the phase up to its
 end if that is shorter, and so never more slots than there are blocks.
 
-What reaches the driver is one count for each source.  Ranks come from two levels: documents are dealt into
+What reaches the driver is one count for each source; the schedule has a row for each source and phase, so at most the square of the
+number of sources (a few thousand sources are what it is meant for).  Ranks come from two levels: documents are dealt into
 (source, bucket) groups of about ``bucket_docs`` rows, ranked there, and shifted by the counts of the
 source's earlier buckets, so a source with a third of all rows is ranked by many tasks.
 
 Null sources form a source of their own, with the weight given for ``None`` (1 by default, like every source
-without a weight).  Weights must be positive.  Rows that repeat are ranked next to each other.  An empty table gives no rows.
+without a weight).  Weights must be positive.  Rows that repeat are ranked next to each other.  Columns may have any names; those of the new ones are replaced.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ from math import gcd, lcm
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from protomill.llm.common import numbered
+
+#: Numbers of a schedule up to which it is broadcast (32 MB).
+BROADCAST_NUMBERS = 1 << 22
 
 def parts_of(weights: dict, period: int | None = None) -> dict:
     """Whole parts for each source that stand to each other exactly as the weights do.
@@ -145,7 +150,9 @@ def mix(
     """
     weights = weights or {}
     spark = df.sparkSession
-    own = df.drop("block", "slot", "release", "deadline", "position")
+    added = ["block", "slot", "release", "deadline", "position"]
+    kept = df.drop(*added)
+    own, names = numbered(kept, [source_col, id_col, *(tie_cols or [])])
     counts = {r[0]: r[1] for r in own.groupBy(source_col).count().collect()}
     plan = phases({s: -(-n // block_docs) for s, n in counts.items()}, weights, period)
     table = []
@@ -166,18 +173,21 @@ def mix(
     rows = ranked(own, source_col, [id_col, *(tie_cols or [])])
     rows = rows.withColumn("block", F.floor(F.col("__rank") / block_docs).cast("long"))
     on = rows[source_col].eqNullSafe(made["__s"]) & (rows["block"] >= made["__first"]) & (rows["block"] < made["__last"])
-    out = rows.join(F.broadcast(made), on)  # a row for each source and phase, with its slots of one period
+    # a row for each source and phase, with its slots of one period; with very many sources or phases, too many to send to every task
+    small = sum(6 + 3 * len(row[5]) for row in table) <= BROADCAST_NUMBERS
+    out = rows.join(F.broadcast(made) if small else made, on)
     j = F.col("block") - F.col("__first")
     base = F.col("__at") + F.floor(j / F.col("__parts")) * F.col("__size")
-    at = (F.pmod(j, F.col("__parts")) + 1).cast("int")
-    return out.select(
-        *[F.col(f"`{c}`") for c in own.columns],
+    at = F.pmod(j, F.col("__parts")).cast("int")  # get() gives null outside a list: a filter may look at rows before the join does
+    placed = out.select(
+        *names,
         "block",
-        (base + F.element_at("__slots", at)).cast("long").alias("slot"),
-        (base + F.element_at("__begins", at)).cast("long").alias("release"),
-        (base + F.element_at("__ends", at)).cast("long").alias("deadline"),
+        (base + F.get("__slots", at)).cast("long").alias("slot"),
+        (base + F.get("__begins", at)).cast("long").alias("release"),
+        (base + F.get("__ends", at)).cast("long").alias("deadline"),
         F.pmod(F.col("__rank"), F.lit(block_docs)).cast("int").alias("position"),
     )
+    return placed.toDF(*kept.columns, *added)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +129,39 @@ def test_mix(spark, awkward, empty):
     assert M.mix(empty).count() == 0
 
 
+def test_mix_with_clashing_columns(clashing, awkward):
+    wide = clashing.withColumns({c: F.lit(7) for c in ("release", "deadline", "position", "__s", "__rank", "__slots", "__bucket")})
+    got = M.mix(wide, tie_cols=["text"])
+    assert got.count() == awkward.count() and got.where("slot <> 7").count() > 0
+
+
+def brute_mix(counts, weights):
+    """The source of each slot: earliest deadline first among released blocks, all by exact fractions, with a new start when a source has run out."""
+    left, out = {s: n for s, n in counts.items() if n}, []
+    while left:
+        total = sum(Fraction(str(weights.get(s, 1))) for s in left)
+        share = {s: Fraction(str(weights.get(s, 1))) / total for s in left}
+        done = dict.fromkeys(left, 0)
+        t = 0
+        while all(left.values()):
+            ready = [s for s in left if done[s] / share[s] <= t and math.floor(done[s] / share[s]) <= t]
+            s = min(ready, key=lambda s: (math.ceil((done[s] + 1) / share[s]), str(s)))
+            done[s] += 1
+            left[s] -= 1
+            out.append(s)
+            t += 1
+        left = {s: n for s, n in left.items() if n}
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 5}, {"a": 0.5, "b": 1.25, "c": 3}, {}])
+def test_mix_equals_a_brute_force_schedule(spark, weights):
+    counts = {"a": 41, "b": 17, "c": 30, "d": 3}
+    rows = [(i, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_docs=1).orderBy("slot").collect()
+    assert [r["source"] for r in got] == brute_mix(counts, weights)
+
+
 def worst_deviation(counts, weights):
     """Of any source's blocks from its exact share of the slots, while no source has run out; from the closed form."""
     first = M.phases(counts, weights)[0]
@@ -298,9 +333,7 @@ def naive_fingerprint(text, words):
 
 
 @pytest.mark.parametrize("bits, leaf", [(4, 8), (4, 2048), (10, 8)])
-def test_simhash_equals_brute_force(spark, monkeypatch, bits, leaf):
-    monkeypatch.setattr(H.VantageTree.__init__, "__defaults__", (leaf, 1024))
-    monkeypatch.setattr(H, "LEAF_NODES", leaf)
+def test_simhash_equals_brute_force(spark, bits, leaf):
     rng = random.Random(9)
     texts = []
     for _ in range(40):
@@ -312,12 +345,27 @@ def test_simhash_equals_brute_force(spark, monkeypatch, bits, leaf):
             texts.append(" ".join(copy))
     texts += ["", None, "one", "ONE", "one two", *[r[1] for r in awkward_rows()]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in H.simhash_components(docs, max_bits=bits).collect()}
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in H.simhash_components(docs, max_bits=bits, block_nodes=leaf).collect()}
     prints = np.array([naive_fingerprint(t, 4) for t in texts], dtype=np.uint64)
     want = brute_components(prints, list(range(len(texts))), bits)
     assert [got[i] for i in range(len(texts))] == [(f"{int(p):016x}", c) for p, c in zip(prints, want, strict=True)]
 
 
+def test_simhash_groups_are_bounded(spark, monkeypatch):
+    """No task meets more than about one block and one part, also where a leaf has many nodes and many visitors."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, dtype=np.int64)
+    prints = sorted({int(base ^ (1 << int(a)) ^ (1 << int(b))) for a, b in rng.integers(0, 63, (1500, 2))})
+    nodes = spark.createDataFrame([(p, p) for p in prints], "n long, f0 long").repartition(3)
+    sizes = []
+    own = type(nodes.groupBy("n"))
+    monkeypatch.setattr(own, "applyInPandas", lambda self, f, schema: sizes.append(self) or self._df)
+    dealt = H.links(nodes, 4, 64)
+    rows = dealt.groupBy("leaf", "block", "part").agg(F.sum(F.when(F.col("home"), F.size("n")).otherwise(0)).alias("own"), F.sum(F.when(~F.col("home"), F.size("n")).otherwise(0)).alias("visitors")).collect()
+    assert sizes and len(rows) > 50
+    assert max(r["own"] for r in rows) < 3 * 64 and max(r["visitors"] for r in rows) < 3 * 64
+
+
 def test_spark_hash_is_the_same(spark):
     """The shingles' hash is Spark's own xxhash64."""
     got = spark.sql("select xxhash64('one two three four') h").first()["h"]
@@ -332,16 +380,15 @@ def test_simhash_awkward(awkward, empty, clashing):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [0]
     assert H.simhash_components(clashing).count() == awkward.count()
     assert H.simhash_components(empty).count() == 0
-    wide = H.simhash_components(awkward, words=5, max_bits=14, lanes=4, all_bits=45, ratio=0.8).collect()
-    linked = {r["doc_id"]: r["component_id"] for r in wide}
+    linked = {r["doc_id"]: r["component_id"] for r in H.shingle_components(awkward, 25, 73, 0.8).collect()}
     assert linked[1] == 0 and linked[3] == 3 and linked[6] == 6
 
 
 def test_a_large_group_gives_a_forest():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, dtype=np.uint64)
-    lanes = np.array([base ^ np.uint64(1 << int(b)) for b in rng.integers(0, 63, 500)] + list(rng.integers(0, 1 << 63, 100, dtype=np.uint64)), dtype=np.uint64)[:, None]
-    member, root = H.forest(lanes, np.ones(600, dtype=bool), None, 4, 64, 0.0)
+    prints = np.array([base ^ np.uint64(1 << int(b)) for b in rng.integers(0, 63, 500)] + list(rng.integers(0, 1 << 63, 100, dtype=np.uint64)), dtype=np.uint64)
+    member, root = H.forest(prints, np.ones(600, dtype=bool), 4)
     assert len(member) == 499 and len(set(root.tolist())) == 1
 
 
@@ -363,7 +410,7 @@ def test_nearest_recall_and_scores(spark):
     rows = [(int(i), [float(x) for x in v], 0) for i, v in enumerate(rng.normal(size=(3000, 16)))]
     want = brute_nearest(rows)
     got = defaultdict(list)
-    for r in N.nearest(vectors(spark, rows), block_rows=200, centroids=8).orderBy("query_id", "rank").collect():
+    for r in N.nearest(vectors(spark, rows), block_rows=200, centroids=8, part_queries=7).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     assert set(got) == set(want)
     by_id = {i: np.array(v, dtype=np.float32).astype(float) for i, v, _ in rows}
@@ -392,6 +439,14 @@ def test_nearest_awkward(spark):
     assert N.nearest(vectors(spark, [])).count() == 0
 
 
+def test_nearest_with_clashing_columns(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in v], 0) for i, v in enumerate(rng.normal(size=(60, 16)))]
+    wide = vectors(spark, rows).withColumns({c: F.lit(7) for c in ("id", "vector", "i", "j", "block", "part", "js", "rank", "score", "query_id")})
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in N.nearest(wide, share=1.0, centroids=4).collect()}
+    assert got == {(q, n + 1): i for q, f in brute_nearest(rows).items() for n, (_, i) in enumerate(f)}
+
+
 def test_heap_walk_is_in_order():
     rng = np.random.default_rng(7)
     index = N.MultiIndex(rng.normal(size=(6, 4)), rng.normal(size=(5, 4)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -332,3 +333,16 @@ def test_scores_do_not_depend_on_batches():
 def test_held_out_rule(spark):
     got = spark.range(50).select("id", Q.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
+
+
+def test_classifier_on_held_out_documents(spark):
+    """The labels of sf0.01 that nothing is learnt from."""
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("the tables are not here")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    odd = docs.withColumns({c: F.lit(7) for c in ("score", "predicted", "quality", "__data", "__k", "__at", "__part")})
+    net = Q.train(odd, labels)
+    got = Q.score(odd, net, ["doc_id"]).join(labels, "doc_id").where(Q.held_out(F.col("doc_id"))).select("quality", "predicted").collect()
+    assert len(got) > 50 and sum(r["quality"] == r["predicted"] for r in got) >= 0.95 * len(got)
+    assert sum(r["predicted"] for r in got if r["quality"]) >= 0.98 * sum(r["quality"] for r in got)
