@@ -144,7 +144,7 @@ def brute_mix(counts, weights):
         done = dict.fromkeys(left, 0)
         t = 0
         while all(left.values()):
-            ready = [s for s in left if done[s] / share[s] <= t and math.floor(done[s] / share[s]) <= t]
+            ready = [s for s in left if math.floor(done[s] / share[s]) <= t]
             s = min(ready, key=lambda s: (math.ceil((done[s] + 1) / share[s]), str(s)))
             done[s] += 1
             left[s] -= 1
