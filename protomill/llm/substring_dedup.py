@@ -6,8 +6,8 @@ Reference blocks.  A window owns its smallest k-word gram (by hash; the leftmost
 place, so all copies of a window meet under that gram.  The windows that own one occurrence of a gram are neighbours and span a block of ``window`` to
 2 x window - k words.  Every block of every document is indexed by (gram, hash of the whole block); about one for each 14 words.
 
-Matches.  A block that stands elsewhere as a whole matches there: its reference is the first place of the block in the index (the last, for that
-place itself).  A block that is unique as a whole, but whose gram occurs in other blocks, may still share a part with them: that is where a factor begins or
+Matches.  A block that stands elsewhere as a whole matches there: its reference is the first place of the block in the index (another, for that
+place itself; very many places are met in groups, each with a first of its own).  A block that is unique as a whole, but whose gram occurs in other blocks, may still share a part with them: that is where a factor begins or
 ends.  Only these blocks, and one copy of each block they may share with, are expanded to window hashes (128 bits), which are matched in the same way.
 Grams that occur once end the factor and cost nothing more.
 
@@ -15,8 +15,8 @@ Factors.  Each document is parsed greedily from the left: a factor starts at the
 windows match the same document at the next places.  A factor is (place, length, reference document,
 place there); it has ``window`` words at least, is as long as its reference allows, and its words are the duplicate span.
 
-Keys with a large part of all rows (a passage in a third of all documents) are joined by a broadcast of at most 10,000 keys and aggregated
-with partial sums, so they fill no task.  Blocks and matches are tables in the shared folder, deleted once the factors are stored.
+Keys with a large part of all rows (a passage in a third of all documents) are joined by a broadcast of at most 10,000 keys, met in groups of
+bounded size and aggregated with partial sums, so they fill no task.  Blocks and matches are tables in the shared folder, deleted once the factors are stored.
 Two copies of a text count as copies of all its windows; rows of a batch that repeat with their ids are parsed once and counted as often as they stand.
 
 Null and empty texts have no words; texts with fewer words than the window lose none.
@@ -30,13 +30,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from protomill.llm.common import discard, document_keys, hot_split_join, new_fields, slices, stored, with_fields
 
 #: Words of a gram.
 GRAM = 8
+#: Occurrences of one block that meet in one group, about.
+GROUP_ROWS = 20_000
 #: Words whose hashes one Python worker remembers; then it starts anew.
 MEMORY_WORDS = 400_000
 _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
@@ -177,10 +179,33 @@ def _windows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _reference(place: Column) -> list[Column]:
-    """ref_d, ref_k and ref_at: the first place, but the last for the first itself."""
-    chosen = F.when(F.col("one") == place, F.col("other")).otherwise(F.col("one"))
-    return [chosen[c].alias(f"ref_{c}") for c in ("d", "k", "at")]
+def _other(place: Column, *places: str) -> Column:
+    """The first of the places that isn't the row's own, else its own."""
+    return F.coalesce(*[F.when(F.col(p) != place, F.col(p)) for p in places], place)
+
+
+def _columns(ref: Column) -> list[Column]:
+    return [ref[c].alias(f"ref_{c}") for c in ("d", "k", "at")]
+
+
+def equal_blocks(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, firsts): stored tables of which block stands where else.
+
+    ``met`` has g, b, d, k, at, n, m, c (occurrences of the gram) and mixed.  Occurrences of one block are met in groups of about ``GROUP_ROWS``, however
+    many there are; ``groups`` has each with the first and last place of its group, and ``firsts`` the first of each group (rep) with those of all groups, their
+    rows (all) and its number among them.
+    """
+    place = F.struct("d", "k", "at")
+    part = F.pmod(F.xxhash64("d", "k"), F.ceil(F.col("c") / GROUP_ROWS)).alias("part")
+    group = Window.partitionBy("g", "b", "part")
+    within = met.select("g", "b", part, "d", "k", "at", "n", "m", "mixed").withColumns({"one": F.min(place).over(group), "other": F.max(place).over(group), "rows": F.sum("m").over(group)})
+    groups = stored(within.withColumn("rep", F.col("one") == place).drop("part", "m"), "groups")
+    block = Window.partitionBy("g", "b")
+    firsts = groups.where("rep").select("g", "b", "d", "k", "at", "n", "mixed", "rows", F.col("other").alias("mine"))
+    firsts = firsts.withColumns(
+        {"one": F.min(place).over(block), "other": F.max(place).over(block), "all": F.sum("rows").over(block), "number": F.row_number().over(block.orderBy("d", "k", "at"))}
+    )
+    return groups, stored(firsts.drop("g", "b", "rows"), "firsts")
 
 
 def matches(keyed: DataFrame, window: int, gram: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -190,22 +215,16 @@ def matches(keyed: DataFrame, window: int, gram: int) -> tuple[DataFrame, list[D
     window, but for rows that repeat.  ``keyed`` has __d, __k and __text.
     """
     blocks = stored(keyed.mapInArrow(_blocks(window, gram), "g long, b long, d long, k long, at int, n int, m int"), "blocks")
-    total = blocks.count()
     # grams of two occurrences at least; mixed: in different blocks
     grams = blocks.groupBy("g").agg(F.count("*").alias("c"), F.sum("m").alias("all"), F.min("b").alias("lo"), F.max("b").alias("hi")).where("all > 1")
     grams = stored(grams.select("g", "c", (F.col("lo") != F.col("hi")).alias("mixed")), "grams")
-    met = hot_split_join(blocks, grams, ["g"], "c", total)
-    met = stored(met.select("g", "b", "d", "k", "at", "n", "m", "mixed"), "met")
+    groups, firsts = equal_blocks(hot_split_join(blocks, grams, ["g"], "c", blocks.count()))
     place = F.struct("d", "k", "at")
-    kinds = met.groupBy("g", "b").agg(
-        F.count("*").alias("c"), F.sum("m").alias("all"), F.max("mixed").alias("mixed"), F.min("n").alias("__n"), F.min(place).alias("one"), F.max(place).alias("other")
-    )
-    kinds = stored(kinds, "kinds")
-    known = kinds.where("all > 1").select("g", "b", "c", "one", "other")
-    whole = hot_split_join(met.select("g", "b", "d", "k", "at", "n"), known, ["g", "b"], "c", met.count())
+    whole = groups.where("not rep").select("d", "k", "at", "n", *_columns(F.col("one")))
+    whole = whole.unionByName(firsts.where("all > 1").select("d", "k", "at", "n", *_columns(_other(place, "mine", "one", "other"))))
     # factor boundaries: unique blocks under a shared gram, and one copy of each block they may share windows with
-    edge = F.struct(F.col("one.at").alias("at"), F.col("__n").alias("n"), (F.col("all") > 1).alias("whole")).alias("e")
-    edges = kinds.where("mixed").select(F.col("one.d").alias("d"), F.col("one.k").alias("k"), edge).groupBy("d", "k").agg(F.collect_list("e").alias("edges"))
+    edge = F.struct("at", "n", (F.col("all") > 1).alias("whole")).alias("e")
+    edges = firsts.where("mixed and number = 1").select("d", "k", edge).groupBy("d", "k").agg(F.collect_list("e").alias("edges"))
     texts = keyed.select(F.col("__d").alias("d"), F.col("__k").alias("k"), "__text")
     joined = texts.join(edges, ["d", "k"]).select("d", "k", "__text", "edges")
     windows = stored(joined.mapInArrow(_windows(window), "h1 long, h2 long, d long, k long, at int, whole boolean"), "windows")
@@ -214,8 +233,8 @@ def matches(keyed: DataFrame, window: int, gram: int) -> tuple[DataFrame, list[D
     # the rows of a hash lie in few files, so that partial aggregates leave little to shuffle
     places = stored(again.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(place).alias("one"), F.max(place).alias("other")), "places")
     single = hot_split_join(again.where("not whole").drop("c"), places, ["h1", "h2"], "c", again.count())
-    out = whole.select("d", "k", "at", "n", *_reference(place)).unionByName(single.select("d", "k", "at", F.lit(1).alias("n"), *_reference(place)))
-    return out, [blocks, grams, met, kinds, windows, shared, again, places]
+    out = whole.unionByName(single.select("d", "k", "at", F.lit(1).alias("n"), *_columns(_other(place, "one", "other"))))
+    return out, [blocks, grams, groups, firsts, windows, shared, again, places]
 
 
 def greedy_factors(found: np.ndarray, window: int) -> np.ndarray:

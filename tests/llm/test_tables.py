@@ -227,8 +227,10 @@ def patchwork(seed, n=60):
     return texts + ["a b " * 100, "a b " * 60 + "c", "z " * 36]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substrings_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, group", [(1, 20_000), (2, 20_000), (3, 2), (4, 5)])
+def test_substrings_equal_brute_force(spark, monkeypatch, seed, group):
+    """Also where the occurrences of a block are met in several groups."""
+    monkeypatch.setattr(D, "GROUP_ROWS", group)
     texts = patchwork(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in D.remove_duplicates(docs, ["doc_id"]).collect()}
