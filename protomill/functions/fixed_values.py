@@ -101,3 +101,16 @@ SUSPICIOUS_TOKENS = ("autoclave", "parafilm", "manipulator", "gripper", "robot",
 ZERO_ARGUMENT = r"\b(?:duration_[a-z]+|volume_[a-z]+|force_[a-z]+)\s*=\s*0(?:\.0+)?(?:[^.0-9a-z_]|$)"
 SEQUENCE_CUES = ("already", "just", "after", "before", "previous", "prior", "then", "next")
 EQUIPMENT_WORDS = ("centrifuge", "microscope", "incubator", "thermocycler", "cytometer", "spectrophotometer", "scanner")
+
+# The forms in which a reply names its answer, and the article captions and headers of a table of materials.
+ANSWER_TAG = r"(?i)<answer>\s*([A-Z])\s*</answer>"
+FINAL_ANSWER_LINE = r"(?i)^\s*Final\s+Answer\s*:\s*([A-Z])\s*$"
+FREEFORM_ANSWERS = (
+    r"(?i)<final_answer>\s*([A-Z])\s*</final_answer>",
+    r"(?is)(?:final\s+answer|answer|correct\s+answer|correct\s+option)\s*(?:is|:|=)\s*([A-Z])\b",
+    r"(?is)\boption\s*([A-Z])\s+is\s+correct\b",
+)
+MATERIALS_CAPTION = (
+    r"(?i)table\s+of\s+materials|^\s*materials?\s*$|^\s*reagents?(\s+and\s+equipment)?\s*$|name\s+of\s+(material|reagent|equipment)"
+)
+MATERIALS_HEADER = r"name of (material|reagent|equipment)"

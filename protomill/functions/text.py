@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; what a lambda mentions from outside is computed for each element."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def normalize(c: Column) -> Column:
     """White space of any kind (no-break spaces too) to single spaces, trimmed; null to empty."""
     return F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))
@@ -77,14 +84,34 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-#: Entities that strip_tags resolves, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Characters of the named entities, as HTML 4 lists them, and the apostrophe's of XML.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+_REFERENCE = r"(&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);)"
+
+
+def _character(reference: Column) -> Column:
+    """What a reference such as ``&mu;``, ``&#956;`` or ``&#x3bc;`` stands for; itself if that isn't known."""
+    hexadecimal = F.conv(F.regexp_extract(reference, "^&#[xX]([0-9a-fA-F]+);", 1), 16, 10).cast("long")
+    number = F.coalesce(F.regexp_extract(reference, "^&#([0-9]+);", 1).try_cast("long"), hexadecimal)
+    drawn = let(number, lambda n: F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+    named = F.try_element_at(F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>"), F.substring(reference, F.lit(2), F.length(reference) - 2))
+    return F.coalesce(named, drawn, reference)
+
+
+def unescape(c: Column) -> Column:
+    """Character references to characters, each once: ``&amp;lt;`` becomes ``&lt;``."""
+
+    def resolved(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1)))
+        others = F.filter(F.transform(found, lambda r: F.struct(r.alias("r"), _character(r).alias("c"))), lambda x: x["c"] != "&")
+        return F.regexp_replace(F.aggregate(others, text, lambda t, x: F.replace(t, x["r"], x["c"])), "&(?:amp|#0*38|#[xX]0*26);", "&")
+
+    return let(c, lambda text: F.when(F.contains(text, F.lit("&")), resolved(text)).otherwise(text))
 
 
 def strip_tags(c: Column) -> Column:
-    """Tags to spaces, the common entities to characters, white space collapsed."""
-    bare = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")
-    return normalize(reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, bare))
+    """Tags to spaces, entities to characters, white space collapsed."""
+    return normalize(unescape(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")))
 
 
 def qc_score(reagents: Column, equipment: Column, steps: Column, troubleshooting: Column, timing: Column, abstract: Column) -> Column:

@@ -58,7 +58,10 @@ def quota_letters(items: DataFrame, id_col: str, options: int = 10, none_rate: f
 def some_views(views: Column, preferred: list[str], seed: int = 0, k: int = 3) -> Column:
     """k of the views that exist, drawn with a seed and given in the preferred order."""
     there = F.filter(F.array(*[F.lit(v) for v in preferred]), lambda v: F.array_contains(F.map_keys(views), v))
-    drawn = F.slice(F.shuffle(there, F.lit(seed)), 1, k)
+    # by a hash of the views and the view, so that a lost task draws the same again
+    key = F.array_join(F.array_sort(F.map_keys(views)), ",")
+    hashed = F.array_sort(F.transform(there, lambda v: F.struct(F.xxhash64(F.concat(key, v), F.lit(seed)), v.alias("view"))))
+    drawn = F.transform(F.slice(hashed, 1, k), lambda x: x["view"])
     return F.filter(there, lambda v: F.array_contains(drawn, v))
 
 
@@ -212,8 +215,11 @@ def generate(items: DataFrame, prompt_col: str, model, validate, tries: int = 3)
         said = prompt
         reason = "no try"
         for n in range(1, tries + 1):
-            reply = model(said)
-            reason = validate(reply)
+            try:
+                reply = model(said)
+                reason = validate(reply)
+            except Exception as e:  # noqa: BLE001  any failure of a call or of a check is a refusal
+                reply, reason = None, f"{type(e).__name__}: {e}"
             if reason is None:
                 return reply, None, n
             said = f"{prompt}\nThe last reply was refused: {reason}"

@@ -23,13 +23,18 @@ REGISTRY: dict[str, Parser] = {}
 RECORD = {
     "doi": "string",
     "pmcid": "string",
+    "pmid": "string",
     "title": "string",
+    "authors": "array<string>",
+    "journal": "string",
+    "pub_year": "string",
     "license": "string",
     "abstract": "string",
     "reagents": "array<struct<name:string,vendor:string,catalog_id:string>>",
     "equipment": "array<struct<name:string,vendor:string,catalog_id:string>>",
     "materials_raw": "string",
     "steps": "array<struct<step_no:string,text:string,section:string>>",
+    "troubleshooting": "array<struct<problem:string,solution:string>>",
     "timing": "string",
 }
 
@@ -83,8 +88,8 @@ def _cascade(*options: Column) -> Column:
 
 def _subsections(body: Column) -> Column:
     """array<struct<num, text, section>>: list items of the inner sections, each up to its first closing tag."""
-    heads = F.regexp_extract_all(body, F.lit(r"(?s)<sec\b[^>]*>\s*<title[^>]*>(.*?)</title>(.*?)</sec>"), F.lit(1))
-    bodies = F.regexp_extract_all(body, F.lit(r"(?s)<sec\b[^>]*>\s*<title[^>]*>(.*?)</title>(.*?)</sec>"), F.lit(2))
+    inner = F.lit(r"(?s)<sec\b[^>]*>\s*(?:<label[^>]*>[^<]*</label>\s*)?<title[^>]*>(.*?)</title>(.*?)</sec>")
+    heads, bodies = (F.regexp_extract_all(body, inner, F.lit(i)) for i in (1, 2))
     return F.flatten(F.transform(F.arrays_zip(heads.alias("t"), bodies.alias("b")), lambda x: _steps(E.list_items(x["b"]), X.strip_tags(x["t"]))))
 
 
@@ -106,16 +111,36 @@ def _listed(reagents: Column, limit: int = 5000) -> Column:
 
 def _materials(body: Column, reagents: Column, fewest: int = 1, limit: int = 5000) -> Column:
     """A section's text, or one made from reagents where it is short and there are enough of them."""
-    raw = F.left(X.strip_tags(body), F.lit(limit))
-    return F.when((F.length(raw) < 150) & (F.size(reagents) >= fewest), _listed(reagents, limit)).otherwise(raw)
+    listed = X.let(reagents, lambda rs: F.when(F.size(rs) >= fewest, _listed(rs, limit)))
+    return X.let(F.left(X.strip_tags(body), F.lit(limit)), lambda raw: F.when(F.length(raw) < 150, F.coalesce(listed, raw)).otherwise(raw))
+
+
+def _with_inline(reagents: Column, x: Column) -> Column:
+    """With the items that running text names, where fewer than three are listed."""
+    def more(listed: Column) -> Column:
+        mined = X.let(X.strip_tags(x), E.inline_items)
+        new = X.let(F.transform(listed, lambda r: F.lower(r["name"])), lambda have: F.filter(mined, lambda m: ~F.array_contains(have, F.lower(m["name"]))))
+        return F.when(F.size(listed) < 3, F.concat(listed, new)).otherwise(listed)
+
+    return X.let(reagents, more)
+
+
+def _troubles(s: Sections) -> dict[str, Column]:
+    return {"troubleshooting": E.troubleshooting(s.first("Troubleshooting", "General notes and [Tt]roubleshooting"))}
+
+
+def _flat_steps(body: Column, numbered: bool = False) -> Column:
+    """Every paragraph of 21 to 1,999 characters as a step."""
+    paragraphs = F.filter(F.transform(E.elements(body, "p"), X.strip_tags), lambda t: (F.length(t) > 20) & (F.length(t) < 2000))
+    return F.transform(paragraphs, lambda t, i: F.struct((i + 1).cast("string").alias("step_no") if numbered else F.lit("").alias("step_no"), t.alias("text"), F.lit("").alias("section")))
 
 
 @register("bioprot")
 def bioprot(x: Column, s: Sections) -> dict[str, Column]:
     materials, procedure = s.first("Materials and reagents", "Materials"), s.first("Procedure")
-    reagents = E.entities(materials)
+    reagents = _with_inline(E.entities(materials), x)
     steps = _cascade(_steps(E.list_items(procedure)), _subsections(procedure), _paragraph_steps(procedure))
-    return E.metadata(x) | {"reagents": reagents, "equipment": E.entities(s.first("Equipment")), "materials_raw": _materials(materials, reagents), "steps": steps}
+    return E.metadata(x) | _troubles(s) | {"reagents": reagents, "equipment": E.entities(s.first("Equipment")), "materials_raw": _materials(materials, reagents), "steps": steps}
 
 
 def _krt(s: Sections) -> tuple[Column, Column]:
@@ -134,19 +159,19 @@ def star(x: Column, s: Sections) -> dict[str, Column]:
     steps = _cascade(_subsections(body), _steps(E.list_items(body)))
     materials = _materials(s.first("Materials and equipment"), reagents, fewest=5)
     timing = F.left(X.strip_tags(s.first("Timing")), F.lit(500))
-    return E.metadata(x) | {"reagents": reagents, "equipment": equipment, "materials_raw": materials, "steps": steps, "timing": timing}
+    return E.metadata(x) | _troubles(s) | {"reagents": reagents, "equipment": equipment, "materials_raw": materials, "steps": steps, "timing": timing}
 
 
 @register("jove")
 def jove(x: Column, s: Sections) -> dict[str, Column]:
     body = s.first("Protocol", "Procedure", "Methods?")
-    rows = E.table_rows(s.first("Table of [Mm]aterials", "Materials", "Reagents(?: and equipment)?"))
+    rows = E.materials_table(x, [s.first(t) for t in ("Table of [Mm]aterials", "Materials", "Reagents(?: and equipment)?")])
     data = F.filter(rows, lambda r: (F.size(r) >= 2) & (F.get(r, 0) != "") & ~F.lower(F.get(r, 0)).rlike("^name|material"))
     items = F.transform(data, lambda r: F.struct(F.get(r, 0).alias("name"), F.get(r, 1).alias("vendor"), F.coalesce(F.get(r, 2), F.lit("")).alias("catalog_id")))
     device = lambda i: F.lower(i["name"]).rlike("|".join(V.EQUIPMENT_WORDS))
     reagents = F.filter(items, lambda i: ~device(i))
     steps = _cascade(_subsections(body), _steps(E.list_items(body)), _paragraph_steps(body))
-    return E.metadata(x) | {"reagents": reagents, "equipment": F.filter(items, device), "materials_raw": _materials(F.lit(""), reagents, limit=8000), "steps": steps}
+    return E.metadata(x) | _troubles(s) | {"reagents": reagents, "equipment": F.filter(items, device), "materials_raw": _materials(F.lit(""), reagents, limit=8000), "steps": steps}
 
 
 @register("curprot")
@@ -158,23 +183,23 @@ def curprot(x: Column, s: Sections) -> dict[str, Column]:
     steps = F.filter(_steps(E.list_items(x, shortest=10)), lambda i: i["step_no"].rlike("^[0-9]"))
     raw = F.array_join(F.transform(bodies, X.strip_tags), "\n")
     materials = F.when(F.length(raw) < 150, _listed(reagents, 8000)).otherwise(F.left(raw, F.lit(8000)))
-    return E.metadata(x) | {"reagents": reagents, "equipment": F.filter(items, device), "materials_raw": materials, "steps": steps}
+    return E.metadata(x) | _troubles(s) | {"reagents": reagents, "equipment": F.filter(items, device), "materials_raw": materials, "steps": steps}
 
 
 @register("f1000")
 def f1000(x: Column, s: Sections) -> dict[str, Column]:
     body = s.first("Methods?", "Materials and methods")
-    paragraphs = F.filter(F.transform(E.elements(body, "p"), X.strip_tags), lambda t: (F.length(t) > 20) & (F.length(t) < 2000))
-    flat = F.transform(paragraphs, lambda t: F.struct(F.lit("").alias("step_no"), t.alias("text"), F.lit("").alias("section")))
     reagents = E.entities(s.first("Materials", "Reagents"))
-    return E.metadata(x) | {"reagents": reagents, "materials_raw": _materials(F.lit(""), reagents), "steps": _cascade(_steps(E.list_items(body)), _subsections(body), flat)}
+    flat = _flat_steps(body)
+    return E.metadata(x) | _troubles(s) | {"reagents": reagents, "materials_raw": _materials(F.lit(""), reagents), "steps": _cascade(_steps(E.list_items(body)), _subsections(body), flat)}
 
 
 @register("mimb")
 def mimb(x: Column, s: Sections) -> dict[str, Column]:
     materials, body = s.first("Materials?"), s.first("Methods?", "Procedures?")
-    reagents = E.entities(materials)
-    return E.metadata(x) | {"reagents": reagents, "materials_raw": _materials(materials, reagents), "steps": _cascade(_steps(E.list_items(body)), _subsections(body))}
+    reagents = _with_inline(E.entities(materials), x)
+    steps = _cascade(_steps(E.list_items(body)), _subsections(body), _paragraph_steps(body), _flat_steps(body, numbered=True))
+    return E.metadata(x) | _troubles(s) | {"reagents": reagents, "materials_raw": _materials(materials, reagents), "steps": steps}
 
 
 @register("nprot")
@@ -184,7 +209,7 @@ def nprot(x: Column, s: Sections) -> dict[str, Column]:
     raw = F.left(F.array_join(F.filter(F.array(*[X.strip_tags(p) for p in parts]), lambda t: t != ""), "\n"), F.lit(8000))
     timing = F.left(X.strip_tags(s.first("Timing")), F.lit(500))
     steps = _cascade(_steps(E.list_items(body)), _subsections(body), _paragraph_steps(body))
-    return E.metadata(x) | {"reagents": E.entities(F.concat(parts[0], parts[1])), "equipment": E.entities(parts[3]), "materials_raw": raw, "steps": steps, "timing": timing}
+    return E.metadata(x) | _troubles(s) | {"reagents": E.entities(F.concat(parts[0], parts[1])), "equipment": E.entities(parts[3]), "materials_raw": raw, "steps": steps, "timing": timing}
 
 
 REGISTRY["nmeth"] = REGISTRY["nprot"]

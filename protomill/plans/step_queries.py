@@ -14,7 +14,7 @@ from protomill.plans.text_queries import FAMILIES, LINES, TRIM, whole_words
 #: A line of fewer characters sets the stage to its first word.
 SHORT = 60
 NAMES = list(FAMILIES)
-SCORE_FROM = 30.0
+SCORE_FROM = 18.0
 
 
 def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,10 +111,10 @@ def w6_best_windows(spark: SparkSession, sf: str) -> DataFrame:
     return best_windows(spark, sf).select("doc_id", "start", "length", "score")
 
 
-@query(f"WITH {SCORED} SELECT doc_id, start, length, {_sum([f'CAST(c_{f} >= 2 AS INT)' for f in NAMES if f in V.REPEAT_FAMILIES])} >= 2 AND all_numbers >= 0 AND length >= 8 AS hard FROM scored")
+@query(f"WITH {SCORED} SELECT doc_id, start, length, {_sum([f'CAST(c_{f} >= 2 AS INT)' for f in NAMES if f in V.REPEAT_FAMILIES])} >= 2 AND all_numbers >= 5 AND length >= 8 AS hard FROM scored")
 def f13_hard_windows(spark: SparkSession, sf: str) -> DataFrame:
     scored = S.score_windows(windows(spark, sf), NAMES)
-    return scored.select("doc_id", "start", "length", S.is_hard(NAMES, numbers=0).alias("hard"))
+    return scored.select("doc_id", "start", "length", S.is_hard(NAMES).alias("hard"))
 
 
 @query(
@@ -161,9 +161,9 @@ def w6_top_per_supplier(spark: SparkSession, sf: str) -> DataFrame:
     return S.top_per_group(table(spark, sf, "lineitem"), "l_suppkey", order, 8).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus DESC, o_totalprice, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus DESC, o_totalprice, o_orderkey")
 def o1_mixed_order(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").orderBy(F.desc("o_orderstatus"), "o_totalprice", "o_orderkey").limit(100).select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return table(spark, sf, "orders").orderBy(F.desc("o_orderstatus"), "o_totalprice", "o_orderkey").select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
