@@ -24,13 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (a local session,
-    as in tests) a temporary folder is made and set.
+    as in tests) a temporary folder is made and set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set: the driver and the executors share no folder")
             found = tempfile.mkdtemp(prefix="protomill-")
             context.setCheckpointDir(found)
     return found.rstrip("/")
