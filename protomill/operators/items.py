@@ -143,27 +143,65 @@ def trio_failures(options: DataFrame, id_col: str) -> DataFrame:
     )
 
 
+def moved(text: str, n: int) -> str:
+    """A call whose first number is moved by the n-th step, down and up in turn but never to zero or below; unchanged if it has none."""
+    try:
+        tree = ast.parse(text, mode="eval")
+    except (SyntaxError, ValueError):
+        return text
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)) and not isinstance(node.value, bool):
+            size = abs(node.value)
+            whole = isinstance(node.value, int)
+            step = (100 if size >= 1000 else 10 if size >= 100 else 1) if whole else (10.0 if size >= 100 else 1.0 if size >= 10 else 0.5 if size >= 1 else 0.1)
+            lower = node.value - step * (n // 2 + 1)
+            node.value = lower if n % 2 == 0 and lower > 0 else node.value + step * (n // 2 + 1)
+            return ast.unparse(tree)
+    return text
+
+
+def one_number_apart(gold: str, other: str) -> bool:
+    """Whether two calls have one function and the same keywords, and differ in the value of one of them, a number in both."""
+    try:
+        a, b = (ast.parse(x.strip(), mode="eval").body for x in (gold, other))
+    except (SyntaxError, ValueError):
+        return False
+    if not (isinstance(a, ast.Call) and isinstance(b, ast.Call)) or ast.dump(a.func) != ast.dump(b.func):
+        return False
+    mine, theirs = ({k.arg: ast.unparse(k.value) for k in c.keywords} for c in (a, b))
+    changed = [k for k in mine if mine[k] != theirs.get(k)]
+    return mine.keys() == theirs.keys() and len(changed) == 1 and all(any(c.isdigit() for c in v[changed[0]]) for v in (mine, theirs))
+
+
+def repair_family(options: DataFrame, id_col: str, tries: int = 12) -> DataFrame:
+    """Wrong members of the answer's trio become the right call with its first number moved, unless they are one number apart from it already.
+
+    Each takes the first step whose text no other option has; a member stays as it is if the right call has no number.  Rows are (id, letter, option,
+    answer), ten for an item, so an item is a small group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("letter")
+        texts = dict(zip(pdf["letter"], pdf["option"].fillna(""), strict=True))
+        answer = pdf["answer"].iloc[0]
+        trio = next((t for t in TRIOS if isinstance(answer, str) and len(answer) == 1 and answer in t), "")
+        gold = texts.get(answer, "")
+        for letter in trio:
+            if letter == answer or letter not in texts or one_number_apart(gold, texts[letter]):
+                continue
+            taken = {t for k, t in texts.items() if k != letter}
+            texts[letter] = next((t for t in (moved(gold, n) for n in range(tries)) if t not in taken), texts[letter])
+        return pdf.assign(option=[texts[k] if isinstance(o, str) or texts[k] else None for k, o in zip(pdf["letter"], pdf["option"], strict=True)])
+
+    return options.groupBy(id_col).applyInPandas(run, options.schema)
+
+
 def repair_repeats(options: DataFrame, id_col: str, tries: int = 5) -> DataFrame:
     """Options whose text repeats an earlier one get the first number moved by a step, until it is new.
 
     An item has ten options at most, so its rows are a small group.
     """
 
-    def moved(text: str, n: int) -> str:
-        try:
-            tree = ast.parse(text, mode="eval")
-        except (SyntaxError, ValueError):
-            return text
-        for node in ast.walk(tree):
-            if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)) and not isinstance(node.value, bool):
-                size = abs(node.value)
-                whole = isinstance(node.value, int)
-                step = (100 if size >= 1000 else 10 if size >= 100 else 1) if whole else (10.0 if size >= 100 else 1.0 if size >= 10 else 0.5 if size >= 1 else 0.1)
-                lower = node.value - step * (n // 2 + 1)
-                node.value = lower if n % 2 == 0 and lower > 0 else node.value + step * (n // 2 + 1)
-                return ast.unparse(tree)
-        return text
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         seen: set[str] = set()
         fixed = []

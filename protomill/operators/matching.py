@@ -47,12 +47,24 @@ def match_by_pattern(docs: DataFrame, aliases: DataFrame, id_col: str, corpus_co
     return hit.select(id_col, "group_id").distinct()
 
 
+def groups_of(corpus: Column, groups: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The groups with an alias at word boundaries of one normalised text, as padded substring tests.
+
+    A predicate on each row, without a join; match_aliases() is meant for catalogs of many aliases.
+    """
+    padded = F.concat(F.lit(" "), corpus, F.lit(" "))
+    holds = lambda aliases: F.exists(
+        F.array(*[X.search_key(F.lit(a)) for a in aliases]), lambda a: F.contains(padded, F.concat(F.lit(" "), a, F.lit(" ")))
+    )
+    return F.array_compact(F.array(*[F.when(holds(aliases), F.lit(g)) for g, aliases in (groups or V.MATCH_GROUPS).items()]))
+
+
 def attach_entries(matched: DataFrame, entries: DataFrame, id_col: str) -> DataFrame:
     """Groups and candidate entries of every matched id, each entry once, in group order.
 
     ``entries`` has ord, group_id and entry_id; ids without a group are left out.
     """
-    joined = matched.join(F.broadcast(entries), "group_id")
+    joined = matched.join(entries, "group_id")  # small catalogs are broadcast by their size
     firsts = joined.groupBy(id_col, "entry_id").agg(F.min("ord").alias("ord"))
     groups = joined.groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("ord", "group_id"))).alias("g"))
     listed = firsts.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("ord", "entry_id"))).alias("e"))

@@ -119,3 +119,73 @@ def add_missing(have: DataFrame, mined: DataFrame, id_col: str, fewest: int, nam
     extra = mined.join(enough, id_col, "left_anti").withColumn("__key", F.lower(F.col(name)))
     known = have.select(id_col, F.lower(F.col(name)).alias("__key")).distinct()
     return have.unionByName(extra.join(known, [id_col, "__key"], "left_anti").drop("__key"), allowMissingColumns=True)
+
+
+def record_id(source: Column, pmcid: Column, doi: Column) -> Column:
+    """``source:pmcid``, or ``source:doi`` where the pmcid is null or empty."""
+    return F.concat_ws(":", source, F.coalesce(F.nullif(pmcid, F.lit("")), doi))
+
+
+def with_defaults(df: DataFrame, **defaults: object) -> DataFrame:
+    """``df`` with a default wherever one of the named columns is null or empty."""
+    return df.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(v)) for c, v in defaults.items()})
+
+
+def minimal_record(df: DataFrame) -> DataFrame:
+    """Adds background, materials and procedure to rows with title, abstract, reagents, equipment and troubleshooting.
+
+    The abstract stands for the background, and the title where it is null or empty; a reagent's identifier is its catalog number, a device's its model; pairs of a
+    problem and a solution stay unless both are empty.
+    """
+    named = lambda items, key: F.transform(items, lambda x: F.struct(x["name"].alias("name"), x[key].alias("identifier")))
+    told = F.filter("troubleshooting", lambda t: (t["problem"] != "") | (t["solution"] != ""))
+    return df.withColumns(
+        {
+            "background": F.coalesce(F.nullif("abstract", F.lit("")), F.col("title")),
+            "materials": F.struct(named(F.col("reagents"), "catalog_id").alias("reagents"), named(F.col("equipment"), "model").alias("equipment")),
+            "procedure": F.struct(told.alias("troubleshooting")),
+        }
+    )
+
+
+def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """Rows that have a key which isn't in ``seen`` yet: what a crawl goes on with."""
+    return rows.where(F.col(key).isNotNull()).join(seen.select(key), key, "left_anti")
+
+
+def cache_counts(cache: DataFrame, value: str) -> DataFrame:
+    """One row: results that are valid (not null), and those that are due again."""
+    return cache.agg(F.count(value).alias("valid"), F.count_if(F.col(value).isNull()).alias("again"))
+
+
+def run_counters(attempts: DataFrame, by: str) -> DataFrame:
+    """Counters of a crawl from its attempts (skipped, error, qc_pass): skipped ones are not fetched, failed ones not parsed."""
+    tried = ~F.col("skipped")
+    parsed = tried & F.col("error").isNull()
+    counters = {
+        "skipped": F.col("skipped"), "fetched": tried, "errors": tried & F.col("error").isNotNull(),
+        "parsed": parsed, "passed": parsed & F.col("qc_pass"), "failed": parsed & ~F.col("qc_pass"),
+    }
+    return attempts.groupBy(by).agg(*[F.count_if(c).alias(n) for n, c in counters.items()])
+
+
+def action_counts(rows: DataFrame, key: str, action: str) -> DataFrame:
+    """The count of each key's commonest action, and the actions that repeat, in order."""
+    n = rows.groupBy(key, action).agg(F.count("*").alias("n"))
+    names = F.array_sort(F.collect_list(F.when(F.col("n") >= 2, F.col(action))))
+    return n.groupBy(key).agg(F.max("n").alias("most"), names.alias("repeated"))
+
+
+def license_bucket(text: Column) -> Column:
+    """A coarse class of the license that a text names."""
+    return F.when(text.contains("CC BY-NC"), "BY-NC").when(text.contains("CC BY"), "BY").when(text.contains("Apache License") | text.contains("MIT License"), "other").otherwise("unknown")
+
+
+def score_tenths(df: DataFrame, score: str) -> DataFrame:
+    """A histogram of scores by tenths."""
+    return df.groupBy(F.floor(F.col(score) * 10).cast("int").alias("tenth")).agg(F.count("*").alias("n"))
+
+
+def checkpoint_state(saved: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """What an append-only checkpoint amounts to: how often each key was saved, and its last value."""
+    return saved.groupBy(key).agg(F.count("*").alias("saved"), F.max_by(value, F.struct(*order)).alias("current"))

@@ -71,6 +71,18 @@ def g5_repair_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return I.repair_repeats(options(spark, sf), "doc_id").groupBy("doc_id").agg(F.count_distinct("option").alias("distinct_options"))
 
 
+_FIRST = "(doc_id % 7 + 1)"
+
+
+@query(
+    "SELECT doc_id, k AS letter, CASE WHEN k = 'J' THEN 'none_of_the_above()' ELSE CASE WHEN k < 'D' THEN 'mix' WHEN k < 'G' THEN 'heat' ELSE 'wash' END || '_sample(times=' || "
+    f"CASE WHEN k = 'B' AND doc_id % 5 <> 0 THEN CASE WHEN {_FIRST} > 1 THEN {_FIRST} - 1 ELSE {_FIRST} + 1 END ELSE {_FIRST} + (ascii(k) - 65) % 3 END || ', tube=''x'')' END AS option "
+    "FROM (SELECT doc_id, unnest(string_split('A,B,C,D,E,F,G,H,I,J', ',')) AS k FROM documents)"
+)
+def g6_repair_family(spark: SparkSession, sf: str) -> DataFrame:
+    return I.repair_family(options(spark, sf), "doc_id").select("doc_id", "letter", "option")
+
+
 @query("SELECT o.doc_id, o.k AS letter, CASE WHEN o.k = 'J' THEN 'none_of_the_above' WHEN o.k < 'D' THEN CASE WHEN doc_id % 5 = 1 AND o.k = 'B' THEN 'stir_sample' ELSE 'mix_sample' END WHEN o.k < 'G' THEN 'heat_sample' ELSE 'wash_sample' END AS function FROM (SELECT doc_id, unnest(string_split('A,B,C,D,E,F,G,H,I,J', ',')) AS k FROM documents) o")
 def u5_parse_calls(spark: SparkSession, sf: str) -> DataFrame:
     return options(spark, sf).select("doc_id", "letter", I.parse_call("option")["function"].alias("function"))

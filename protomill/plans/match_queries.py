@@ -40,7 +40,7 @@ def j2_alias_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {MATCHED} SELECT doc_id, group_id FROM matched")
 def f5_whole_word_predicate(spark: SparkSession, sf: str) -> DataFrame:
-    return M.match_by_pattern(corpus(spark, sf), M.alias_table(spark, GROUPS), "doc_id", "corpus")
+    return corpus(spark, sf).select("doc_id", F.explode(M.groups_of(F.col("corpus"), GROUPS)).alias("group_id"))
 
 
 @query(f"WITH {MATCHED} SELECT g.group_id, coalesce(n, 0) AS n FROM (SELECT DISTINCT group_id FROM a) g LEFT JOIN (SELECT group_id, count(*) AS n FROM matched GROUP BY 1) USING (group_id)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from protomill.functions import programs as P
 from protomill.functions import text as X
 from protomill.operators import parsers
+from protomill.operators import records as R
 from protomill.plans.metric_queries import programs
 from protomill.plans.registry import query, table
 from protomill.sources.files import entry_views
@@ -75,9 +76,15 @@ def c11_message_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.filter(said, lambda t: F.trim(t) != ""), "\n").alias("said"))
 
 
-@query("SELECT doc_id, 4 AS literals FROM documents")
+_CODE = "'v = mix(sample=tube, times=[' || array_to_string(regexp_extract_all(CAST(n_chars AS VARCHAR) || CAST(doc_id AS VARCHAR), '\\d'), ', ') || '])'"
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all({_CODE}, '\\d')) AS literals FROM documents")
 def c20_numeric_literals(spark: SparkSession, sf: str) -> DataFrame:
-    return programs(spark, sf).select("doc_id", P.numeric_literals("gold").alias("literals"))
+    """Numbers of a program whose list holds the digits of a document's length and id."""
+    digits = F.regexp_extract_all(F.concat(F.col("n_chars").cast("string"), F.col("doc_id").cast("string")), F.lit(r"\d"), F.lit(0))
+    code = F.concat(F.lit("v = mix(sample=tube, times=["), F.array_join(digits, ", "), F.lit("])"))
+    return table(spark, sf, "documents").select("doc_id", code.alias("code")).select("doc_id", P.numeric_literals("code").alias("literals"))
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +117,7 @@ def k3_full_and_slim(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, count(*) AS saved, arg_max(event_id, struct_pack(ts := ts, id := event_id)) AS current FROM events GROUP BY user_id")
 def k5_checkpoint_state(spark: SparkSession, sf: str) -> DataFrame:
     """The state that an append-only checkpoint amounts to: the last row of each key."""
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("saved"), F.max_by("event_id", F.struct("ts", "event_id")).alias("current"))
+    return R.checkpoint_state(table(spark, sf, "events"), "user_id", "event_id", ["ts", "event_id"])
 
 
 @query("SELECT p_partkey AS entry_id, v.view AS view, p_name || '/' || v.view || '.png' AS path FROM part, (VALUES ('top'), ('left')) v(view)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from protomill.functions import text as X
 from protomill.operators import records as R
 from protomill.plans.registry import query, table
+from protomill.sources import files
 
 
 def raw_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,22 +91,24 @@ def k2_keep_report(spark: SparkSession, sf: str) -> DataFrame:
 def p24_typed_record(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
     pmcid = F.when(d % 2 == 0, F.concat(F.lit("PMC"), d)).otherwise(F.lit(""))
-    key = F.coalesce(F.nullif(pmcid, F.lit("")), F.concat(F.lit("10.1/"), d))
-    return table(spark, sf, "documents").select("doc_id", F.concat_ws(":", "source", key).alias("id"), F.coalesce(F.nullif("lang", F.lit("en")), F.lit("unknown")).alias("license"))
+    key = R.record_id(F.col("source"), pmcid, F.concat(F.lit("10.1/"), d))
+    rows = table(spark, sf, "documents").select("doc_id", key.alias("id"), F.nullif("lang", F.lit("en")).alias("license"))
+    return R.with_defaults(rows, license="unknown")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_type END AS background, p_brand || '/' || p_name AS first_reagent, p_size % 2 AS n_troubleshooting FROM part")
 def p25_minimal_record(spark: SparkSession, sf: str) -> DataFrame:
     size = F.col("p_size")
     abstract = F.when(size % 3 == 0, "").otherwise(F.col("p_type"))
-    reagents = F.array(F.struct(F.col("p_brand").alias("name"), F.col("p_name").alias("identifier")))
-    troubles = F.filter(F.array(F.struct(F.when(size % 2 == 1, "p").otherwise("").alias("problem"), F.lit("").alias("solution"))), lambda t: (t["problem"] != "") | (t["solution"] != ""))
-    made = table(spark, sf, "part").select(
+    rows = table(spark, sf, "part").select(
         "p_partkey",
-        F.coalesce(F.nullif(abstract, F.lit("")), "p_name").alias("background"),
-        F.struct(reagents.alias("reagents")).alias("materials"),
-        F.struct(troubles.alias("troubleshooting")).alias("procedure"),
+        F.col("p_name").alias("title"),
+        abstract.alias("abstract"),
+        F.array(F.struct(F.col("p_brand").alias("name"), F.col("p_name").alias("catalog_id"))).alias("reagents"),
+        F.array(F.struct(F.col("p_type").alias("name"), F.col("p_brand").alias("model"))).alias("equipment"),
+        F.array(F.struct(F.when(size % 2 == 1, "p").otherwise("").alias("problem"), F.lit("").alias("solution"))).alias("troubleshooting"),
     )
+    made = R.minimal_record(rows)
     first = F.get(F.col("materials.reagents"), 0)
     return made.select("p_partkey", "background", F.concat_ws("/", first["name"], first["identifier"]).alias("first_reagent"), F.size("procedure.troubleshooting").alias("n_troubleshooting"))
 
@@ -147,17 +150,14 @@ def a2_top_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {RAW} SELECT CAST(floor(qc_score * 10) AS INT) AS tenth, count(*) AS n FROM gated GROUP BY 1")
 def a14_score_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    scored = R.quality_gate(raw_records(spark, sf))
-    return scored.groupBy(F.floor(F.col("qc_score") * 10).cast("int").alias("tenth")).agg(F.count("*").alias("n"))
+    return R.score_tenths(R.quality_gate(raw_records(spark, sf)), "qc_score")
 
 
 @query(
     "SELECT CASE WHEN text LIKE '%CC BY-NC%' THEN 'BY-NC' WHEN text LIKE '%CC BY%' THEN 'BY' WHEN text LIKE '%Apache License%' OR text LIKE '%MIT License%' THEN 'other' ELSE 'unknown' END AS bucket, count(*) AS n FROM documents GROUP BY 1"
 )
 def a14_license_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("text")
-    bucket = F.when(t.contains("CC BY-NC"), "BY-NC").when(t.contains("CC BY"), "BY").when(t.contains("Apache License") | t.contains("MIT License"), "other").otherwise("unknown")
-    return table(spark, sf, "documents").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return table(spark, sf, "documents").groupBy(R.license_bucket(F.col("text")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
@@ -172,9 +172,19 @@ def a11_distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT user_id, max(n) AS most, string_agg(event_type, ',' ORDER BY event_type) FILTER (n >= 2) AS repeated FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY user_id")
 def a10_action_counts(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    names = F.array_sort(F.collect_list(F.when(F.col("n") >= 2, F.col("event_type"))))
-    return n.groupBy("user_id").agg(F.max("n").alias("most"), F.nullif(F.array_join(names, ","), F.lit("")).alias("repeated"))
+    counted = R.action_counts(table(spark, sf, "events"), "user_id", "event_type")
+    return counted.select("user_id", "most", F.nullif(F.array_join("repeated", ","), F.lit("")).alias("repeated"))
+
+
+@query(
+    "WITH a AS (SELECT source, doc_id % 5 = 0 AS skipped, doc_id % 7 = 0 AS bad, quality = 1 AS ok FROM documents JOIN labels USING (doc_id)) "
+    "SELECT source, count(*) FILTER (skipped) AS skipped, count(*) FILTER (NOT skipped) AS fetched, count(*) FILTER (NOT skipped AND bad) AS errors, "
+    "count(*) FILTER (NOT skipped AND NOT bad) AS parsed, count(*) FILTER (NOT skipped AND NOT bad AND ok) AS passed, count(*) FILTER (NOT skipped AND NOT bad AND NOT ok) AS failed FROM a GROUP BY source"
+)
+def a5_run_counters(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id")
+    attempts = rows.select("source", (F.col("doc_id") % 5 == 0).alias("skipped"), F.when(F.col("doc_id") % 7 == 0, "timeout").alias("error"), (F.col("quality") == 1).alias("qc_pass"))
+    return R.run_counters(attempts, "source")
 
 
 @query("SELECT lang, count(*) AS n, count(*) FILTER (n_chars > 2000) AS long_ones FROM documents GROUP BY lang")
@@ -207,13 +217,13 @@ def j6_resume(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND lang <> 'de' AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def f3_skip_seen(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("doc_id is not null and lang <> 'de'").join(table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id")
+    return R.unseen(table(spark, sf, "documents").where("lang <> 'de'"), table(spark, sf, "labels"), "doc_id").select("doc_id")
 
 
 @query("SELECT count(*) FILTER (quality = 1) AS valid, count(*) FILTER (quality <> 1) AS again FROM labels")
 def f16_valid_cache(spark: SparkSession, sf: str) -> DataFrame:
     answer = F.when(F.col("quality") == 1, F.lit("A"))
-    return table(spark, sf, "labels").agg(F.count(answer).alias("valid"), F.count_if(answer.isNull()).alias("again"))
+    return R.cache_counts(table(spark, sf, "labels").select(answer.alias("answer")), "answer")
 
 
 @query(
@@ -279,25 +289,41 @@ def x5_fallback_union(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, source, lang FROM documents")
 def s1_strict_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as JSON text, read back with an explicit schema."""
-    lines = table(spark, sf, "documents").select(F.to_json(F.struct("doc_id", "source", "lang")).alias("value"))
-    return lines.select(F.from_json("value", "doc_id bigint, source string, lang string", {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    """Documents written as JSON lines, with blank lines between, and read back with an explicit schema."""
+    folder = files.shared_folder(spark, "lines")
+    line = F.to_json(F.struct("doc_id", "source", "lang"))
+    table(spark, sf, "documents").select(F.concat(line, F.lit("\n")).alias("value")).write.text(folder)
+    return files.strict_lines(spark, folder, "doc_id bigint, source string, lang string")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 10 <> 0")
 def s2_tolerant_lines(spark: SparkSession, sf: str) -> DataFrame:
     line = F.to_json(F.struct("doc_id", "source"))
     broken = F.when(F.col("doc_id") % 10 == 0, F.left(line, F.length(line) - 3)).otherwise(line)
-    parsed = F.from_json(broken, "doc_id bigint, source string, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = table(spark, sf, "documents").select(parsed.alias("r"))
-    return rows.where("r._corrupt_record is null").select("r.doc_id")
+    folder = files.shared_folder(spark, "lines")
+    table(spark, sf, "documents").select(broken.alias("value")).write.text(folder)
+    return files.tolerant_lines(spark, folder, "doc_id bigint, source string").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 10 = 0")
+def s2_bad_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines that the tolerant scan leaves out, by the id that they start with."""
+    line = F.to_json(F.struct("doc_id", "source"))
+    broken = F.when(F.col("doc_id") % 10 == 0, F.left(line, F.length(line) - 3)).otherwise(line)
+    folder = files.shared_folder(spark, "lines")
+    table(spark, sf, "documents").select(broken.alias("value")).write.text(folder)
+    bad = files.bad_lines(spark, folder, "doc_id bigint, source string")
+    return bad.select(F.regexp_extract("_corrupt_record", r"^\{\"doc_id\":(\d+)", 1).cast("bigint").alias("doc_id"))
 
 
 @query("SELECT source, quality = 1 AS qc_pass, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2")
 def k1_routed_save(spark: SparkSession, sf: str) -> DataFrame:
-    """What the router's partitions would hold."""
+    """Rows saved by the router, counted by the folders that they are read back from."""
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    return rows.groupBy("source", (F.col("quality") == 1).alias("qc_pass")).agg(F.count("*").alias("n"))
+    folder = files.shared_folder(spark, "routed")
+    files.save_routed(rows.select("doc_id", "source", (F.col("quality") == 1).alias("qc_pass")), folder, ["doc_id", "source", "qc_pass"])
+    saved = spark.read.schema("doc_id bigint, source string, qc_pass boolean").json(f"{folder}/records")
+    return saved.groupBy("source", "qc_pass").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS views FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")

@@ -358,7 +358,7 @@ def s8_cache_key(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", cache_key(F.col("url")).alias("key"))
 
 
-@query()
+@query("SELECT doc_id, md5(regexp_replace(text, '[<>&]', ' ', 'g') || '<sec><title>Inner</title>' || source || '</sec> end') AS first, 2 AS \"all\" FROM documents")
 def p2_balanced_sections(spark: SparkSession, sf: str) -> DataFrame:
     xml = F.concat(
         F.lit("<sec><title>Other</title>x</sec><sec id='a'><title> Procedure </title>"), F.regexp_replace("text", "[<>&]", " "), F.lit("<sec><title>Inner</title>"), "source", F.lit("</sec> end</sec><sec><title>Procedure</title>2</sec>")

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, which the driver and all executors see; a local session may lack that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: the driver and the executors share no folder")
+        root = tempfile.mkdtemp(prefix="protomill-")
+    return f"{root.rstrip('/')}/protomill-{name}-{uuid.uuid4().hex}"
+
+
 def strict_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; blank lines are skipped and a malformed one fails the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -20,9 +33,10 @@ def tolerant_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The malformed lines, as text."""
     whole = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_corrupt_record", T.StringType())])
-    read = spark.read.schema(whole).option("mode", "PERMISSIVE").json(path)
-    # the reader refuses plans that ask for nothing but the corrupt column, so all columns are read first
-    return read.select(F.struct(*read.columns).alias("r")).where("r._corrupt_record is not null").select("r._corrupt_record")
+    # the JSON reader refuses plans that ask for nothing but the corrupt column, so lines are read as text
+    parsed = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    lines = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r"))
+    return lines.where("r._corrupt_record is not null").select("r._corrupt_record")
 
 
 def whole_file(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -204,3 +204,69 @@ def test_generate_retries_with_the_reason(spark):
     df = spark.createDataFrame([("p",)], "prompt string")
     got = I.generate(df, "prompt", lambda p: "ok" if "refused" in p else "no", lambda r: None if r == "ok" else "bad").first()
     assert (got["result"], got["tries"]) == ("ok", 2)
+
+
+@pytest.mark.parametrize(
+    "gold, other, want",
+    [
+        ("f(a=1, b='x')", "f(a=2, b='x')", True),
+        ("f(a=1, b='x')", "f(a=1, b='y')", False),
+        ("f(a=1, b=1)", "f(a=2, b=2)", False),
+        ("f(a=1)", "g(a=2)", False),
+        ("f(a=1)", "f(b=1)", False),
+        ("f(a=1)", "f(a=1)", False),
+        ("f(a=1", "f(a=2)", False),
+    ],
+)
+def test_one_number_apart(gold, other, want):
+    assert I.one_number_apart(gold, other) is want
+
+
+def test_repair_family(spark):
+    rows = [(1, k, o, "A") for k, o in zip("ABCD", ["f(n=1)", "f(n=1)", "g(n=1)", "f(n=2)"], strict=True)] + [(2, "A", "f()", "A"), (2, "B", "g()", "A"), (3, "A", "x", None), (3, "J", None, None)]
+    df = spark.createDataFrame(rows, "id int, letter string, option string, answer string")
+    got = {(r["id"], r["letter"]): r["option"] for r in I.repair_family(df, "id").collect()}
+    assert [got[1, k] for k in "ABCD"] == ["f(n=1)", "f(n=3)", "f(n=4)", "f(n=2)"]  # 2 is taken by D
+    assert (got[2, "B"], got[3, "A"], got[3, "J"]) == ("g()", "x", None)  # a call without a number repairs nothing
+    assert I.repair_family(df.where("id > 9"), "id").count() == 0
+
+
+def test_groups_of_equals_the_join(spark):
+    texts = ["use 10 mL tubes", "use 10-mL tube.", "110 ml tube", "a 1.5 ml screw cap tube here", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", X.search_key(F.col("t")).alias("c"))
+    want = sorted(tuple(r) for r in M.match_aliases(docs, M.alias_table(spark), "id", "c").collect())
+    assert sorted(tuple(r) for r in docs.select("id", F.explode(M.groups_of(F.col("c")))).collect()) == want
+
+
+def test_records_with_missing_parts(spark):
+    df = spark.createDataFrame([("s", "PMC1", "d", None), ("s", "", "d", ""), ("s", None, None, "CC")], "source string, pmcid string, doi string, license string")
+    got = R.with_defaults(df, license="unknown").select(R.record_id(F.col("source"), F.col("pmcid"), F.col("doi")), "license").collect()
+    assert [tuple(r) for r in got] == [("s:PMC1", "unknown"), ("s:d", "unknown"), ("s", "CC")]
+    pair = "array<struct<problem:string,solution:string>>"
+    item = lambda key: f"array<struct<name:string,{key}:string>>"
+    rows = [("t", "", [("r", "c1")], [("e", "m1")], [("", ""), ("", "s")]), ("t", "a", None, [], None)]
+    full = R.minimal_record(spark.createDataFrame(rows, f"title string, abstract string, reagents {item('catalog_id')}, equipment {item('model')}, troubleshooting {pair}")).collect()
+    assert [r["background"] for r in full] == ["t", "a"]
+    assert full[0]["materials"]["equipment"][0]["identifier"] == "m1" and len(full[0]["procedure"]["troubleshooting"]) == 1
+    assert full[1]["materials"]["reagents"] is None and full[1]["procedure"]["troubleshooting"] is None
+
+
+def test_run_counters(spark):
+    rows = [("a", True, None, None), ("a", False, "timeout", None), ("a", False, None, True), ("a", False, None, False)]
+    df = spark.createDataFrame(rows, "source string, skipped boolean, error string, qc_pass boolean")
+    assert R.run_counters(df, "source").first().asDict() == {"source": "a", "skipped": 1, "fetched": 3, "errors": 1, "parsed": 2, "passed": 1, "failed": 1}
+
+
+def test_assign_gives_each_entry_its_turns(spark):
+    df = spark.createDataFrame([(e, i) for e in "abc" for i in range(3 + ord(e) - 97)], "entry string, item int")
+    got = I.assign(df, "entry", "item", per_entry=4, seed=1).collect()
+    for e in "abc":
+        mine = sorted((r["round"], r["item"]) for r in got if r["entry"] == e)
+        assert [m[0] for m in mine] == list(range(1, min(4, 3 + ord(e) - 97) + 1)) and len({m[1] for m in mine}) == len(mine)
+
+
+def test_some_views_are_drawn_from_those_that_exist(spark):
+    views = F.map_from_arrays(F.array(*[F.lit(v) for v in ("back", "front", "left", "odd", "top")]), F.array(*[F.lit("x")] * 5))
+    preferred = ["front", "right", "left", "top", "back"]
+    draws = {tuple(one(spark, I.some_views(views, preferred, seed=s))) for s in range(20)}
+    assert len(draws) > 1 and all(len(d) == 3 and list(d) == [v for v in preferred if v in d] and "right" not in d and "odd" not in d for d in draws)
