@@ -90,12 +90,12 @@ def document_keys(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     )
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that the texts of a slice stay near SLICE_BYTES (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], text_at: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that the texts of a slice stay near ``size`` bytes (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        limit = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.column(text_at).nbytes))
+        limit = max(1, batch.num_rows * size // max(1, batch.column(text_at).nbytes))
         for at in range(0, batch.num_rows, limit):
             yield batch.slice(at, limit)
 

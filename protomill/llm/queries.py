@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from protomill.llm import (
     jpeg_media,
     license_scan,
+    merkle_manifest,
     multi_index,
     quality_classifier,
     sentencepiece_codec,
@@ -17,6 +18,8 @@ from protomill.llm import (
     source_mixing,
     substring_dedup,
     token_counts,
+    tokenizer_alignment,
+    toxicity,
     url_filter,
 )
 from protomill.llm.common import read_table
@@ -94,6 +97,35 @@ def op10_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.media_columns(read_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaves = docs.select(
+        "doc_id",
+        "lang",
+        merkle_manifest.leaf_digest(*fields, F.col("text")).alias("leaf"),
+        F.when(tampered, F.unhex(merkle_manifest.leaf_digest(*fields, lowered))).alias("altered"),
+    )
+    rows = merkle_manifest.manifest(leaves, ["doc_id", "altered"])
+    now = F.coalesce(F.lower(F.hex("altered")), F.col("leaf"))
+    rows = rows.withColumns({"proof_sha256": merkle_manifest.proof_digest(F.col("proof")), "folded_root": merkle_manifest.fold(now, F.col("proof"))})
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return tokenizer_alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), ["doc_id"])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,15 +146,65 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_classifier,
         op9_token_counts,
         op10_jpeg_media,
+        op11_merkle_manifest,
+        op12_toxicity,
+        op13_tokenizer_alignment,
         pipeline,
     )
     return {f.__name__: f for f in own}
 
 
+_FIELDS = "concat_ws('', {}, {}, {}, {}, {})".format(*[f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")])
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)), 4294967295::UBIGINT)"""
 _HOST = "translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(url, '://[^/?#]*([^?#]*)', 1)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, sha256({_FIELDS.format(text="text")}) AS leaf,
+         CASE WHEN {_CRC32} % 3 = 0 THEN sha256({_FIELDS.format(text=_LOWERED)}) END AS altered
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), nodes(level, lang, pos, node, n) AS (
+  SELECT 0, lang, pos, leaf, n FROM placed
+  UNION ALL
+  SELECT level + 1, lang, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM nodes WHERE n > 1 GROUP BY level, lang, pos // 8
+), subroots AS (
+  SELECT lang, node AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM nodes WHERE n = 1
+), upper(level, pos, node, n) AS (
+  SELECT 0, tree, subroot, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM upper WHERE n > 1 GROUP BY level, pos // 8
+), runs AS (
+  SELECT level, lang, pos // 8 AS run, list(node ORDER BY pos) AS nodes FROM nodes WHERE n > 1 GROUP BY ALL
+), upper_runs AS (
+  SELECT level, pos // 8 AS run, list(node ORDER BY pos) AS nodes FROM upper WHERE n > 1 GROUP BY ALL
+), steps AS (
+  SELECT p.r, g.level AS k, (p.pos // (8 ** g.level)::BIGINT) % 8 AS place, g.nodes
+  FROM placed p JOIN runs g ON g.lang IS NOT DISTINCT FROM p.lang AND g.run = p.pos // (8 ** (g.level + 1))::BIGINT
+  UNION ALL
+  SELECT p.r, s.height + g.level, (s.tree // (8 ** g.level)::BIGINT) % 8, g.nodes
+  FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN upper_runs g ON g.run = s.tree // (8 ** (g.level + 1))::BIGINT
+), sides AS (
+  SELECT r, k, coalesce(array_to_string(nodes[1 : place], ''), '') AS before, coalesce(array_to_string(nodes[place + 2 :], ''), '') AS after FROM steps
+), proofs AS (
+  SELECT r, string_agg(before || after, '' ORDER BY k) AS siblings FROM sides GROUP BY r
+), folded(r, k, h) AS (
+  SELECT r, 0, coalesce(altered, leaf) FROM placed
+  UNION ALL
+  SELECT f.r, f.k + 1, sha256(s.before || f.h || s.after) FROM folded f JOIN sides s ON s.r = f.r AND s.k = f.k
+), last AS (
+  SELECT r, arg_max(h, k) AS folded_root FROM folded GROUP BY r
+), root AS (
+  SELECT node AS root FROM upper WHERE n = 1
+)
+SELECT p.doc_id, p.leaf, s.subroot, root.root, sha256(coalesce(f.siblings, '')) AS proof_sha256, l.folded_root, l.folded_root = root.root AS verified
+FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN last l ON l.r = p.r LEFT JOIN proofs f ON f.r = p.r, root
+""",
     "op2_url_filter": f"""
 WITH parts AS (
   SELECT page_id, url, coalesce({_HOST}, '') AS host, coalesce({_PATH}, '') AS path FROM pages
