@@ -2,14 +2,17 @@
 
 Words are runs of letters and digits (and dots inside them), lower-cased.  To align a piece of text with a template, words that
 occur exactly once in both are anchors; the longest increasing subsequence of their positions keeps the
-order; the gaps between neighbouring anchors are aligned the same way.  A gap without anchors matches equal words
-at its two ends.  The coverage is the share of the template's words that were aligned.
+order; the gaps between neighbouring anchors are aligned the same way.  The coverage is the share of the template's words that were aligned.
+
+A gap without anchors is aligned by a table of longest common subsequences if it is small, else at its ends.
 
 A long text may hold a template more than once, or hold some of its words often.  So the text is not aligned
-as a whole but window by window.  A window starts and ends at a word of the template and has at most half as many words again as it.
-Every such window is aligned whose longest common subsequence with the template (its length, kept up word by word in the bits of one integer) is more
-than the best alignment so far covers; an alignment can't cover more, so nothing is lost.  Texts and starts with too few of the template's words to reach
-the threshold are skipped for the same reason.
+as a whole but window by window.  A window starts and ends at a word of the template.  It holds the template if the aligned words are at least ``THRESHOLD``
+of the template's and at least ``DENSITY`` of the window's; so a template is found with one and a half words put in after each of its words, and common words strewn over a long text
+are no license.  By that rule no window longer than the template's words over ``DENSITY`` can count, and no other bound is set: of all windows the best is found.
+
+An alignment can't cover more than the longest common subsequence of window and template, whose length is kept up word by word in the bits of one integer.  Starts are looked at in ranges: a range whose
+whole reach has too little in common with the template for the threshold, or for more than the best alignment so far, is passed over; others are halved.
 
 Templates are files of the folder ``licenses``: a version and named parts, each a template of its own.
 
@@ -33,8 +36,10 @@ from protomill.llm.common import map_texts
 FOLDER = Path(__file__).parent / "licenses"
 #: Coverage from which a license counts as found.
 THRESHOLD = 0.8
-#: A window has at most so many times the words of the template.
-REACH = 1.5
+#: Share of a window's words that are aligned, at least.
+DENSITY = 0.4
+#: Pairs of words of a gap that is aligned by a table.
+TABLE = 4096
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 
 
@@ -62,6 +67,24 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def common_words(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of positions of a longest common subsequence."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in reversed(range(len(a))):
+        for j in reversed(range(len(b))):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     """Pairs of positions of equal words, increasing in both."""
     out: list[tuple[int, int]] = []
@@ -74,6 +97,9 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
         place = {w: i for i, w in enumerate(text[a:b], a) if mine[w] == 1}
         shared = [(place[w], j) for j, w in enumerate(template[c:d], c) if its[w] == 1 and w in place]
         anchors = [shared[i] for i in longest_increasing([p for p, _ in shared])]
+        if not anchors and (b - a) * (d - c) <= TABLE:
+            out += [(a + i, c + j) for i, j in common_words(text[a:b], template[c:d])]
+            continue
         if not anchors:
             while a < b and c < d and text[a] == template[c]:
                 out.append((a, c))
@@ -100,33 +126,61 @@ def read_templates(folder: Path = FOLDER) -> dict[str, str]:
     return out
 
 
-def best_window(words: list[str], where: dict[str, list[int]], template: list[str], threshold: float) -> tuple[float, int, int]:
-    """(coverage, first word, last word) of the window that aligns best, (0, -1, -1) below the threshold."""
-    size, none = len(template), (0.0, -1, -1)
-    its = Counter(template)
-    needed = -int(-threshold * size // 1)  # aligned words at the threshold
-    if not size or sum(min(n, len(where.get(w, ()))) for w, n in its.items()) < needed:
-        return none
-    places = sorted(p for w in its if w in where for p in where[w])
-    reach, covered, best = int(REACH * size) + 1, max(needed, 1) - 1, none
-    full, bits = (1 << size) - 1, dict.fromkeys(its, 0)
-    for j, w in enumerate(template):
-        bits[w] |= 1 << j
-    last = 0  # the first place beyond the reach of a start
-    for k, start in enumerate(places):
-        while last < len(places) and places[last] < start + reach:
-            last += 1
-        if last - k <= covered:
-            continue
-        apart = full  # a zero for each word of the longest common subsequence up to here
-        for end in places[k:last]:
-            met = apart & bits[words[end]]
+class Template:
+    """The words of a template, and the lengths of longest common subsequences with it."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.counts = words, Counter(words)
+        self.full = (1 << len(words)) - 1
+        self.bits = dict.fromkeys(words, 0)
+        for j, w in enumerate(words):
+            self.bits[w] |= 1 << j
+
+    def lengths(self, words: list[str]) -> list[int]:
+        """Of each beginning of ``words``, all of which are the template's."""
+        out, apart, bits, full, size = [], self.full, self.bits, self.full, len(self.words)  # a zero for each word in common
+        for w in words:
+            met = apart & bits[w]
             apart = (apart + met | apart - met) & full
-            if size - apart.bit_count() > covered:
-                pairs = align(words[start : end + 1], template)
-                if len(pairs) > covered:
-                    covered = len(pairs)
-                    best = (covered / size, start + pairs[0][0], start + pairs[-1][0])
+            out.append(size - apart.bit_count())
+        return out
+
+    def length(self, words: list[str]) -> int:
+        apart, bits, full = self.full, self.bits, self.full
+        for w in words:
+            met = apart & bits[w]
+            apart = (apart + met | apart - met) & full
+        return len(self.words) - apart.bit_count()
+
+
+def best_window(words: list[str], where: dict[str, list[int]], template: list[str], threshold: float, density: float = DENSITY) -> tuple[float, int, int]:
+    """(coverage, first word, last word) of the window that aligns best, (0, -1, -1) if none holds the template."""
+    size, its = len(template), Template(template)
+    best = (0.0, -1, -1)
+    needed = max(1, -int(-threshold * size // 1))  # aligned words at the threshold
+    if not size or sum(min(n, len(where.get(w, ()))) for w, n in its.counts.items()) < needed:
+        return best
+    places = sorted(p for w in its.counts if w in where for p in where[w])
+    mine = [words[p] for p in places]
+    reach, covered = int(size / density), needed - 1
+    ranges = [(0, len(places))]
+    while ranges:
+        low, high = ranges.pop()
+        end = bisect_left(places, places[high - 1] + reach)
+        if end - low <= covered or its.length(mine[low:end]) <= covered:
+            continue
+        if high - low > 1:
+            middle = (low + high) // 2
+            ranges += [(middle, high), (low, middle)]
+            continue
+        for n, k in sorted((-n, k) for k, n in enumerate(its.lengths(mine[low:end]))):
+            if -n <= covered:
+                break
+            first, last = places[low], places[low + k]
+            pairs = align(words[first : last + 1], template)
+            if len(pairs) > covered and len(pairs) >= density * (last + 1 - first):
+                covered = len(pairs)
+                best = (covered / size, first + pairs[0][0], first + pairs[-1][0])
         if covered == size:
             break
     return best
