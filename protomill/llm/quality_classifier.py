@@ -8,8 +8,7 @@ A filter's response is a sum of one learned weight for each byte and place.  For
 neighbouring places are added up beforehand for all 65,536 byte pairs, so a response is WIDTH / 2 table rows.
 
 The network is fitted on the driver with at most ``sample_docs`` labelled documents, those with the smallest hashes of
-their ids, and on their chunks, which cover the whole of each text as in scoring; of more than ``sample_chunks`` chunks in all, those with the
-smallest hashes (documented bounds; scoring covers every byte of every document).  Every document weighs the same, however many chunks it has.
+their ids (a documented bound; scoring covers every byte of every document), and on all their chunks, which cover the whole of each text as in scoring.  Every document weighs the same, however many chunks it has.
 Null and empty texts are one chunk of padding.
 """
 
@@ -61,15 +60,11 @@ def chunks_of(text: bytes) -> list[np.ndarray]:
 
 
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, rate: float = 0.01, seed: int = 7) -> Network:
-    """Trains on all chunks of each text with Adam; deterministic for a given order of the texts."""
-    return fit_chunks([chunks_of(t) for t in texts], labels, epochs, rate, seed)
-
-
-def fit_chunks(documents: list[list[np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.01, seed: int = 7) -> Network:
-    """Trains on the chunks of each document, and a crop of one."""
+    """Trains on all chunks of each text, and a crop of one, with Adam; deterministic for a given order of the texts."""
     rng = np.random.default_rng(seed)
     rows, marks = [], []
-    for pieces, label in zip(documents, labels, strict=True):
+    for text, label in zip(texts, labels, strict=True):
+        pieces = chunks_of(text)
         whole = pieces[int(rng.integers(len(pieces)))]
         whole = whole[: len(whole) - WIDTH + 1]
         short = int(rng.integers(4, 96))  # a crop, so that shortness is not taken for a mark of either label
@@ -90,24 +85,23 @@ def fit_chunks(documents: list[list[np.ndarray]], labels: np.ndarray, epochs: in
     params = [net.bytes_, net.bias, net.out, np.zeros(1, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step, size = 0, 64
+    response, one = (np.empty((size, CHUNK, FILTERS), np.float32) for _ in range(2))
+    at_place = np.arange(CHUNK, dtype=np.int16)[None, :, None]
+    filters = np.arange(FILTERS)[None, :]
     for epoch in range(epochs):
         order = rng.permutation(len(data))
         for at in range(0, len(order), size):
             some = order[at : at + size]
-            x, y, n = data[some], target[some], len(some)
-            response = np.zeros((n, CHUNK, FILTERS), np.float32)
-            for i in range(WIDTH):
-                response += net.bytes_[i][x[:, i : i + CHUNK]]
-            response[np.arange(CHUNK)[None, :] >= places[some][:, None]] = -1e9
-            best = response.argmax(1)
-            top = np.take_along_axis(response, best[:, None, :], 1)[:, 0] + net.bias
+            x, y, n = data[some].astype(np.intp), target[some], len(some)
+            best, top = _best_places(net, x, places[some], response[:n], one[:n], at_place)
+            top = top + net.bias
             hidden = np.column_stack((np.maximum(top, 0), places[some] / np.float32(CHUNK))).astype(np.float32)
             logit = np.clip(hidden @ net.out + params[3][0], -30, 30)
             delta = (1 / (1 + np.exp(-logit)) - y) * weight[some] / n
             back = delta[:, None] * net.out[:-1] * (top > 0)
-            grads = [np.zeros_like(net.bytes_), back.sum(0), hidden.T @ delta, np.array([delta.sum()], np.float32)]
-            for i in range(WIDTH):
-                np.add.at(grads[0][i], (np.take_along_axis(x, best + i, 1), np.arange(FILTERS)[None, :]), back)
+            cells = [(np.take_along_axis(x, best + i, 1) * FILTERS + filters).ravel() for i in range(WIDTH)]
+            by_byte = [np.bincount(c, weights=back.ravel(), minlength=256 * FILTERS).reshape(256, FILTERS) for c in cells]
+            grads = [np.stack(by_byte).astype(np.float32), back.sum(0), hidden.T @ delta, np.array([delta.sum()], np.float32)]
             step += 1
             pace = rate * (0.5 if epoch >= epochs * 2 // 3 else 1.0)
             for p, g, m, v in zip(params, grads, first, second, strict=True):
@@ -118,6 +112,19 @@ def fit_chunks(documents: list[list[np.ndarray]], labels: np.ndarray, epochs: in
     return net
 
 
+def _best_places(net: Network, x: np.ndarray, places: np.ndarray, response: np.ndarray, one: np.ndarray, at_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place (the first of equals) and the size of each filter's largest response in every row."""
+    np.take(net.bytes_[0], x[:, :CHUNK], axis=0, out=response, mode="clip")
+    for i in range(1, WIDTH):
+        np.take(net.bytes_[i], x[:, i : i + CHUNK], axis=0, out=one, mode="clip")
+        response += one
+    for row in np.nonzero(places < CHUNK)[0]:
+        response[row, places[row] :] = -1e9
+    top = response.max(1)
+    best = np.where(response == top[:, None, :], at_place, np.int16(CHUNK)).min(1).astype(np.intp)
+    return best, top
+
+
 def score_all(net: Network, pairs: np.ndarray, texts: list[bytes]) -> list[float]:
     """The probability of label 1 for each whole text."""
     out: list[float] = []
@@ -171,32 +178,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_chunks: int = 1 << 16) -> Network:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000) -> Network:
     """Fits a network on at most ``sample_docs`` labelled documents outside the held-out part.
 
-    Their whole texts are cut into chunks by a Spark job, of which at most ``sample_chunks`` reach the driver; order and samples follow
-    hashes of the id and the place.  Labels other than 0 and 1, and null ids or labels, are left out.
+    Labels other than 0 and 1, and null ids or labels, are left out.  Of rows that repeat, each counts.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_docs)  # the documented bound
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    data = F.when(F.length(text) > 0, text).otherwise(F.lit(b"\0"))
-    found = docs.select("doc_id", data.alias("__data")).join(F.broadcast(chosen), "doc_id").withColumn("__k", F.xxhash64("__data"))
-    cut = found.select(
-        "doc_id",
-        "quality",
-        "__k",
-        F.concat("__data", F.lit(bytes(WIDTH - 1))).alias("__data"),
-        F.explode(F.sequence(F.lit(0), F.length("__data") - 1, F.lit(CHUNK))).alias("__at"),
-    )
-    part = F.substring("__data", F.col("__at") + 1, F.lit(CHUNK + WIDTH - 1)).alias("__part")
-    order = [F.xxhash64("doc_id", "__k", "__at"), "doc_id", "quality", "__k", "__at"]
-    rows = cut.select("doc_id", "quality", "__k", "__at", part).orderBy(*order).limit(sample_chunks).collect()  # the documented bound
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["__k"], r["__at"]))
-    documents: dict[tuple, list[np.ndarray]] = {}
-    for r in rows:
-        documents.setdefault((r["doc_id"], r["quality"], r["__k"]), []).append(np.frombuffer(bytes(r["__part"]), dtype=np.uint8))
-    return fit_chunks(list(documents.values()), np.array([k[1] for k in documents]))
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__data")
+    found = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "__data")
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("__data")).limit(sample_docs).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["quality"], bytes(r["__data"])))
+    return fit([bytes(r["__data"]) for r in rows], np.array([r["quality"] for r in rows]))
 
 
 def score(df: DataFrame, net: Network, keep: list[str], text_col: str = "text", threshold: float = 0.3) -> DataFrame:
