@@ -6,10 +6,12 @@ cell's vectors.  A heap walks the pairs from the best sum down until the visited
 vectors, and every vector in them is reranked with its exact inner product in double precision.
 
 The codebooks are fitted on at most ``SAMPLE`` vectors (those whose ids have the smallest hashes); every vector is indexed.  The counts of
-the cells (centroids squared) are the only other thing on the driver.  Vectors are dealt by first centroid, in blocks of at most
-about ``block_rows`` (a hot cell becomes many blocks); a query goes once to each block that it visits, with the second centroids it
-wants.  Queries are dealt into parts of about ``part_queries`` and each block meets each part in a task of its own, so both sides of a task are
-bounded whatever the table.  Each task gives the best of every query; a window then takes the best over the tasks.  Codebooks fit directions, but scores
+the cells (centroids squared) are the only other thing on the driver.
+
+Vectors are dealt into blocks of about ``BLOCK_BYTES``: neighbouring small cells share one, and a cell beyond that size is spread over several, so no cell fills a task.  A query goes once to each
+block that it visits, with the numbers of the cells it wants there.  Queries are dealt into parts of about ``PART_BYTES`` and each block meets each part in a task of its own, so both
+sides of a task are bounded whatever the table.  Small tables make at least ``LEAST_BLOCKS`` blocks, so that there is work for many tasks.  What is shuffled is then the vectors once for each part, and
+the queries once for each block.  Each task gives the best of every query; a window then takes the best over the tasks.  Codebooks fit directions, but scores
 use vectors as they are: a product of matrices only finds those near the best, which are then summed one by one, so that equal vectors have equal scores.
 
 Vectors that are null, zero, of another length than most of the sample's, or hold a null or a component that isn't finite take no part, as
@@ -23,12 +25,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors that codebooks are fitted on at most.
 SAMPLE = 20_000
+#: Bytes of the vectors of a block and of the queries of a part, about.
+BLOCK_BYTES, PART_BYTES = 32 << 20, 16 << 20
+#: Blocks that a table is dealt into at least.
+LEAST_BLOCKS = 12
+#: Queries whose scores are held at once.
+ROUND = 64
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -96,73 +104,122 @@ def fit(vectors: DataFrame, centroids: int) -> MultiIndex | None:
     return MultiIndex(codebook(sample[:, :half], centroids), codebook(sample[:, half:], centroids) if width > half else np.zeros((1, 0)))
 
 
+def dealt_cells(counts: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each cell, for counts of vectors by cell: blocks hold about ``block_rows``, and twice as many at most."""
+    counts = counts.ravel()
+    first = (np.cumsum(counts) - counts) // block_rows
+    return first, np.maximum(1, -(-counts // block_rows))
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of vectors of one length."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = flat.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+
+
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else [], type=kind))
+
+
 def nearest(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, centroids: int = 32, share: float = 0.6, block_rows: int = 2048, part_queries: int = 4096
+    vectors: DataFrame,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    k: int = 20,
+    every: int = 20,
+    centroids: int = 32,
+    share: float = 0.6,
+    block_bytes: int = BLOCK_BYTES,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` largest inner products found for every query.
 
     Queries are the vectors whose id is divisible by ``every``; candidates are all others.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     all_ = usable(vectors, id_col, vector_col)
     index = fit(all_, centroids)
     if index is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = index.half + index.second.shape[1]
+    seconds = len(index.second)
     all_ = all_.where(F.size("vector") == width)
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                i, j = index.cells(np.array(pdf["vector"].tolist()))
-                yield pdf.assign(i=i.astype(np.int32), j=j.astype(np.int32))
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                i, j = index.cells(_matrix(batch.column(0)))
+                yield pa.RecordBatch.from_arrays([pa.array(i * seconds + j, pa.int32())], names=["cell"])
 
-    entries = all_.mapInPandas(placed, "id long, vector array<double>, i int, j int")
-    for r in entries.groupBy("i", "j").count().collect():  # centroids squared rows at most
-        index.counts[r[0], r[1]] = r[2]
+    for r in all_.select("vector").mapInArrow(cells, "cell int").groupBy("cell").count().collect():  # centroids squared rows at most
+        index.counts.ravel()[r[0]] = r[1]
     total = int(index.counts.sum())
     wanted = max(int(share * total), min(total, 50 * k))
-    blocks = np.maximum(1, -(-index.counts.sum(1) // block_rows))
-    parts = max(1, -(-all_.where(F.col("id") % every == 0).count() // part_queries))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for q, vector in zip(pdf["id"], pdf["vector"], strict=True):
-                for i, js in index.visit(np.asarray(vector), wanted).items():
-                    rows += [(q, vector, i, b, js) for b in range(blocks[i])]
-            yield pd.DataFrame(rows, columns=["id", "vector", "i", "block", "js"])
-
-    queries = all_.where(F.col("id") % every == 0).mapInPandas(deal, "id long, vector array<double>, i int, block int, js array<int>")
+    block_rows = max(1, min(block_bytes // (8 * width), -(-total // LEAST_BLOCKS)))
+    first, spread = dealt_cells(index.counts, block_rows)
+    asking = all_.where(F.col("id") % every == 0)
+    parts = max(1, -(-asking.count() * 8 * width // part_bytes))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                i, j = index.cells(_matrix(batch.column(1)))
+                cell = i * seconds + j
+                dealt = (batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                block = first[cell] + (dealt % spread[cell].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(block, pa.int32())], names=["id", "vector", "cell", "block"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whose, blocks, lists = [], [], []
+            for n, vector in enumerate(_matrix(batch.column(1))):
+                found = np.array([i * seconds + j for i, js in index.visit(vector, wanted).items() for j in js])
+                of = np.repeat(found, spread[found])
+                at = np.arange(len(of)) - np.repeat(np.cumsum(spread[found]) - spread[found], spread[found]) + first[of]
+                order = np.argsort(at, kind="stable")
+                at, of = at[order], of[order]
+                cuts = np.nonzero(np.append(True, at[1:] != at[:-1]))[0]
+                lists += np.split(of, cuts[1:])
+                blocks.append(at[cuts])
+                whose.append(np.full(len(cuts), n))
+            if whose:
+                rows = pa.array(np.concatenate(whose))
+                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(blocks), pa.int32()), _lists(lists, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "vector", "block", "cells"])
+
+    queries = asking.mapInArrow(deal, "id long, vector array<double>, block int, cells array<int>")
     queries = queries.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int"))
-    count = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("i") + 1)
-    entries = entries.withColumn("block", F.pmod(F.xxhash64("id"), count).cast("int"))
+    entries = all_.mapInArrow(place, "id long, vector array<double>, cell int, block int")
     entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
-    def best(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values("id", kind="stable")
-            data, ids, cell = np.array(right["vector"].tolist()), right["id"].to_numpy(), right["j"].to_numpy()
-            largest = np.abs(data).max()
-            for at in range(0, len(left), 256):
-                some = left.iloc[at : at + 256]
-                scores = np.array(some["vector"].tolist()) @ data.T
-                for q, vector, s, js in zip(some["id"], some["vector"], scores, some["js"], strict=True):
-                    allowed = np.nonzero(np.isin(cell, js) & (ids != q))[0]
-                    mine = s[allowed]
-                    x = np.asarray(vector, dtype=np.float64)
+    def best(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("id")
+            data, ids, cell = _matrix(right.column("vector")), right.column("id").to_numpy(), right.column("cell").to_numpy()
+            asked, names, lists = _matrix(left.column("vector")), left.column("id").to_numpy(), left.column("cells").combine_chunks()
+            largest, visited = np.abs(data).max(), np.zeros(len(first), dtype=bool)
+            for at in range(0, len(asked), ROUND):
+                scores = asked[at : at + ROUND] @ data.T
+                for n, mine in enumerate(scores, at):
+                    wants = lists[n].values.to_numpy()
+                    visited[wants] = True
+                    allowed = np.nonzero(visited[cell] & (ids != names[n]))[0]
+                    visited[wants] = False
+                    mine = mine[allowed]
                     if len(mine) > k:
                         edge = np.partition(mine, len(mine) - k)[len(mine) - k]
-                        near = 1e-12 * np.abs(x).sum() * largest  # beyond what the order of a sum can change
+                        near = 1e-12 * np.abs(asked[n]).sum() * largest  # beyond what the order of a sum can change
                         allowed = allowed[mine >= edge - near]
-                    exact = (data[allowed] * x).sum(1)
+                    exact = (data[allowed] * asked[n]).sum(1)
                     order = np.argsort(-exact, kind="stable")[:k]  # ids rise, so ties go to the smaller
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[allowed[order]], "score": exact[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                    for column, x in zip(out, (np.full(len(order), names[n]), ids[allowed[order]], exact[order]), strict=True):
+                        column.append(x)
+        return pa.table([np.concatenate(c) for c in out], names=["query_id", "vec_id", "score"])
 
-    found = queries.groupBy("i", "block", "part").cogroup(entries.groupBy("i", "block", "part")).applyInPandas(best, "query_id long, vec_id long, score double")
+    found = queries.groupBy("block", "part").cogroup(entries.groupBy("block", "part")).applyInArrow(best, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
