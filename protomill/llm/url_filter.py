@@ -4,8 +4,8 @@ Everything is DataFrame expressions.  A page's URL gives its host and path; cand
 up in a map literal, since rules are a short list given by the user.  Where no rule fits, the page is
 blocked if its canonical URL is on the list.
 
-The list may be as large as the corpus, so it is not sent to the executors.  Its blocked Bloom filter is:
-``BLOCKS`` words of 64 bits at most, built with one aggregation (``bit_or`` of the keys' masks by
+The list may be as large as the corpus, so it is not sent to the executors.  Its blocked Bloom filter is: words of
+64 bits, one for each ``KEYS_PER_BLOCK`` rows of the list and ``BLOCKS`` at most, built with one aggregation (``bit_or`` of the keys' masks by
 block), so its size is bounded whatever the list's, and it can be broadcast.  Only pages that the
 filter lets pass go into the shuffle of the exact hash join, which removes false positives; a list too
 long for the filter costs more false positives, never a wrong verdict.
@@ -18,8 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of 64 bits in a filter: 1 MB of bits, about 800,000 keys at ten bits a key.
-BLOCKS = 1 << 17
+from protomill.llm.common import numbered
+
+#: Words of 64 bits in a filter at most: 8 MB of bits, about six million keys at ten bits a key.
+BLOCKS = 1 << 20
+#: Rows of the list for each word: ten bits or more a key.
+KEYS_PER_BLOCK = 6
 #: Bits that a key sets in its word.
 KEY_BITS = 4
 
@@ -56,18 +60,23 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return name, verdict
 
 
-def _block_and_mask(key: Column) -> tuple[Column, Column]:
+def blocks_for(rows: int) -> int:
+    """Words of a filter for a list of so many rows."""
+    return max(1, min(BLOCKS, -(-rows // KEYS_PER_BLOCK)))
+
+
+def _block_and_mask(key: Column, blocks: int) -> tuple[Column, Column]:
     h = F.xxhash64(key)
     mask = F.lit(0).cast("long")
     for i in range(KEY_BITS):
         bit = F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")
         mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
-    return F.pmod(F.shiftrightunsigned(h, 6 * KEY_BITS), F.lit(BLOCKS)).cast("int"), mask
+    return F.pmod(F.shiftrightunsigned(h, 6 * KEY_BITS), F.lit(blocks)).cast("int"), mask
 
 
-def bloom_filter(listed: DataFrame, key: str) -> DataFrame:
-    """The filter of a list as rows (block, bits), BLOCKS at most."""
-    block, mask = _block_and_mask(F.col(key))
+def bloom_filter(listed: DataFrame, key: str, blocks: int) -> DataFrame:
+    """The filter of a list as rows (block, bits), ``blocks`` at most."""
+    block, mask = _block_and_mask(F.col(key), blocks)
     return (
         listed.where(F.col(key).isNotNull())
         .select(block.alias("__block"), mask.alias("__mask"))
@@ -82,25 +91,27 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Data
     ``listed`` has the canonical URLs to block in column ``key`` (repeats and nulls do no harm).  Columns
     of ``pages`` with the new names are replaced.
     """
-    url = F.col(url_col)
-    out = pages.withColumns({"__host": host_of(url), "__path": path_of(url)})
+    plain, names = numbered(pages, [])
+    url = F.col(names[pages.columns.index(url_col)])
+    out = plain.withColumns({"__host": host_of(url), "__path": path_of(url)})
     rule, verdict = rule_for(F.col("__host"), F.col("__path"), rules)
     out = out.withColumns({"__canonical": canonical_url(F.col("__host"), F.col("__path")), "__rule": rule, "__by_rule": verdict})
-    block, mask = _block_and_mask(F.col("__canonical"))
+    blocks = blocks_for(listed.count())
+    block, mask = _block_and_mask(F.col("__canonical"), blocks)
     out = out.withColumns({"__block": block, "__mask": mask})
-    bits = F.broadcast(bloom_filter(listed, key))  # BLOCKS rows at most
+    bits = F.broadcast(bloom_filter(listed, key, blocks))  # BLOCKS rows at most
     out = out.join(bits, "__block", "left")
     possible = F.col("__by_rule").isNull() & F.coalesce(F.col("__bits").bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))
     # a page that cannot be listed gets a null key, so the join neither shuffles it by its url nor matches it
     out = out.withColumn("__probe", F.when(possible, F.col("__canonical")))
-    names = listed.where(F.col(key).isNotNull()).select(F.col(key).alias("__probe")).distinct()
-    hits = out.where(F.col("__probe").isNotNull()).join(names.withColumn("__listed", F.lit(True)), "__probe", "left")
+    exact = listed.where(F.col(key).isNotNull()).select(F.col(key).alias("__probe")).distinct()
+    hits = out.where(F.col("__probe").isNotNull()).join(exact.withColumn("__listed", F.lit(True)).hint("shuffle_hash"), "__probe", "left")
     rest = out.where(F.col("__probe").isNull()).withColumn("__listed", F.lit(None).cast("boolean"))
     whole = hits.unionByName(rest)
     method = F.when(F.col("__listed"), F.lit("block")).otherwise(F.lit("allow"))
-    kept = [c for c in pages.columns if c not in ("host", "path", "canonical", "rule", "verdict")]
+    kept = [(n, c) for n, c in zip(names, pages.columns, strict=True) if c not in ("host", "path", "canonical", "rule", "verdict")]
     return whole.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col(n).alias(c) for n, c in kept],
         F.col("__host").alias("host"),
         F.col("__path").alias("path"),
         F.col("__canonical").alias("canonical"),
