@@ -32,13 +32,6 @@ PIECE_BYTES = 2 << 20
 BLOCK = 64
 
 
-def zigzag() -> np.ndarray:
-    """The row-major index of each coefficient, in zigzag order."""
-    cells = [(i, j) for i in range(8) for j in range(8)]
-    cells.sort(key=lambda c: (c[0] + c[1], c[1] if (c[0] + c[1]) % 2 == 0 else c[0]))
-    return np.array([8 * i + j for i, j in cells])
-
-
 def canonical_codes(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(code, length) of the symbols of a table in order, from the number of codes of each length 1 to 16."""
     codes, lengths, code = [], [], 0
