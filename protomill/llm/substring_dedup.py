@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from protomill.llm.common import discard, document_keys, hot_split_join, new_fields, slices, stored, with_fields
+from protomill.llm.common import discard, document_keys, hot_split_join, memory, new_fields, slices, stored, with_fields
 
 #: Words of a gram.
 GRAM = 8
 #: Occurrences of one block that meet in one group, about.
 GROUP_ROWS = 20_000
+#: Words of a document (as a power of two) whose blocks meet others in one group.
+STRETCH_BITS = 16
 #: Words whose hashes one Python worker remembers; then it starts anew.
 MEMORY_WORDS = 400_000
 _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
@@ -80,13 +82,10 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, whic
     return _mix((prefix[starts + lengths] - prefix[starts]) * down[starts] + lengths.astype(np.uint64))
 
 
-_WORDS: dict[bytes, int] = {}
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    known = _WORDS
+    known = memory("words")
     if len(known) > MEMORY_WORDS:
         known.clear()
     out = []
@@ -196,7 +195,8 @@ def equal_blocks(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows (all) and its number among them.
     """
     place = F.struct("d", "k", "at")
-    part = F.pmod(F.xxhash64("d", "k"), F.ceil(F.col("c") / GROUP_ROWS)).alias("part")
+    # a document that repeats a passage very often is dealt out too, in stretches that leave its factors whole
+    part = F.pmod(F.xxhash64("d", "k", F.shiftright("at", STRETCH_BITS)), F.ceil(F.col("c") / GROUP_ROWS)).alias("part")
     group = Window.partitionBy("g", "b", "part")
     within = met.select("g", "b", part, "d", "k", "at", "n", "m", "mixed").withColumns({"one": F.min(place).over(group), "other": F.max(place).over(group), "rows": F.sum("m").over(group)})
     groups = stored(within.withColumn("rep", F.col("one") == place).drop("part", "m"), "groups")
