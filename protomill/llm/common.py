@@ -58,6 +58,20 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: What a Python worker remembers, by operator.
+_MEMORY: dict[str, dict] = {}
+
+
+def memory(operator: str) -> dict:
+    """What this Python worker remembers for an operator; what it holds for others is dropped.
+
+    Workers outlive the stages of a pipeline, so their memory would otherwise add up.
+    """
+    for other in [x for x in _MEMORY if x != operator]:
+        del _MEMORY[other]
+    return _MEMORY.setdefault(operator, {})
+
+
 #: A key with more than this part of all rows is hot; so there are never more hot keys than its inverse.
 HOT_SHARE = 1 / 10_000
 

@@ -27,7 +27,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame
 
-from protomill.llm.common import map_texts
+from protomill.llm.common import map_texts, memory
 
 #: The mark that stands for a space inside pieces.
 MARK = "▁"
@@ -345,14 +345,12 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-#: One codec for each model file in a Python worker, which serves many tasks.
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(model_path: str) -> Codec:
-    if model_path not in _CODECS:
-        _CODECS[model_path] = Codec(model_path)
-    return _CODECS[model_path]
+    """One codec for each model file in a Python worker, which serves many tasks."""
+    known = memory("pieces")
+    if model_path not in known:
+        known[model_path] = Codec(model_path)
+    return known[model_path]
 
 
 def encode_decode(df: DataFrame, model_path: str, keep: list[str], text_col: str = "text", texts: bool = False) -> DataFrame:

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from protomill.llm.common import document_keys, map_texts, stored
+from protomill.llm.common import discard, document_keys, map_texts, stored
 
 #: Nodes that the driver sees to build a tree.
 SAMPLE = 4096
@@ -474,7 +474,8 @@ def connected(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = small.union(lowest.select("a", F.col("m").alias("b")))
-        e = stored(small.distinct(), "edges")
+        last, e = e, stored(small.distinct(), "edges")
+        discard(last)
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, block_nodes: int = LEAF_NODES) -> DataFrame:

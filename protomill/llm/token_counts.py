@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from protomill.llm.common import map_texts
+from protomill.llm.common import map_texts, memory
 
 #: A text of more characters is encoded in overlapping chunks.
 HUGE_CHARS = 32_768
@@ -123,9 +123,9 @@ class PieceTokenizer:
     """A model file of the sentencepiece library."""
 
     def __init__(self, path: str):
-        from protomill.llm.sentencepiece_codec import codec
+        from protomill.llm.sentencepiece_codec import MergeVocabulary
 
-        vocabulary = codec(path).vocabulary
+        vocabulary = MergeVocabulary(path)
         self.library = vocabulary.library
         self.rule = "spaces" if vocabulary.cut_at_space else ""
 
@@ -198,14 +198,12 @@ def count_huge(text: str, tokenizer, chunk: int = CHUNK_CHARS, overlap: int = OV
     return total + now.tokens - first
 
 
-#: One tokenizer for each file in a Python worker, which serves many tasks.
-_TOKENIZERS: dict[str, object] = {}
-
-
 def tokenizer(path: str):
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = PieceTokenizer(path) if path.endswith(".model") else JsonTokenizer(path)
-    return _TOKENIZERS[path]
+    """One tokenizer for each file in a Python worker, which serves many tasks."""
+    known = memory("token counts")
+    if path not in known:
+        known[path] = PieceTokenizer(path) if path.endswith(".model") else JsonTokenizer(path)
+    return known[path]
 
 
 def count_tokens(

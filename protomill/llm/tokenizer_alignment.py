@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from protomill.llm.common import discard, hot_split_join, slices, stored, with_fields
-from protomill.llm.sentencepiece_codec import MARK, codec
+from protomill.llm.common import discard, hot_split_join, memory, slices, stored, with_fields
+from protomill.llm.sentencepiece_codec import MARK, MergeVocabulary
 from protomill.llm.token_counts import _rule_of
 
 #: Text of one batch of documents.
@@ -84,7 +84,7 @@ class Aligner:
         letters = byte_letters()
         size = self.first.get_vocab_size(with_added_tokens=False)
         self.bytes_a = [bytes(map(letters.__getitem__, self.first.id_to_token(i))) for i in range(size)]
-        self.second = codec(model_path).vocabulary
+        self.second = MergeVocabulary(model_path)
         sp = self.second
         self.bytes_b = [bytes([sp.byte_of[i]]) if i in sp.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(sp.piece_of)]
         with open(json_path, encoding="utf-8") as f:
@@ -177,15 +177,12 @@ def aligned(a: list[int], b: list[int], widths_a: list[int], widths_b: list[int]
     return out
 
 
-#: One aligner for each pair of files in a Python worker, which serves many tasks.
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
-
-
 def aligner(json_path: str, model_path: str) -> Aligner:
-    key = (json_path, model_path)
-    if key not in _ALIGNERS:
-        _ALIGNERS[key] = Aligner(*key)
-    return _ALIGNERS[key]
+    """One aligner for each pair of files in a Python worker, which serves many tasks."""
+    known, key = memory("alignment"), (json_path, model_path)
+    if key not in known:
+        known[key] = Aligner(*key)
+    return known[key]
 
 
 class Batch:
@@ -196,8 +193,9 @@ class Batch:
             own.start_anew()
         numbers = [own.numbers(t) if t and MARK not in t else None for t in texts]
         own.learn()
-        if texts:
-            own.held_against_libraries(max((t for t in texts if MARK not in t), key=lambda t: (zlib.crc32(t.encode()), t), default=""))
+        plain = [t for t, n in zip(texts, numbers, strict=True) if n is not None]
+        if plain:
+            own.held_against_libraries(max(plain, key=lambda t: (zlib.crc32(t.encode()), t)))
         some = [n for n in numbers if n is not None]
         used = np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64)
         counts = np.array([own.counts[i] for i in used.tolist()], dtype=np.int64).reshape(-1, 4)

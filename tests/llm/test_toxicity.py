@@ -43,7 +43,7 @@ def test_mentions_of_groups_are_not_toxic():
     plain, regular = T.Scorer(T.fit(texts, labels, counterfactual=0.0)), T.Scorer(T.fit(texts, labels))
     neutral = [f"{prose(random.Random(i), 20)} {term} {prose(random.Random(i + 99), 20)}" for i in range(40) for term in ("muslim", "women", "moroccan", "gay")]
     alarms = [sum(s.score(t) >= 0.7 for t in neutral) for s in (plain, regular)]
-    assert alarms[0] > 30 and alarms[1] <= 2, alarms
+    assert alarms[0] > len(neutral) / 2 and alarms[1] < alarms[0] / 10, alarms
     insulting = [t + " moron scum worthless" for t in neutral]
     assert all(regular.score(t) >= 0.7 for t in insulting)
 
