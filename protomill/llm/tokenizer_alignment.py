@@ -27,7 +27,9 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +43,11 @@ from protomill.llm.sentencepiece_codec import MARK, MergeVocabulary
 from protomill.llm.token_counts import _rule_of
 
 #: Text of one batch of documents.
-SLICE_BYTES = 16 << 20
-#: Pieces that one Python worker remembers (about 500 bytes each); then it starts anew.
-MEMORY_PIECES = 250_000
+SLICE_BYTES = 8 << 20
+#: Pieces that one Python worker remembers (about 250 bytes each); then it starts anew.
+MEMORY_PIECES = 500_000
+#: Pieces that are encoded at once.
+ENCODED = 4096
 #: Where both tokenizers cut: before a single space or line feed between two other characters, and behind such a line feed.
 _CUT = re.compile(rf"(?<=[^\s{MARK}])(?=[ \n][^\s{MARK}])|(?<=[^\s{MARK}]\n)(?=[^\s{MARK}])")
 #: Documents, groups of a batch, and pairs that a document holds in several groups.
@@ -60,13 +64,13 @@ def byte_letters() -> dict[str, int]:
 class Pieces(dict):
     """Numbers of pieces; a new piece gets the next number and is queued."""
 
-    def __init__(self, lead: str, texts: list[str]):
+    def __init__(self, lead: str, own: Aligner):
         super().__init__()
-        self.lead, self.texts = lead, texts
+        self.lead, self.own = lead, own
 
     def __missing__(self, word: str) -> int:
-        number = self[word] = len(self.texts)
-        self.texts.append(self.lead + word)
+        number = self[word] = len(self.own.links) + len(self.own.queue)
+        self.own.queue.append(self.lead + word)
         return number
 
 
@@ -87,20 +91,21 @@ class Aligner:
         self.second = MergeVocabulary(model_path)
         sp = self.second
         self.bytes_b = [bytes([sp.byte_of[i]]) if i in sp.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(sp.piece_of)]
+        self.lengths_a = [len(x) for x in self.bytes_a]
+        self.widths_a, self.widths_b = np.array(self.lengths_a), np.array([len(x) for x in self.bytes_b])
         with open(json_path, encoding="utf-8") as f:
             self.cuts = _rule_of(json.load(f)) == "spaces" and sp.cut_at_space and sp.cut_at_line
         self.start_anew()
 
     def start_anew(self) -> None:
-        self.texts: list[str] = []
-        self.spaced, self.bare = Pieces(" ", self.texts), Pieces("", self.texts)
-        # of each piece: ids of either tokenizer, groups, links; its groups' text; their numbers (none: it isn't given back)
-        self.counts: list[tuple[int, int, int, int]] = []
-        self.written: list[str] = []
-        self.groups_of: list[np.ndarray | None] = []
-        self.group_number: dict[str, int] = {}
-        # of each group: its distinct pairs as numbers (first id x 65,536 + second id)
-        self.pairs: list[np.ndarray] = []
+        self.queue: list[str] = []  # pieces that are numbered but not encoded
+        self.spaced, self.bare = Pieces(" ", self), Pieces("", self)
+        # of each piece: ids of either tokenizer, links, and where its groups begin in the list of all; one without groups isn't given back
+        self.ids_a, self.ids_b, self.links, self.begin, self.groups = array("i"), array("i"), array("q"), array("q", [0]), array("i")
+        # of each group: its name, and its distinct pairs, each as a number (first id x 65,536 + second id)
+        self.group_number: dict[str | int, int] = {}
+        self.names: list[str] = []
+        self.pairs_begin, self.pairs = array("q", [0]), array("q")
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.first.encode_batch(texts, add_special_tokens=False)]
@@ -125,58 +130,57 @@ class Aligner:
 
     def learn(self) -> None:
         """Encodes and aligns the queued pieces."""
-        new = self.texts[len(self.counts) :]
-        if not new:
-            return
-        for text, a, b in zip(new, self.encode_a(new), self.second.merge_all([t.replace(" ", MARK) for t in new]), strict=True):
-            raw = text.encode()
-            one, other = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            if b"".join(one) != raw or b"".join(other) != raw:
-                self.counts.append((0, 0, 0, 0))
-                self.written.append("")
-                self.groups_of.append(None)
-                continue
-            groups = aligned(a, b, [len(x) for x in one], [len(x) for x in other])
-            self.counts.append((len(a), len(b), len(groups), sum(len(x) * len(y) for x, y in groups)))
-            names = [",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]
-            self.written.append(";".join(names))
-            self.groups_of.append(np.array([self._intern(n, g) for n, g in zip(names, groups, strict=True)], dtype=np.int64))
-
-    def _intern(self, name: str, group: tuple[list[int], list[int]]) -> int:
-        number = self.group_number.setdefault(name, len(self.pairs))
-        if number == len(self.pairs):
-            a, b = np.unique(group[0]), np.unique(group[1])
-            self.pairs.append((a[:, None] << 16 | b[None, :]).ravel())
+        for at in range(0, len(self.queue), ENCODED):
+            self._learn(self.queue[at : at + ENCODED])
+        self.queue.clear()
+
+    def _learn(self, new: list[str]) -> None:
+        ids = self.encode_a(new), self.second.merge_all([t.replace(" ", MARK) for t in new])
+        given = np.array([all(b"".join(map(known.__getitem__, x)) == raw for known, x in zip((self.bytes_a, self.bytes_b), each, strict=True)) for raw, *each in zip((t.encode() for t in new), *ids, strict=True)])
+        # of the pieces that both give back, the bytes in a row: a group ends wherever tokens of both end
+        kept = [[x for x, ok in zip(side, given.tolist(), strict=True) if ok] for side in ids]
+        flat = [np.array(list(chain.from_iterable(side)), dtype=np.int64) for side in kept]
+        ends = [np.cumsum(widths[f]) for widths, f in zip((self.widths_a, self.widths_b), flat, strict=True)]
+        common = np.intersect1d(*ends, assume_unique=True)
+        last = [np.searchsorted(e, common) for e in ends]
+        sizes = [np.diff(x, prepend=-1) for x in last]
+        number = np.empty(len(common), dtype=np.int64)
+        alone = (sizes[0] == 1) & (sizes[1] == 1)
+        codes, inverse = np.unique(flat[0][last[0][alone]] << 16 | flat[1][last[1][alone]], return_inverse=True)
+        number[alone] = np.array([self._intern(c, [c >> 16], [c & 0xFFFF]) for c in codes.tolist()], dtype=np.int64)[inverse]
+        for k in np.nonzero(~alone)[0].tolist():
+            a, b = (f[x[k] - n[k] + 1 : x[k] + 1].tolist() for f, x, n in zip(flat, last, sizes, strict=True))
+            number[k] = self._intern(None, a, b)
+        # back to pieces: a piece ends where its bytes do
+        bytes_of = np.cumsum([sum(map(self.lengths_a.__getitem__, x)) for x in kept[0]])
+        groups = np.zeros(len(new), dtype=np.int64)
+        groups[given] = np.diff(np.searchsorted(common, bytes_of, side="right"), prepend=0)
+        links = np.concatenate(([0], np.cumsum(sizes[0] * sizes[1])))
+        upto = np.cumsum(groups)
+        self.groups.extend(number.tolist())
+        self.ids_a.extend(map(len, ids[0]))
+        self.ids_b.extend(map(len, ids[1]))
+        self.links.extend(np.diff(links[upto], prepend=0).tolist())
+        self.begin.extend((upto + self.begin[-1]).tolist())
+
+    def _intern(self, code: int | None, a: list[int], b: list[int]) -> int:
+        """The number of a group, by its code if it is one pair, else by its name."""
+        name = "" if code in self.group_number else ",".join(map(str, a)) + "|" + ",".join(map(str, b))
+        key = name if code is None else code
+        number = self.group_number.setdefault(key, len(self.names))
+        if number == len(self.names):
+            self.names.append(name)
+            self.pairs.extend(sorted({x << 16 | y for x in a for y in b}))
+            self.pairs_begin.append(len(self.pairs))
         return number
 
-    def held_against_libraries(self, text: str) -> None:
-        numbers = self.numbers(text)
-        self.learn()
-        if any(self.groups_of[i] is None for i in numbers):
-            return
+    def held_against_libraries(self, text: str, groups: list[int]) -> None:
         want = [",".join(map(str, x)) for x in (self.encode_a([" " + text])[0], self.second.library.encode(text))]
-        groups = [g.split("|") for i in numbers for g in self.written[i].split(";")]
-        if [",".join(g[side] for g in groups) for side in (0, 1)] != want:
+        sides = [self.names[g].split("|") for g in groups]
+        if [",".join(s[i] for s in sides) for i in (0, 1)] != want:
             raise RuntimeError("ids of pieces differ from those of a whole text")
 
 
-def aligned(a: list[int], b: list[int], widths_a: list[int], widths_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The groups of two encodings of the same bytes."""
-    out, i, j, at_a, at_b = [], 0, 0, 0, 0
-    first, second = 0, 0
-    while i < len(a) or j < len(b):
-        if at_a <= at_b and i < len(a):
-            at_a += widths_a[i]
-            i += 1
-        else:
-            at_b += widths_b[j]
-            j += 1
-        if at_a == at_b and i > first and j > second:
-            out.append((a[first:i], b[second:j]))
-            first, second = i, j
-    return out
-
-
 def aligner(json_path: str, model_path: str) -> Aligner:
     """One aligner for each pair of files in a Python worker, which serves many tasks."""
     known, key = memory("alignment"), (json_path, model_path)
@@ -185,64 +189,62 @@ def aligner(json_path: str, model_path: str) -> Aligner:
     return known[key]
 
 
+def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin`` on, ``length`` of them, in a row."""
+    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
 class Batch:
     """The documents of a slice, with the dictionary of their groups."""
 
     def __init__(self, own: Aligner, texts: list[str]):
-        if len(own.texts) > MEMORY_PIECES:
+        if len(own.links) > MEMORY_PIECES:
             own.start_anew()
-        numbers = [own.numbers(t) if t and MARK not in t else None for t in texts]
+        pieces = [own.numbers(t) if t and MARK not in t else np.zeros(0, np.int64) for t in texts]
         own.learn()
-        plain = [t for t, n in zip(texts, numbers, strict=True) if n is not None]
-        if plain:
-            own.held_against_libraries(max(plain, key=lambda t: (zlib.crc32(t.encode()), t)))
-        some = [n for n in numbers if n is not None]
-        used = np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64)
-        counts = np.array([own.counts[i] for i in used.tolist()], dtype=np.int64).reshape(-1, 4)
-        lists = [own.groups_of[i] for i in used.tolist()]
-        known = np.array([x is not None for x in lists], dtype=bool)
-        lists = [x if x is not None else np.zeros(0, np.int64) for x in lists]
-        lengths = np.array([len(x) for x in lists], dtype=np.int64)
-        starts = np.cumsum(lengths) - lengths
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        self.groups, flat = np.unique(flat, return_inverse=True)  # from here on by number in the batch
-        pairs = [own.pairs[g] for g in self.groups.tolist()]
-        width = np.array([len(p) for p in pairs], dtype=np.int64)
-        single = np.array([p[0] for p in pairs], dtype=np.int64)
-        self.documents = np.zeros(len(pairs), dtype=np.int64)
-        self.repeats: dict[int, int] = {}
-        self.rows: list[tuple[int, int, int, int, str, np.ndarray, np.ndarray]] = []
-        nothing = (0, 0, 0, 0, "", np.zeros(0, np.int32), np.zeros(0, np.int64))
-        for own_numbers in numbers:
-            if own_numbers is None:
-                self.rows.append(nothing)
-                continue
-            each, times = np.unique(own_numbers, return_counts=True)
-            at = np.searchsorted(used, each)
-            if not known[at].all():
-                self.rows.append(nothing)
-                continue
-            n = lengths[at]
-            where = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            mine, inverse = np.unique(flat[where], return_inverse=True)
-            often = np.bincount(inverse, weights=np.repeat(times, n)).astype(np.int64)
-            self.documents[mine] += 1
-            wide = mine[width[mine] > 1]
-            if len(wide):
-                codes = np.concatenate([*[pairs[g] for g in wide.tolist()], single[mine[width[mine] == 1]]])
-                codes, held = np.unique(codes, return_counts=True)
-                for code, m in zip(codes[held > 1].tolist(), held[held > 1].tolist(), strict=True):
-                    self.repeats[code] = self.repeats.get(code, 0) + m - 1
-            written = ";".join(map(own.written.__getitem__, own_numbers.tolist()))
-            totals = (counts[at] * times[:, None]).sum(0).tolist()
-            self.rows.append((*totals, hashlib.sha256(written.encode()).hexdigest(), mine.astype(np.int32), often))
-        self.names: list[str] = []
-        if len(self.groups):
-            name_of = {number: name for name, number in own.group_number.items()} if len(self.groups) * 4 > len(own.pairs) else None
-            if name_of is None:
-                wanted = set(self.groups.tolist())
-                name_of = {number: name for name, number in own.group_number.items() if number in wanted}
-            self.names = [name_of[g] for g in self.groups.tolist()]
+        begin, groups = np.array(own.begin), np.array(own.groups)
+        length = np.diff(begin)
+        pieces = [p if length[p].all() else p[:0] for p in pieces]  # texts that aren't given back have no tokens
+        sizes = np.array([len(p) for p in pieces])
+        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(pieces)), sizes)
+        n = length[flat]
+        found = groups[_ranges(begin[flat], n)]
+        total = lambda x: np.bincount(of, weights=x, minlength=len(pieces)).astype(np.int64)
+        self.totals = [total(np.array(x)[flat]) for x in (own.ids_a, own.ids_b)] + [total(n), total(np.array(own.links)[flat])]
+        self.digests = [""] * len(pieces)
+        ends = np.cumsum(self.totals[2]).tolist()
+        checked = max((i for i, p in enumerate(pieces) if len(p)), key=lambda i: (zlib.crc32(texts[i].encode()), i), default=-1)
+        for i, (low, high) in enumerate(zip([0, *ends], ends, strict=False)):
+            if low < high:
+                listed = found[low:high].tolist()
+                self.digests[i] = hashlib.sha256(";".join(map(own.names.__getitem__, listed)).encode()).hexdigest()
+                if i == checked:
+                    own.held_against_libraries(texts[i], listed)
+        # distinct groups of each document, numbered in the batch
+        count = len(own.names)
+        key, self.times = np.unique(np.repeat(of, n) * max(count, 1) + found, return_counts=True)
+        of, each = key // max(count, 1), key % max(count, 1)
+        used, numbers = np.unique(each, return_inverse=True)
+        cuts = np.searchsorted(of, np.arange(len(pieces) + 1))
+        self.offsets, self.numbers = cuts.astype(np.int32), numbers.astype(np.int32)
+        self.documents = np.bincount(numbers, minlength=len(used))
+        self.names = [own.names[g] for g in used.tolist()]
+        self._repeats(own, of, each)
+
+    def _repeats(self, own: Aligner, of: np.ndarray, each: np.ndarray) -> None:
+        """Pairs that a document holds in several groups: how many more than one, over all documents."""
+        first, pairs = np.array(own.pairs_begin), np.array(own.pairs)
+        width = np.diff(first)
+        among_several = np.unique(pairs[_ranges(first[:-1][width > 1], width[width > 1])])
+        telling = width > 1
+        telling[width == 1] = np.isin(pairs[first[:-1][width == 1]], among_several)  # a group of one pair repeats none but those of larger groups
+        of, each = of[telling[each]], each[telling[each]]
+        held = pairs[_ranges(first[each], width[each])]
+        codes, held = np.unique(held, return_inverse=True)
+        key, times = np.unique(np.repeat(of, width[each]) * max(len(codes), 1) + held, return_counts=True)
+        more = np.bincount(key % max(len(codes), 1), weights=times - 1, minlength=len(codes)).astype(np.int64)
+        self.repeats = dict(zip(codes[more > 0].tolist(), more[more > 0].tolist(), strict=True))
 
 
 _FIELDS = [
@@ -256,12 +258,6 @@ _DDL = (
 )
 
 
-def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-    values = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
-
-
 def _rows(length: int, kept: list[tuple[str, pa.DataType]], **columns: object) -> pa.RecordBatch:
     fields = [*kept, *_FIELDS]
     return pa.RecordBatch.from_arrays([columns[n] if n in columns else pa.nulls(length, t) for n, t in fields], names=[n for n, _ in fields])
@@ -281,8 +277,9 @@ def aligned_batches(docs: DataFrame, keep: list[str], json_path: str, model_path
             found = Batch(own, [x or "" for x in part.column(len(keep)).to_pylist()])
             n = part.num_rows
             columns = {name: part.column(i) for i, (name, _) in enumerate(kept)}
-            columns |= {f: pa.array([r[i] for r in found.rows], t) for i, (f, t) in enumerate(_FIELDS[:5])}
-            columns |= {"numbers": _lists([r[5] for r in found.rows], pa.int32()), "times": _lists([r[6] for r in found.rows], pa.int64())}
+            columns |= {f: pa.array(x, t) for (f, t), x in zip(_FIELDS[:5], [*found.totals, found.digests], strict=True)}
+            offsets = pa.array(found.offsets)
+            columns |= {"numbers": pa.ListArray.from_arrays(offsets, pa.array(found.numbers)), "times": pa.ListArray.from_arrays(offsets, pa.array(found.times))}
             yield _rows(n, kept, kind=pa.array([DOCUMENT] * n, pa.int32()), batch=pa.array([serial] * n, pa.int64()), **columns)
             if n := len(found.names):
                 numbers = pa.array(np.arange(n), pa.int32())

@@ -182,4 +182,4 @@ def test_sql(spark, name):
 
 def test_all_queries_are_registered():
     names = list(Q.queries())
-    assert [n.split("_")[0] for n in names[:10]] == [f"op{i}" for i in range(1, 11)] and names[10] == "pipeline"
+    assert [n.split("_")[0] for n in names[:13]] == [f"op{i}" for i in range(1, 14)] and names[13] == "pipeline"
