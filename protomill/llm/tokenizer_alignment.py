@@ -170,7 +170,7 @@ class Aligner:
         number = self.group_number.setdefault(key, len(self.names))
         if number == len(self.names):
             self.names.append(name)
-            self.pairs.extend(sorted({x << 16 | y for x in a for y in b}))
+            self.pairs.extend(sorted(x << 16 | y for x in set(a) for y in set(b)))
             self.pairs_begin.append(len(self.pairs))
         return number
 
