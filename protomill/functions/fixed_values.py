@@ -100,7 +100,21 @@ ACTIVE_DEVICES = ("centrifuge", "thermal_cycler", "thermal_mixer", "vortex_mixer
 SUSPICIOUS_TOKENS = ("autoclave", "parafilm", "manipulator", "gripper", "robot", "wrist", "sonicate", "coverslip", "muffle_furnace")
 ZERO_ARGUMENT = r"\b(?:duration_[a-z]+|volume_[a-z]+|force_[a-z]+)\s*=\s*0(?:\.0+)?(?:[^.0-9a-z_]|$)"
 SEQUENCE_CUES = ("already", "just", "after", "before", "previous", "prior", "then", "next")
+# Words that tell equipment from reagents, by the kind of article.
 EQUIPMENT_WORDS = ("centrifuge", "microscope", "incubator", "thermocycler", "cytometer", "spectrophotometer", "scanner")
+TABLE_EQUIPMENT_WORDS = (
+    "centrifuge", "microscope", "incubator", "thermocycler", "cytometer", "spectrophotometer", "scanner", "pipette", "pipettor", "shaker", "balance",
+    "sonicator", "software", "camera", "printer", "oven", "hood", "freezer", "analyzer", "chamber", "filter holder", "system",
+)
+LISTED_EQUIPMENT_WORDS = (
+    "centrifuge", "microscope", "incubator", "thermocycler", "cytometer", "spectrophotometer", "pipettor", "software", "heat block", "shaker", "sonicator",
+    "scanner",
+)
+WIKI_EQUIPMENT_WORDS = (
+    "centrifuge", "microscope", "incubator", "thermocycler", "cytometer", "spectrophotometer", "pipette", "pipettor", "shaker", "balance", "sonicator",
+    "scanner", "freezer", "oven", "hood", "camera", "chamber",
+)
+EQUIPMENT_CATEGORIES = ("software", "equipment", "instrument", "other")
 
 # The forms in which a reply names its answer, and the article captions and headers of a table of materials.
 ANSWER_TAG = r"(?i)<answer>\s*([A-Z])\s*</answer>"
@@ -114,3 +128,41 @@ MATERIALS_CAPTION = (
     r"(?i)table\s+of\s+materials|^\s*materials?\s*$|^\s*reagents?(\s+and\s+equipment)?\s*$|name\s+of\s+(material|reagent|equipment)"
 )
 MATERIALS_HEADER = r"name of (material|reagent|equipment)"
+HEADER_CELLS = ("name", "reagent", "material")
+
+# Where an article's XML holds its metadata.
+ARTICLE_FIELDS: dict[str, str] = {
+    "doi": r'<article-id pub-id-type="doi">([^<]+)</article-id>',
+    "pmcid": r'<article-id pub-id-type="pmc(?:id)?">([^<]+)</article-id>',
+    "pmid": r'<article-id pub-id-type="pmid">([^<]+)</article-id>',
+    "title": r"(?s)<article-title[^>]*>(.*?)</article-title>",
+    "journal": r"(?s)<journal-title[^>]*>(.*?)</journal-title>",
+    "pub_year": r"(?s)<pub-date[^>]*>.*?<year>(\d{4})</year>",
+    "abstract": r"(?s)<abstract[^>]*>(.*?)</abstract>",
+}
+LICENSE_LINK = r'(?s)<license[^>]*xlink:href="([^"]+)"'
+LICENSE_TEXT = r"(?s)<license[^>]*>(.*?)</license>"
+SURNAME = r"<surname>([^<]+)</surname>"
+# What goes before a catalog number, what vendors and catalog numbers look like, and words before a reagent's name.
+CATALOG_LEAD = r"^cat(?:alog)?[.\s#]*(?:number|no\.?|#)?\s*:?\s*"
+CATALOG_NUMBER = r"^[A-Za-z0-9][A-Za-z0-9\-/.]{2,30}$"
+CATALOG_ANY = r"^[A-Za-z0-9\-/.]+$"
+CATALOG_ALONE = r"(?i)catalog\s*(?:number|no\.?|#)\s*[:\s]*([A-Za-z0-9\-/.]+)"
+VENDOR_NAME = r"(?U)^[A-Z][\w .&'/-]{2,40}$"
+VENDOR_ANY = r"(?iU)^[A-Z][\w .&'/-]+$"
+LEAD_WORDS = ("using", "with", "from", "add", "the", "a", "an")
+# Identifiers of a key resources table.
+RESOURCE_ID = r"RRID\s*:\s*(\S+)"
+RESOURCE_CATALOG = r"Cat#?\s*([A-Za-z0-9\-/.]+)"
+# Headings of wiki pages that hold materials or steps, and those that never hold steps.
+WIKI_MATERIALS = r"(?i)materials?|reagents?|equipment|supplies|solutions|apparatus"
+WIKI_STEPS = r"(?i)procedure|protocol|steps?|method(s| for)?|workflow"
+WIKI_NO_STEPS = (
+    "contents", "curators", "abstract", "summary", "reference", "references", "note", "notes", "contact", "acknowledgment", "acknowledgments", "discussion",
+    "discussions", "history", "see also", "external links", "specific protocols", "workflow", "overview", "introduction", "background", "critical steps",
+    "troubleshooting", "safety",
+)
+WIKI_LICENSE = "https://creativecommons.org/licenses/by/3.0/"
+# Tags of a reply's reasoning.
+STEP_TAG = r"(?is)<step>(.*?)</step>"
+REASONING_TAG = r"(?is)<reasoning>(.*?)</reasoning>"

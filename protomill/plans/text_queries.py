@@ -364,7 +364,8 @@ def p2_balanced_sections(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("<sec><title>Other</title>x</sec><sec id='a'><title> Procedure </title>"), F.regexp_replace("text", "[<>&]", " "), F.lit("<sec><title>Inner</title>"), "source", F.lit("</sec> end</sec><sec><title>Procedure</title>2</sec>")
     )
     d = table(spark, sf, "documents").select("doc_id", xml.alias("xml"))
-    return d.select("doc_id", F.md5(F.get(E.sections("Procedure")("xml"), 0)).alias("first"), F.size(E.sections("Procedure", False)("xml")).alias("all"))
+    found = d.select("doc_id", E.sections(F.col("xml"), "Procedure").alias("bodies"))
+    return found.select("doc_id", F.md5(F.get("bodies", 0)).alias("first"), F.size("bodies").alias("all"))
 
 
 @query()
@@ -380,7 +381,7 @@ def p23_wiki_parser(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def u1_parser_registry(spark: SparkSession, sf: str) -> DataFrame:
     """Each document as an article, read by the parser that its source names."""
-    from protomill.operators.parsers import REGISTRY, parse
+    from protomill.operators.parsers import REGISTRY, parse_each
 
     names = sorted(REGISTRY)
     xml = F.concat(
@@ -389,8 +390,5 @@ def u1_parser_registry(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("<list-item><label>1</label><p>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</p></list-item></sec>")),
     )
     docs = table(spark, sf, "documents").select("doc_id", xml.alias("xml"), F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % len(names) + 1).cast("int")).alias("kind"))
-    parts = [parse(docs.where(F.col("kind") == n), n, "xml", ["doc_id"]) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = parse_each(docs, "kind", "xml", ["doc_id"])
     return out.select("doc_id", "source", "doi", "title", F.size("reagents").alias("n_reagents"), F.size("steps").alias("n_steps"))

@@ -57,6 +57,92 @@ def test_paged_source(spark):
     assert got.count() == 6 and got.where("q = 'y'").agg(F.sum("n")).first()[0] == 6
 
 
+def three_pages(flag):
+    """Fetches pages {1,2} {3,4} {5}, the last without a next cursor; the second fails while the flag's file is there."""
+
+    def fetch_for(query):
+        import os
+
+        data = {"*": ([(query, 1), (query, 2)], "c1"), "c1": ([(query, 3), (query, 4)], "c2"), "c2": ([(query, 5)], None)}
+
+        def fetch(cursor):
+            if cursor == "c1" and os.path.exists(flag):
+                raise OSError("down")
+            return data[cursor]
+
+        return fetch
+
+    return fetch_for
+
+
+def test_a_stream_gives_each_row_once_and_the_last_page_over_a_restart(spark, tmp_path):
+    flag, out, state = (str(tmp_path / n) for n in ("down", "out", "state"))
+    spark.dataSource.register(paged.paged_source("paged_stream", "q string, n int", three_pages(flag)))
+
+    def run():
+        q = spark.readStream.format("paged_stream").option("queries", "x\ny").load().writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(processingTime="0 seconds").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    open(flag, "w").close()
+    with pytest.raises(Exception, match="down"):
+        run()
+    (tmp_path / "down").unlink()
+    run()
+    assert sorted((r["q"], r["n"]) for r in spark.read.parquet(out).collect()) == [(q, n) for q in "xy" for n in range(1, 6)]
+    run()  # nothing is left
+    assert spark.read.parquet(out).count() == 10
+
+
+def stream(data, queries=("q",), limit=None):
+    return paged._Stream(list(queries), lambda q: lambda cursor: data[cursor], limit, None)
+
+
+def drained(reader):
+    at, out, offsets = reader.initialOffset(), [], []
+    for _ in range(50):
+        rows, end = reader.read(at)
+        rows = list(rows)
+        assert rows == list(reader.readBetweenOffsets(at, end))
+        if not rows:
+            return out, offsets
+        assert end != at
+        out, offsets, at = out + rows, [*offsets, end], end
+    raise AssertionError("no end")
+
+
+def test_offsets_of_a_stream():
+    three = {"*": ([1, 2], "a"), "a": ([3], "b"), "b": ([4], None)}
+    assert drained(stream(three))[0] == [1, 2, 3, 4]
+    assert drained(stream(three, ("p", "q")))[0] == [1, 2, 3, 4] * 2
+    assert drained(stream(three, limit=3))[0] == [1, 2, 3]
+    assert drained(stream({"*": ([1], "a"), "a": ([], "b")}))[0] == [1]  # an empty page ends a query
+    assert drained(stream({"*": ([], None)}))[0] == []
+    assert drained(stream({"*": ([1], "*")}))[0] == [1]
+    looped, offsets = drained(stream({"*": ([0], "a"), "a": ([1], "b"), "b": ([2], "c"), "c": ([3], "a")}))
+    assert set(looped) == {0, 1, 2, 3} and len(offsets) < 12  # a loop of cursors ends
+
+
+def test_a_rate_is_shared_by_partitions():
+    now = [0.0]
+    calls = []
+
+    def sleep(seconds):
+        now[0] += seconds
+
+    both = [paged.Throttle(4.0, 2, lambda: now[0], sleep) for _ in range(2)]
+    for _ in range(10):
+        for t in both:
+            t.wait()
+            calls.append(now[0])
+    assert calls[-1] >= 4.5 - 1e-9  # ten rounds, each partition half a second apart: four a second together
+    free = paged.Throttle(None, 3, lambda: now[0], lambda s: pytest.fail("no rate, no wait"))
+    free.wait()
+    free.wait()
+
+
 def test_walk_stops():
     assert list(paged.walk(pages("q"), limit=2)) == [("q", 1), ("q", 2)]
     loop = lambda cursor: ([(cursor,)], "a")
