@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from protomill.functions import fixed_values as V
 from protomill.functions import text as X
 from protomill.operators.records import reasons
+from protomill.sources.files import shared_folder
 
 TRIOS = ("ABC", "DEF", "GHI")
 
@@ -28,14 +29,62 @@ def eligible(entries: DataFrame, denied: list[str], scenes: bool = False, fewest
     return kept if scenes else kept.where("protocol_matchable")
 
 
-def assign(candidates: DataFrame, entry: str, item: str, per_entry: int, seed: int = 0) -> DataFrame:
-    """Adds round and place: each entry takes one item in every round, items in a seeded order.
+def assign(candidates: DataFrame, entry: str, item: str, count: int, last: str | None = None, seed: int = 0) -> DataFrame:
+    """entry, item, round and turn of at most ``count`` jobs, dealt in rounds.
 
-    A set-based form of a round robin; an item may serve several entries.
+    In every round each entry takes one of its candidate items that it hasn't had, in a seeded order of entries (those with ``last``, a boolean column, after the others).  It takes an item that no
+    entry has had, if it has such a candidate, else the first in its own seeded order.  Rounds end when ``count`` jobs are dealt or no candidate is left; the last round is cut in the order of entries.
+
+    Within a round entries propose: each its first unused item; an item keeps the proposer whose turn is first, the others propose anew.  As items prefer
+    entries by their turn, this gives what entries choosing one after the other would get, but all proposals of a pass are one join.  Each pass is a stored table.
     """
-    order = F.xxhash64(F.col(entry), F.col(item), F.lit(seed))
-    turn = F.row_number().over(Window.partitionBy(entry).orderBy(order, item))
-    return candidates.withColumn("round", turn).where(F.col("round") <= per_entry)
+    spark = candidates.sparkSession
+    kept = lambda df: _stored(df, "jobs")
+    late = F.coalesce(F.col(last), F.lit(False)) if last else F.lit(False)
+    each = candidates.where(F.col(entry).isNotNull() & F.col(item).isNotNull()).select(F.col(entry).alias("e"), F.col(item).alias("i"), late.alias("late"))
+    pairs = each.groupBy("e", "i").agg(F.max("late").alias("late"))
+    turns = pairs.groupBy("e").agg(F.max("late").alias("late"))
+    turns = turns.select("e", F.struct("late", F.xxhash64("e", F.lit(seed)).alias("h"), "e").alias("turn"))
+    wish = F.struct(F.xxhash64("e", "i", F.lit(seed)).alias("h"), F.col("i"))
+    left = kept(pairs.join(turns, "e").select("e", "i", "turn", wish.alias("wish")))
+    made, jobs, number = 0, None, 0
+    taken = spark.createDataFrame([], left.select("i").schema)
+    while made < count:
+        number += 1
+        open_ = kept(left.join(taken, "i", "left_anti"))
+        held = spark.createDataFrame([], left.schema)
+        while True:  # proposals until nobody is refused
+            waiting = open_.join(held.select("e"), "e", "left_anti")
+            asked = waiting.groupBy("e").agg(F.min_by(F.struct("i", "turn", "wish"), "wish").alias("x")).select("e", "x.*")
+            both = held.select("e", "i", "turn", "wish").unionByName(asked.select("e", "i", "turn", "wish"))
+            best = both.groupBy("i").agg(F.min_by(F.struct("e", "turn", "wish"), "turn").alias("x")).select("x.e", "i", "x.turn", "x.wish")
+            now = kept(best.select("e", "i", "turn", "wish"))
+            refused = kept(both.join(now.select("e", "i"), ["e", "i"], "left_anti").select("e", "i"))
+            if not refused.take(1):
+                held = now
+                break
+            held, open_ = now, kept(open_.join(refused, ["e", "i"], "left_anti"))
+        again = left.join(held.select("e"), "e", "left_anti").groupBy("e").agg(F.min_by(F.struct("i", "turn", "wish"), "wish").alias("x")).select("e", "x.*")
+        round_ = kept(held.select("e", "i", "turn", "wish").unionByName(again.select("e", "i", "turn", "wish")))
+        n = round_.count()
+        if not n:
+            break
+        if made + n > count:
+            round_ = kept(round_.orderBy("turn").limit(count - made))
+        made += n
+        told = round_.select("e", "i", F.lit(number).alias("round"), "turn")
+        jobs = told if jobs is None else jobs.unionByName(told)
+        taken = kept(taken.unionByName(round_.select("i")).distinct())
+        left = kept(left.join(round_.select("e", "i"), ["e", "i"], "left_anti"))
+    if jobs is None:
+        jobs = left.limit(0).select("e", "i", F.lit(0).alias("round"), "turn")
+    return jobs.select(F.col("e").alias(entry), F.col("i").alias(item), "round", "turn")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def quota_letters(items: DataFrame, id_col: str, options: int = 10, none_rate: float = 0.2, seed: int = 0) -> DataFrame:

@@ -201,11 +201,11 @@ def star(x: Column, s: Sections) -> dict[str, Column]:
     rows = E.resource_rows(E.table_rows(s.first("Key resources table")))
     device = lambda r: r["category"].rlike("|".join(V.EQUIPMENT_CATEGORIES)) | _holds(r["name"], V.EQUIPMENT_WORDS)
     reagents = F.filter(rows, lambda r: ~device(r))
-    body = s.first("Step-by-step method details")
+    body, materials = s.first("Step-by-step method details"), s.first("Materials and equipment")
     return E.metadata(x) | {
         "reagents": reagents,
         "equipment": _equipment(F.filter(rows, device)),
-        "materials_raw": lambda rs: _materials(_section_text(s.first("Materials and equipment")), rs, fewest=5),
+        "materials_raw": lambda rs: _materials(_section_text(materials), rs, fewest=5),
         "steps": _cascade(_subsections(body), _steps(E.list_items(body))),
         "troubleshooting": _pairs(s),
         "timing": _section_text(s.first("Timing"), 500),

@@ -118,10 +118,17 @@ def o4_difficulty_order(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("group_id", I.difficulty(F.col("group_id")).alias("rank")).orderBy("rank", F.xxhash64("group_id", F.lit(7)))
 
 
-@query()
+_PAIRS = "p AS (SELECT DISTINCT e, doc_id FROM (SELECT source AS e, doc_id FROM documents UNION ALL SELECT lang, doc_id FROM documents))"
+
+
+@query(f"WITH {_PAIRS} SELECT e AS entry, least(count(*), 3) AS jobs, least(count(*), 3) AS distinct_items FROM p GROUP BY e")
 def o5_assign_items(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("source", "doc_id")
-    return I.assign(docs, "source", "doc_id", per_entry=10, seed=7)
+    """Three rounds of jobs: sources and languages take documents, each one that nobody has had while there is one."""
+    docs = table(spark, sf, "documents")
+    pairs = docs.select(F.col("source").alias("entry"), "doc_id").unionByName(docs.select(F.col("lang").alias("entry"), "doc_id"))
+    entries = pairs.select("entry").distinct().count()
+    jobs = I.assign(pairs.withColumn("late", F.length("entry") == 2), "entry", "doc_id", 3 * entries, last="late", seed=7)
+    return jobs.groupBy("entry").agg(F.count("*").alias("jobs"), F.count_distinct("doc_id").alias("distinct_items"))
 
 
 @query()

@@ -7,67 +7,12 @@ from pyspark.sql import functions as F
 
 from protomill.functions import programs as P
 from protomill.functions import text as X
-from protomill.operators import parsers
 from protomill.operators import records as R
 from protomill.plans.metric_queries import programs
 from protomill.plans.registry import query, table
 from protomill.sources.files import entry_views
 
 
-def article(steps_title: str, materials_title: str):
-    """An article's XML made from a document's row."""
-    text = F.regexp_replace("text", "[<>&]", " ")
-    return F.concat(
-        F.lit('<article-id pub-id-type="doi">10.1/'), "doc_id", F.lit("</article-id><article-title>"), "source",
-        F.lit(f"</article-title><sec><title>{materials_title}</title>"),
-        F.lit("<list-item><p>Buffer number one (Vendor, cat# A1)</p></list-item><list-item><p>Bench centrifuge model two (Maker, B2)</p></list-item>"),
-        F.lit("<table><tr><td>REAGENT or RESOURCE</td><td>SOURCE</td><td>IDENTIFIER</td></tr><tr><td>Salt</td><td>Shop</td><td>Cat# S1</td></tr></table>"),
-        F.lit(f"</sec><sec id='s'><title>{steps_title}</title><sec><title>First part</title><list-item><label>1</label><p>"), text,
-        F.lit("</p></list-item></sec><p>2. Leave the sample on ice for 10 min.</p></sec>"),
-    )
-
-
-def _parsed(spark: SparkSession, sf: str, source: str, steps_title: str, materials_title: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", article(steps_title, materials_title).alias("xml"))
-    out = parsers.parse(docs, source, "xml", ["doc_id"])
-    return out.select("doc_id", "doi", "title", F.size("reagents").alias("n_reagents"), F.size("equipment").alias("n_equipment"), F.size("steps").alias("n_steps"), F.length("materials_raw").alias("n_materials"))
-
-
-@query()
-def p12_bioprot_parser(spark: SparkSession, sf: str) -> DataFrame:
-    return _parsed(spark, sf, "bioprot", "Procedure", "Materials and reagents")
-
-
-@query()
-def p13_curprot_parser(spark: SparkSession, sf: str) -> DataFrame:
-    return _parsed(spark, sf, "curprot", "Basic protocol", "Materials")
-
-
-@query()
-def p14_f1000_parser(spark: SparkSession, sf: str) -> DataFrame:
-    return _parsed(spark, sf, "f1000", "Methods", "Reagents")
-
-
-@query()
-def p17_jove_parser(spark: SparkSession, sf: str) -> DataFrame:
-    return _parsed(spark, sf, "jove", "Protocol", "Table of Materials")
-
-
-@query()
-def p18_mimb_parser(spark: SparkSession, sf: str) -> DataFrame:
-    return _parsed(spark, sf, "mimb", "Methods", "Materials")
-
-
-@query()
-def p19_nprot_parser(spark: SparkSession, sf: str) -> DataFrame:
-    return _parsed(spark, sf, "nprot", "Procedure", "Reagents")
-
-
-@query()
-def p21_star_parser(spark: SparkSession, sf: str) -> DataFrame:
-    return _parsed(spark, sf, "star", "Step-by-step method details", "Key resources table")
-
-
 @query("SELECT doc_id, source || chr(10) || lang AS said FROM documents")
 def c11_message_text(spark: SparkSession, sf: str) -> DataFrame:
     """A list of parts, of which those with text count, as one text."""

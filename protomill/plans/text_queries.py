@@ -247,13 +247,6 @@ def j12_zip_shorter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(pairs).cast("bigint").alias("pairs"), first.alias("first_pair"))
 
 
-@query()
-def p7_troubleshooting(spark: SparkSession, sf: str) -> DataFrame:
-    body = F.concat(F.lit("<title>Problem 1</title><p>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</p><title>Potential solution</title><p>"), "source", F.lit("</p><title>Problem 2</title>"))
-    pairs = E.troubleshooting(body)
-    return table(spark, sf, "documents").select("doc_id", F.size(pairs).alias("n"), F.get(pairs, 0)["problem"].alias("problem"), F.get(pairs, 0)["solution"].alias("solution"))
-
-
 @query(
     "WITH items AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p\\b[^>]*>(.*?)</p>', 1)) AS raw FROM pages), "
     f"texts AS (SELECT page_id, {STRIP.format('raw')} AS t FROM items), "
@@ -366,29 +359,3 @@ def p2_balanced_sections(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", xml.alias("xml"))
     found = d.select("doc_id", E.sections(F.col("xml"), "Procedure").alias("bodies"))
     return found.select("doc_id", F.md5(F.get("bodies", 0)).alias("first"), F.size("bodies").alias("all"))
-
-
-@query()
-def p23_wiki_parser(spark: SparkSession, sf: str) -> DataFrame:
-    from protomill.operators.parsers import parse
-
-    pages = table(spark, sf, "pages")
-    html = F.regexp_replace(F.regexp_replace("html", "<h1[^>]*>", "<h2>Procedure "), "</h1>", "</h2>")
-    out = parse(pages.select("page_id", html.alias("html")), "oww", "html", ["page_id"])
-    return out.select("page_id", "source", F.size("steps").alias("n_steps"), F.length("materials_raw").alias("n_materials"), "license")
-
-
-@query()
-def u1_parser_registry(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document as an article, read by the parser that its source names."""
-    from protomill.operators.parsers import REGISTRY, parse_each
-
-    names = sorted(REGISTRY)
-    xml = F.concat(
-        F.lit('<article-id pub-id-type="doi">10.1/'), "doc_id", F.lit("</article-id><article-title>"), "source", F.lit("</article-title><sec><title>Materials</title>"),
-        F.lit("<list-item><p>Buffer number one (Vendor, cat# A1)</p></list-item></sec><sec><title>Procedure</title>"),
-        F.concat(F.lit("<list-item><label>1</label><p>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</p></list-item></sec>")),
-    )
-    docs = table(spark, sf, "documents").select("doc_id", xml.alias("xml"), F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % len(names) + 1).cast("int")).alias("kind"))
-    out = parse_each(docs, "kind", "xml", ["doc_id"])
-    return out.select("doc_id", "source", "doi", "title", F.size("reagents").alias("n_reagents"), F.size("steps").alias("n_steps"))

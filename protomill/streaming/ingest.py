@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +42,11 @@ def promote(rejected: DataFrame, reparsed: DataFrame, key: str) -> tuple[DataFra
     return passed, stays
 
 
-def call_model(items: DataFrame, prompt_col: str, call: Callable[[str], str], tries: int = 3, at_once: int = 8) -> DataFrame:
+def call_model(items: DataFrame, prompt_col: str, call: Callable[[str], str], tries: int = 3, at_once: int = 8, in_flight: int = 4, order_col: str | None = None) -> DataFrame:
     """``items`` with reply and error, from a function of the prompt; a failure becomes an error and not an exception.
 
-    ``at_once`` partitions bound how many calls run side by side.
+    ``at_once`` partitions with ``in_flight`` threads each bound how many calls run side by side.  Rows leave a task as their calls end; with ``order_col``, a column
+    that numbers them, the result is put back in its order.
     """
     schema = ", ".join(f"`{n}` {t}" for n, t in items.dtypes) + ", reply string, error string"
 
@@ -57,11 +60,24 @@ def call_model(items: DataFrame, prompt_col: str, call: Callable[[str], str], tr
         return None, error
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [one(p) for p in pdf[prompt_col]]
-            yield pdf.assign(reply=[f[0] for f in found], error=[f[1] for f in found])
-
-    return items.repartition(at_once).mapInPandas(run, schema)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for pdf in batches:
+                rows, flying = iter(range(len(pdf))), {}
+
+                def start(n: int, pdf: pd.DataFrame = pdf, rows: Iterator[int] = rows, flying: dict = flying) -> None:
+                    for at in islice(rows, n):
+                        flying[pool.submit(one, pdf[prompt_col].iat[at])] = at
+
+                start(in_flight)
+                while flying:
+                    ended = wait(flying, return_when=FIRST_COMPLETED).done
+                    start(len(ended))
+                    places = [flying.pop(f) for f in ended]
+                    found = [f.result() for f in ended]
+                    yield pdf.iloc[places].assign(reply=[f[0] for f in found], error=[f[1] for f in found])
+
+    out = items.repartition(at_once).mapInPandas(run, schema)
+    return out.repartitionByRange(order_col).sortWithinPartitions(order_col) if order_col else out
 
 
 def session(name: str = "protomill") -> SparkSession:

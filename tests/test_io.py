@@ -207,3 +207,25 @@ def test_model_failures_are_rows(spark):
     df = spark.createDataFrame([("ok",), ("bad",)], "p string")
     got = {r["p"]: (r["reply"], r["error"]) for r in ingest.call_model(df, "p", call, tries=1, at_once=2).collect()}
     assert got == {"ok": ("OK", None), "bad": (None, "ValueError: no")}
+
+
+def test_calls_run_side_by_side_within_bounds_and_come_back_in_order(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def call(prompt):
+        import os
+        import time
+        import uuid
+
+        mine = f"{folder}/{uuid.uuid4().hex}.flying"
+        open(mine, "w").close()
+        flying = sum(f.endswith(".flying") for f in os.listdir(folder))
+        time.sleep(0.02 * (int(prompt) % 4))
+        os.remove(mine)
+        return f"{prompt}/{flying}"
+
+    df = spark.createDataFrame([(i, str(i)) for i in range(40)], "n int, p string")
+    got = ingest.call_model(df, "p", call, at_once=1, in_flight=3, order_col="n").collect()
+    assert [r["reply"].split("/")[0] for r in got] == [str(i) for i in range(40)]
+    together = [int(r["reply"].split("/")[1]) for r in got]
+    assert max(together) <= 3 and max(together) > 1

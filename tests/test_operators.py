@@ -270,3 +270,73 @@ def test_some_views_are_drawn_from_those_that_exist(spark):
     preferred = ["front", "right", "left", "top", "back"]
     draws = {tuple(one(spark, I.some_views(views, preferred, seed=s))) for s in range(20)}
     assert len(draws) > 1 and all(len(d) == 3 and list(d) == [v for v in preferred if v in d] and "right" not in d and "odd" not in d for d in draws)
+
+
+def test_inversions_equal_the_quadratic_count(spark):
+    import random
+
+    from protomill.operators import metrics as M
+
+    rng = random.Random(3)
+    rows, want = [], {}
+    for who, n in enumerate((1, 2, 7, 40, 100)):
+        order = list(range(1, n + 1))
+        rng.shuffle(order)
+        rows += [(who, i, j) for i, j in enumerate(order, 1)]
+        want[who] = sum(order[a] > order[b] for a in range(n) for b in range(a + 1, n))
+    df = spark.createDataFrame(rows, "who long, i int, j int").repartition(3)
+    for block in (4, 4096):
+        assert {r["who"]: r["inversions"] for r in M.inversions(df, "who", "i", "j", block).collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_inversions_of_a_long_sequence(spark):
+    from protomill.operators import metrics as M
+
+    n = 50_000
+    df = spark.range(1, n + 1).selectExpr("1 as who", "id as i", f"{n} + 1 - id as j")
+    assert M.inversions(df, "who", "i", "j").first()["inversions"] == n * (n - 1) // 2
+
+
+def one_after_the_other(pairs, count, late, seed):
+    """Jobs by entries that choose in turn, by the definition; pairs are (entry, item, hash), entries (entry, hash)."""
+    turn = lambda e: (late.get(e, False), pairs["entries"][e], e)
+    jobs, used, had = [], set(), set()
+    number = 0
+    while len(jobs) < count:
+        number += 1
+        before = len(jobs)
+        for e in sorted(pairs["entries"], key=turn):
+            mine = sorted((h, i) for (x, i), h in pairs["wishes"].items() if x == e and (e, i) not in had)
+            if not mine or len(jobs) >= count:
+                continue
+            _, i = next(((h, i) for h, i in mine if i not in used), mine[0])
+            jobs.append((e, i, number))
+            used.add(i)
+            had.add((e, i))
+        if len(jobs) == before:
+            break
+    return jobs
+
+
+def test_jobs_are_dealt_as_if_entries_chose_in_turn(spark):
+    import random
+
+    from protomill.operators import items as I
+
+    rng = random.Random(5)
+    pairs = sorted({(rng.choice("abcde"), rng.randrange(6)) for _ in range(18)})
+    late = {"a": True, "d": True}
+    df = spark.createDataFrame([(e, i, late.get(e, False)) for e, i in pairs] + [("a", None, None), pairs[0] + (False,)], "e string, i int, late boolean")
+    hashed = df.where("i is not null").select("e", "i", F.xxhash64("e", "i", F.lit(3)).alias("h"), F.xxhash64("e", F.lit(3)).alias("eh")).collect()
+    known = {"entries": {r["e"]: r["eh"] for r in hashed}, "wishes": {(r["e"], r["i"]): r["h"] for r in hashed}}
+    for count in (7, 100):
+        got = [(r["e"], r["i"], r["round"]) for r in I.assign(df, "e", "i", count, last="late", seed=3).collect()]
+        assert sorted(got) == sorted(one_after_the_other(known, count, late, 3))
+
+
+def test_reasoning_tags(spark):
+    from protomill.functions import answers as A
+
+    said = ["<step>one  x</step> <STEP>two</STEP><answer>A</answer>", "<reasoning>first\nthen</reasoning><answer>B</answer>", "- a\n- b\n<answer>C</answer>", "<step> </step>Only this. And that.<answer>D</answer>"]
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, t string").select("i", A.reasoning_steps(F.col("t")).alias("s")).collect()
+    assert {r["i"]: r["s"] for r in rows} == {0: ["one x", "two"], 1: ["first then"], 2: ["a", "b"], 3: ["Only this.", "And that."]}
