@@ -11,6 +11,7 @@ from protomill.operators import records as R
 from protomill.plans.metric_queries import programs
 from protomill.plans.registry import query, table
 from protomill.sources.files import entry_views
+from protomill.streaming.ingest import call_all
 
 
 @query("SELECT doc_id, source || chr(10) || lang AS said FROM documents")
@@ -101,18 +102,43 @@ def f10_question_fields(spark: SparkSession, sf: str) -> DataFrame:
     return options(spark, sf).groupBy("doc_id").agg(F.count("*").alias("options"), F.count_if(F.col("letter") == "J").alias("none"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'PASS' ELSE 'doc ' || doc_id || ' failed' END AS outcome FROM documents")
-def t5_failure_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Failures as rows: what didn't work has a reason and no result."""
-    failed = F.col("doc_id") % 2 == 1
-    error = F.when(failed, F.concat(F.lit("doc "), "doc_id", F.lit(" failed")))
-    return table(spark, sf, "documents").select("doc_id", F.coalesce(error, F.lit("PASS")).alias("outcome"))
+def _strict(text: str) -> str:
+    """A stub model that fails on texts with a digit."""
+    if any(c.isdigit() for c in text):
+        raise ValueError("a digit")
+    return f"{len(text)}"
 
 
-@query("SELECT user_id, count(*) AS lines, count(DISTINCT event_type) AS distinct_ids FROM events GROUP BY user_id")
-def t2_repeated_manifest_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines against distinct ids: what overlapping shards repeat."""
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("lines"), F.count_distinct("event_type").alias("distinct_ids"))
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]') THEN 'ValueError: a digit' ELSE CAST(length(text) AS VARCHAR) END AS outcome FROM documents")
+def t5_failure_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of which some fail, kept as rows with a reason and no result."""
+    called = call_all(table(spark, sf, "documents").select("doc_id", "text"), "text", _strict, "record", tries=1)
+    return called.select("doc_id", F.coalesce("error", "reply").alias("outcome"))
+
+
+@query("SELECT user_id AS id, count(*) AS lines FROM events WHERE event_id % 2 = 0 GROUP BY user_id UNION ALL SELECT user_id, 0 FROM events GROUP BY user_id HAVING count(*) FILTER (event_id % 2 = 0) = 0")
+def t2_overlapping_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """Two shards of users that overlap, saved one after the other: each user once, with the lines of the first shard that has them."""
+    from protomill.sources.files import shared_folder
+    from protomill.sources.manifest import Manifest
+
+    events = table(spark, sf, "events")
+    m = Manifest(spark, shared_folder(spark, "manifest"), "id")
+    m.save(events.where("event_id % 2 = 0").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("lines")))
+    m.save(events.groupBy(F.col("user_id").alias("id")).agg(F.lit(0).cast("long").alias("lines")))
+    return m.rows()
+
+
+@query("SELECT DISTINCT source AS key, 'text of ' || source AS text FROM documents")
+def s7_read_through(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of all sources through a cache: the first read stores half of them, the second fetches the rest."""
+    from protomill.sources.files import shared_folder
+    from protomill.sources.manifest import read_through
+
+    docs, folder = table(spark, sf, "documents").select(F.col("source").alias("key")), shared_folder(spark, "cache")
+    fetch = lambda key: f"text of {key}"
+    read_through(docs.where("key < 'src5'"), "key", folder, fetch)
+    return read_through(docs, "key", folder, fetch)
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from protomill.sources.files import shared_folder
+
 
 def ingest_once(stream: DataFrame, id_col: str, path: str, checkpoint: str, time_col: str | None = None, delay: str = "1 day") -> StreamingQuery:
     """Appends each id's first row to Parquet, whatever the number of overlapping inputs, and ends when the input is used up.
@@ -80,6 +82,33 @@ def call_model(items: DataFrame, prompt_col: str, call: Callable[[str], str], tr
     return out.repartitionByRange(order_col).sortWithinPartitions(order_col) if order_col else out
 
 
+class CallsFailed(RuntimeError):
+    """Some calls failed, after all were made."""
+
+
+def call_all(items: DataFrame, prompt_col: str, call: Callable[[str], str], policy: str = "record", tries: int = 3, at_once: int = 8, in_flight: int = 4) -> DataFrame:
+    """As call_model(), with a policy for calls that fail.
+
+    ``record`` keeps failures as rows.  ``collect`` makes all calls, whose results are stored, and raises CallsFailed with the reasons if any failed.  ``abort`` lets the first failure
+    end its task, and with it the job (after the cluster's retries of a task): no further rows are called for.
+    """
+    called = call_model(items, prompt_col, call, tries, at_once, in_flight)
+    if policy == "record":
+        return called
+    if policy == "abort":
+        return called.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")))
+    if policy != "collect":
+        raise ValueError(f"no such policy: {policy}")
+    path = shared_folder(items.sparkSession, "calls")
+    called.write.parquet(path)
+    done = items.sparkSession.read.schema(called.schema).parquet(path)
+    all_, failed = done.agg(F.count("*"), F.count("error")).first()
+    if failed:
+        reasons = [r[0] for r in done.where("error is not null").groupBy("error").count().orderBy(F.desc("count"), "error").limit(20).collect()]
+        raise CallsFailed(f"{failed} of {all_} calls failed: {'; '.join(reasons)}")
+    return done
+
+
 def session(name: str = "protomill") -> SparkSession:
     """The active session, or a new one with adaptive execution and UTC."""
     return (

@@ -229,3 +229,91 @@ def test_calls_run_side_by_side_within_bounds_and_come_back_in_order(spark, tmp_
     assert [r["reply"].split("/")[0] for r in got] == [str(i) for i in range(40)]
     together = [int(r["reply"].split("/")[1]) for r in got]
     assert max(together) <= 3 and max(together) > 1
+
+
+def manifest_of(spark, tmp_path, **options):
+    from protomill.sources.manifest import Manifest
+
+    return Manifest(spark, str(tmp_path / "m"), "id", **options)
+
+
+def saved(m):
+    rows = m.rows()
+    return sorted((r["id"], r["v"]) for r in rows.collect()) if rows is not None else []
+
+
+def test_a_crash_between_staging_and_commit_loses_and_repeats_nothing(spark, tmp_path):
+    m, df = manifest_of(spark, tmp_path), spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "x")], "id int, v string")
+
+    def crash():
+        raise KeyboardInterrupt
+
+    assert saved(m) == []
+    with pytest.raises(KeyboardInterrupt):
+        m.save(df, crash)
+    assert saved(m) == []
+    assert m.save(df) == 2 and m.save(df) == 0
+    assert saved(m) == [(1, "a"), (2, "b")]
+    assert m.clean() == 2 and saved(m) == [(1, "a"), (2, "b")]
+
+
+def test_overlapping_writers_save_no_id_twice(spark, tmp_path):
+    m, other = manifest_of(spark, tmp_path), manifest_of(spark, tmp_path)
+    mine, theirs = (spark.createDataFrame(rows, "id int, v string") for rows in ([(1, "m"), (2, "m")], [(2, "t"), (3, "t")]))
+    turn = []
+
+    def meanwhile():
+        if not turn:
+            turn.append(1)
+            assert other.save(theirs) == 2
+
+    assert m.save(mine, meanwhile) == 1
+    assert saved(m) == [(1, "m"), (2, "t"), (3, "t")] and len(m.commits()) == 2
+
+
+def test_an_empty_commit_is_void(spark, tmp_path):
+    m = manifest_of(spark, tmp_path, lease=0.0)
+    (tmp_path / "m" / "commits").mkdir(parents=True)
+    (tmp_path / "m" / "commits" / "0000000001").touch()
+    assert m.save(spark.createDataFrame([(1, "a")], "id int, v string")) == 1
+    assert saved(m) == [(1, "a")] and (tmp_path / "m" / "commits" / "0000000002").exists()
+
+
+def test_a_cache_is_read_through(spark, tmp_path):
+    from protomill.sources.manifest import read_through
+
+    folder, asked = str(tmp_path / "cache"), tmp_path / "asked"
+    asked.mkdir()
+
+    def fetch(key):
+        import uuid
+
+        open(f"{asked}/{key}.{uuid.uuid4().hex}", "w").close()
+        return None if key == "none" else f"text of {key}"
+
+    want = spark.createDataFrame([("a",), ("b",), ("b",), ("none",), (None,)], "k string")
+    run = lambda: {r["k"]: r["text"] for r in read_through(want, "k", folder, fetch, 2).collect()}
+    names = lambda: sorted(f.name.split(".")[0] for f in asked.iterdir())
+    assert run() == {"a": "text of a", "b": "text of b", "none": None} and names() == ["a", "b", "none"]
+    assert run() == {"a": "text of a", "b": "text of b", "none": None} and names() == ["a", "b", "none", "none"]
+    torn = [f for f in (tmp_path / "cache").glob("part-*") if f.stat().st_size > 600]
+    for f in torn:
+        f.write_bytes(f.read_bytes()[:100])
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    assert torn and run() == {"a": "text of a", "b": "text of b", "none": None}
+    assert names().count("a") + names().count("b") > 2
+
+
+def test_failure_policies(spark):
+    def call(prompt):
+        if prompt == "bad":
+            raise ValueError("no")
+        return prompt
+
+    df = spark.createDataFrame([("ok",), ("bad",), ("bad",)], "p string")
+    assert ingest.call_all(df, "p", call, "record").where("error is not null").count() == 2
+    with pytest.raises(ingest.CallsFailed, match=r"2 of 3 .*ValueError: no"):
+        ingest.call_all(df, "p", call, "collect")
+    with pytest.raises(Exception, match="ValueError: no"):
+        ingest.call_all(df, "p", call, "abort").collect()
+    assert ingest.call_all(df.where("p = 'ok'"), "p", call, "collect").count() == 1
