@@ -26,18 +26,20 @@ def search_corpus(title: Column, background: Column, names: Column, steps: Colum
     return X.search_key(F.concat_ws(" ", title, background, F.array_join(names, " "), tail))
 
 
-def match_aliases(docs: DataFrame, aliases: DataFrame, id_col: str, corpus_col: str, longest: int = 6) -> DataFrame:
+def match_aliases(docs: DataFrame, aliases: DataFrame, id_col: str, corpus_col: str) -> DataFrame:
     """(id, group_id) for every group with an alias in the normalised text, at word boundaries.
 
-    The words' n-grams meet the aliases in a hash join; a theta join would test every pattern on every text.  The catalog is a bounded literal, so it is
-    broadcast.
+    The words' n-grams meet the aliases in a hash join; a theta join would test every pattern on every text.  Inside the array of a text's words only those that start some alias are kept,
+    each with as many words behind it as the longest alias has.  The catalog is a bounded literal, so its first words are listed on the driver and it is broadcast.
     """
-    words = docs.select(id_col, F.split(F.col(corpus_col), " ").alias("w"))
-    starts = words.select(id_col, F.posexplode("w").alias("p", "first"), "w")
-    # a slice is made only where some alias starts with the word
     heads = aliases.select(F.split_part("alias", F.lit(" "), F.lit(1)).alias("first"), "alias", "n_words", "group_id")
+    known = heads.groupBy("first").agg(F.max("n_words").alias("n")).collect()
+    firsts, longest = [r["first"] for r in known], max((r["n"] for r in known), default=1)
+    words = docs.select(id_col, F.split(F.col(corpus_col), " ").alias("w"))
+    spot = lambda x, i: F.when(x.isin(*firsts), F.struct(x.alias("first"), F.slice("w", i + 1, F.lit(longest)).alias("words")))
+    starts = words.select(id_col, F.explode(F.array_compact(F.transform("w", spot))).alias("s")).select(id_col, "s.first", "s.words")
     hit = starts.join(F.broadcast(heads), "first")
-    return hit.where(F.array_join(F.slice("w", F.col("p") + 1, F.col("n_words")), " ") == F.col("alias")).select(id_col, "group_id").distinct()
+    return hit.where(F.array_join(F.slice("words", F.lit(1), F.col("n_words")), " ") == F.col("alias")).select(id_col, "group_id").distinct()
 
 
 def match_by_pattern(docs: DataFrame, aliases: DataFrame, id_col: str, corpus_col: str) -> DataFrame:

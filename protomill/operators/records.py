@@ -50,7 +50,10 @@ def minimal_gate(df: DataFrame, order: list[Column], min_reagents: int = 5, min_
     before = Window.partitionBy("id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.bool_or("__fine").over(before), F.lit(False))
     first = {"empty_id": F.col("id") == "", "duplicate_id": (F.col("id") != "") & F.col("__seen")}
-    return checked.withColumn("__seen", seen).withColumn("reasons", reasons(**first, **others)).drop("__fine", "__seen")
+    # rows without an id repeat none, and could all meet in one task of the window
+    named = F.coalesce(F.col("id") != "", F.lit(False))
+    whole = checked.where(named).withColumn("__seen", seen).unionByName(checked.where(~named).withColumn("__seen", F.lit(False)))
+    return whole.withColumn("reasons", reasons(**first, **others)).drop("__fine", "__seen")
 
 
 def dedupe_items(df: DataFrame, id_col: str, pos_col: str, name: str = "name", vendor: str = "vendor", identifier: str = "identifier") -> DataFrame:
