@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from protomill.functions import programs as P
+from protomill.operators import compare as C
 from protomill.operators import metrics as M
 from protomill.plans.registry import query, table
 
@@ -133,11 +134,20 @@ def u3_extract_programs(spark: SparkSession, sf: str) -> DataFrame:
     return programs(spark, sf).select("doc_id", P.extract_program("pred").isNotNull().alias("found"))
 
 
-@query()
+_WAYS = "(SELECT doc_id, doc_id % 5 AS way FROM documents)"
+
+
+@query(
+    "SELECT doc_id, CASE way WHEN 4 THEN 0 WHEN 1 THEN 0 ELSE 1 END AS sequence, round(CASE way WHEN 0 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 0 ELSE 2 / 3 END, 6) AS parameters, "
+    "CASE way WHEN 1 THEN 2 WHEN 4 THEN 0 ELSE 3 END AS aligned, CASE way WHEN 2 THEN 1 WHEN 1 THEN 1 WHEN 4 THEN 3 ELSE 0 END AS errors, "
+    f"CASE way WHEN 1 THEN 'missing_step' WHEN 2 THEN 'times:value:3!=4' WHEN 4 THEN 'missing_step;missing_step;missing_step' ELSE '' END AS told FROM {_WAYS}"
+)
 def u6_compare_programs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = programs(spark, sf).withColumn("found", P.extract_program("pred"))
-    scores = P.compare_programs("gold", "found", F.array(F.lit("tube")))
-    return rows.select("doc_id", scores.alias("s")).select("doc_id", "s.*")
+    """All twelve results for each document's two programs; shown are scores, counts and the errors of the strict comparison."""
+    rows = programs(spark, sf).select("doc_id", P.parse_program("gold").alias("g"), P.parse_program(P.extract_program("pred")).alias("p"))
+    s = rows.select("doc_id", C.scores(F.col("g"), F.col("p"), F.array(F.lit("tube"))).alias("s"))
+    told = F.array_join(F.flatten(F.transform("s.details", lambda d: d["errors"])), ";")
+    return s.select("doc_id", "s.sequence", F.round("s.parameters", 6).alias("parameters"), "s.aligned", "s.errors", told.alias("told"))
 
 
 @query("SELECT doc_id, k.key AS key, CASE k.key WHEN 'sample' THEN CASE WHEN s.step = 1 THEN 'raw_var' ELSE 'generated_var' END ELSE 'literal' END AS kind, s.step FROM documents, (VALUES (1), (2), (3)) s(step), (VALUES ('sample'), ('other')) k(key)")

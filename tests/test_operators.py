@@ -340,3 +340,45 @@ def test_reasoning_tags(spark):
     said = ["<step>one  x</step> <STEP>two</STEP><answer>A</answer>", "<reasoning>first\nthen</reasoning><answer>B</answer>", "- a\n- b\n<answer>C</answer>", "<step> </step>Only this. And that.<answer>D</answer>"]
     rows = spark.createDataFrame(list(enumerate(said)), "i int, t string").select("i", A.reasoning_steps(F.col("t")).alias("s")).collect()
     assert {r["i"]: r["s"] for r in rows} == {0: ["one x", "two"], 1: ["first then"], 2: ["a", "b"], 3: ["Only this.", "And that."]}
+
+
+def random_program(rng):
+    names, lines = ["tube", "rack", "x"], []
+    for k in range(rng.randrange(0, 6)):
+        keys = rng.sample(["sample", "volume", "times", "tool"], rng.randrange(0, 4))
+        value = lambda: rng.choice([rng.choice(names), str(rng.choice([1, 5, 5.0, 5.4, 10, -3])), "True", "'s'", "1 + 2", "None"])
+        call = f"{rng.choice(['mix', 'wash', 'heat'])}({', '.join(f'{key}={value()}' for key in keys)})"
+        out = rng.choice([None, f"v{k}", "x"])
+        lines.append(f"{out} = {call}" if out else call)
+        names += [out] if out else []
+    return "\n".join(lines)
+
+
+def test_native_comparison_equals_the_one_by_one(spark):
+    from protomill.operators import compare as C
+
+    rng = random.Random(12)
+    pairs = []
+    for i in range(150):
+        gold = random_program(rng)
+        lines = gold.split("\n")
+        near = "\n".join(x for x in (rng.choice([x, x, x.replace("5", "5.2"), x.replace("mix", "wash")]) for x in lines) if rng.random() < 0.9)
+        pairs.append((i, gold, rng.choice([random_program(rng), near, gold, "no program"])))
+    df = spark.createDataFrame(pairs, "i int, gold string, pred string").repartition(2)
+    parsed = df.select("i", P.parse_program("gold").alias("g"), P.parse_program("pred").alias("p"))
+    got = {r["i"]: r["s"] for r in parsed.select("i", C.scores(F.col("g"), F.col("p"), F.array(F.lit("tube"), F.lit("rack"))).alias("s")).collect()}
+    for i, gold, pred in pairs:
+        want = P.compare(P._parsed(gold) or [], P._parsed(pred) or [], {"tube", "rack"})
+        assert {k: round(got[i][k], 9) for k in want} == {k: round(v, 9) for k, v in want.items()}, (gold, pred)
+        assert len([d for d in got[i]["details"] if d["errors"]]) == want["errors"] and sum(d["matched"] for d in got[i]["relaxed_details"]) == want["matched"]
+
+
+def test_details_of_a_comparison(spark):
+    from protomill.operators import compare as C
+
+    gold = "a = mix(sample=tube, times=3)\nb = wash(sample=a, tool='x')\nheat(sample=b)"
+    pred = "q = mix(sample=tube, times=4)\nr = wash(sample=q, tool='y')\n"
+    df = spark.createDataFrame([(gold, pred)], "g string, p string").select(P.parse_program("g").alias("g"), P.parse_program("p").alias("p"))
+    s = df.select(C.scores(F.col("g"), F.col("p"), F.array(F.lit("tube"))).alias("s")).first()["s"]
+    assert [(d["step"], d["errors"]) for d in s["details"]] == [(1, ["times:value:3!=4"]), (2, ["sample:generated_ref:a!=q", "tool:value:x!=y"]), (3, ["missing_step"])]
+    assert [(d["status"], d["matched"], d["total"]) for d in s["relaxed_details"]] == [("aligned", 1, 2), ("aligned", 1, 2), ("missing_step", 0, 1)]
