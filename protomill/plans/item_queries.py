@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from protomill.functions import fixed_values as V
 from protomill.functions import programs as P
 from protomill.functions import text as X
 from protomill.operators import items as I
@@ -110,12 +111,16 @@ def f12_task_validator(spark: SparkSession, sf: str) -> DataFrame:
     return I.task_failures(rows).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query()
-def o4_difficulty_order(spark: SparkSession, sf: str) -> DataFrame:
-    from protomill.functions.fixed_values import MATCH_GROUPS
+_GROUPS = "[" + ", ".join(f"'{g}'" for g in V.MATCH_GROUPS) + f"][p_partkey % {len(V.MATCH_GROUPS)} + 1]"
+_ONE_OF = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
-    rows = spark.createDataFrame([(g,) for g in MATCH_GROUPS], "group_id string")
-    return rows.select("group_id", I.difficulty(F.col("group_id")).alias("rank")).orderBy("rank", F.xxhash64("group_id", F.lit(7)))
+
+@query(f"SELECT p_partkey, g AS group_id, CASE WHEN g IN {_ONE_OF(V.ACTIVE_DEVICES)} THEN 0 WHEN g IN {_ONE_OF(V.PASSIVE_CONTAINERS)} THEN 2 ELSE 1 END AS rank FROM (SELECT p_partkey, {_GROUPS} AS g FROM part)")
+def o4_difficulty_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Each part with one of the groups, active devices first and passive containers last, in a seeded order within."""
+    group = F.element_at(F.array(*[F.lit(g) for g in V.MATCH_GROUPS]), (F.col("p_partkey") % len(V.MATCH_GROUPS) + 1).cast("int"))
+    rows = table(spark, sf, "part").select("p_partkey", group.alias("group_id"))
+    return rows.select("p_partkey", "group_id", I.difficulty(F.col("group_id")).alias("rank")).orderBy("rank", F.xxhash64("p_partkey", F.lit(7)))
 
 
 _PAIRS = "p AS (SELECT DISTINCT e, doc_id FROM (SELECT source AS e, doc_id FROM documents UNION ALL SELECT lang, doc_id FROM documents))"
@@ -138,9 +143,14 @@ def o6_some_views(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.array_join(chosen, ",").alias("views"))
 
 
-@query()
+@query(
+    "WITH n AS (SELECT count(*) AS n, greatest(1, CAST(round(count(*) * 0.2) AS BIGINT)) AS quota FROM documents), "
+    "l AS (SELECT chr(65 + CAST(k AS INT)) AS letter, CASE WHEN k = 9 THEN quota ELSE (n - quota - k + 8) // 9 END AS items FROM n, range(10) r(k)) SELECT letter, items FROM l WHERE items > 0"
+)
 def o7_quota_letters(spark: SparkSession, sf: str) -> DataFrame:
-    return I.quota_letters(table(spark, sf, "documents").select("doc_id"), "doc_id", seed=97)
+    """How many documents get each letter: a fifth the last one, the others in turn."""
+    dealt = I.quota_letters(table(spark, sf, "documents").select("doc_id"), "doc_id", seed=97)
+    return dealt.groupBy("letter").agg(F.count("*").alias("items"))
 
 
 @query("SELECT doc_id, 'Title: ' || source || chr(10) || 'Answer with one letter (' || CASE WHEN lang = 'en' THEN 'English' ELSE 'other' END || ').' || chr(10) || CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 60 THEN rtrim(trim(regexp_replace(text, '\\s+', ' ', 'g'))[1:59]) || '...' ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS prompt FROM documents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,16 +91,45 @@ def j11_optional_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").join(region, "n_regionkey", "left").select("n_name", "r_name")
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f"('{g}', {len(a)})" for g, a in V.MATCH_GROUPS.items())}) t(group_id, aliases)")
+def _key(alias: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", alias.lower()).strip()
+
+
+#: The real groups' normalised aliases as (number of the group, group, alias).
+ALIASES = sorted({(i, g, _key(a)) for i, (g, al) in enumerate(V.MATCH_GROUPS.items()) for a in al})
+_ALIASES = "a(ord, group_id, alias) AS (VALUES " + ", ".join(f"({i}, '{g}', '{a}')" for i, g, a in ALIASES) + ")"
+_PHRASES = "[" + ", ".join(f"'{a}'" for _, _, a in ALIASES) + "]"
+
+
+@query(f"WITH {_ALIASES}, n AS (SELECT ord, group_id, count(*) AS aliases FROM a GROUP BY 1, 2) SELECT p_partkey, group_id, aliases FROM part JOIN n ON p_partkey % {len(V.MATCH_GROUPS)} = ord")
 def s14_match_groups(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(g, list(a)) for g, a in V.MATCH_GROUPS.items()]
-    return spark.createDataFrame(rows, "group_id string, aliases array<string>").select("group_id", F.size("aliases").alias("aliases"))
+    """Each part with one of the groups, and how many aliases that has."""
+    groups = M.alias_table(spark).groupBy("ord", "group_id").agg(F.count("*").alias("aliases"))
+    parts = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % len(V.MATCH_GROUPS)).cast("int").alias("ord"))
+    return parts.join(F.broadcast(groups), "ord").select("p_partkey", "group_id", "aliases")  # a row for each group
+
+
+@query(
+    f"WITH {_ALIASES}, c AS (SELECT doc_id, ' ' || {KEY.format(f"text || CASE WHEN doc_id % 2 = 0 THEN ' ' || {_PHRASES}[doc_id % {len(ALIASES)} + 1] ELSE '' END")} || ' ' AS corpus FROM documents) "
+    "SELECT DISTINCT doc_id, group_id FROM c, a WHERE contains(corpus, ' ' || alias || ' ')"
+)
+def j2_real_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second document ends with an alias of the real groups; all groups that it holds are found."""
+    phrase = F.element_at(F.array(*[F.lit(a) for _, _, a in ALIASES]), (F.col("doc_id") % len(ALIASES) + 1).cast("int"))
+    text = F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), phrase)).otherwise(""))
+    docs = table(spark, sf, "documents").select("doc_id", X.search_key(text).alias("corpus"))
+    return M.match_aliases(docs, M.alias_table(spark), "doc_id", "corpus")
+
+
+_FAMILY = "[" + ", ".join(f"'{f}'" for f in V.FAMILY_ACTIONS) + f"][p_partkey % {len(V.FAMILY_ACTIONS)} + 1]"
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f"('{f}', {i}, '{n}')" for f, names in V.FAMILY_ACTIONS.items() for i, n in enumerate(names))}) t(family, place, action)")
+@query(f"SELECT p_partkey, family, place, action FROM (SELECT p_partkey, {_FAMILY} AS name FROM part) JOIN (VALUES {', '.join(f"('{f}', {i}, '{n}')" for f, names in V.FAMILY_ACTIONS.items() for i, n in enumerate(names))}) t(family, place, action) ON name = family")
 def j10_family_actions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(f, list(names)) for f, names in V.FAMILY_ACTIONS.items()]
-    return spark.createDataFrame(rows, "family string, actions array<string>").select("family", F.posexplode("actions").alias("place", "action"))
+    """Each part with one of the families, and that family's actions in order."""
+    known = F.create_map(*[x for f, names in V.FAMILY_ACTIONS.items() for x in (F.lit(f), F.array(*[F.lit(n) for n in names]))])
+    family = F.element_at(F.array(*[F.lit(f) for f in V.FAMILY_ACTIONS]), (F.col("p_partkey") % len(V.FAMILY_ACTIONS) + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", family.alias("family")).select("p_partkey", "family", F.posexplode(F.try_element_at(known, F.col("family"))).alias("place", "action"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#22') AND p_size % 5 >= 2 AND p_size % 2 = 0")

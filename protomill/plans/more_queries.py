@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from protomill.functions import programs as P
 from protomill.functions import text as X
+from protomill.operators import compare as C
 from protomill.operators import records as R
 from protomill.plans.metric_queries import programs
 from protomill.plans.registry import query, table
@@ -34,8 +35,8 @@ def c20_numeric_literals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = programs(spark, sf).withColumn("found", P.extract_program("pred"))
-    return rows.select("doc_id", P.compare_programs("gold", "found", F.array(F.lit("tube"))).alias("s"))
+    rows = programs(spark, sf).select("doc_id", P.parse_program("gold").alias("g"), P.parse_program(P.extract_program("pred")).alias("p"))
+    return rows.select("doc_id", C.scores(F.col("g"), F.col("p"), F.array(F.lit("tube"))).alias("s"))
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 2 WHEN 4 THEN 0 ELSE 3 END AS aligned FROM documents")

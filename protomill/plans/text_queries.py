@@ -88,6 +88,19 @@ def c6_step_families(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("doc_id", "line_no", F.array_join(X.families(F.col("line"), FAMILIES), ",").alias("families"))
 
 
+#: Steps that hold words of the real families, one of which goes behind each document.
+STEPS = ("Vortex the tube and spin it at 500 x g.", "Wash the pellet; discard what is left.", "Open the lid, then incubate overnight.", "Measure on the nanodrop and collect.", "Nothing of the kind.")
+_STEPPED = "lower(text || ' ' || [" + ", ".join(f"'{t}'" for t in STEPS) + f"][doc_id % {len(STEPS)} + 1])"
+
+
+@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({_STEPPED}, '{V.FAMILY_PATTERNS[f]}') THEN '{f}' END" for f in sorted(V.FAMILY_PATTERNS)) + "], lambda x: x IS NOT NULL), ',') AS families FROM documents")
+def c6_real_families(spark: SparkSession, sf: str) -> DataFrame:
+    """The real families' patterns on documents that end with such a step."""
+    step = F.element_at(F.array(*[F.lit(t) for t in STEPS]), (F.col("doc_id") % len(STEPS) + 1).cast("int"))
+    found = X.families(F.concat("text", F.lit(" "), step), V.FAMILY_PATTERNS)
+    return table(spark, sf, "documents").select("doc_id", F.array_join(found, ",").alias("families"))
+
+
 @query("SELECT page_id, len(regexp_extract_all(html, '[-+]?\\d+(?:\\.\\d+)?')) AS numbers FROM pages")
 def c7_number_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", X.number_mentions(F.col("html")).alias("numbers"))
