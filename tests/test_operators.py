@@ -176,11 +176,10 @@ def test_numeric_literals(spark):
     assert one(spark, P.numeric_literals(F.lit("x=f(a=-5,b=True,c=3)"))) == 4
 
 
-def test_sections_are_balanced():
+def test_sections_are_balanced(spark):
     xml = "<sec><title>A</title>one<sec><title>B</title>two</sec>three</sec><sec><title>A</title>four</sec>"
-    assert E.balanced_sections(xml, "A") == ["one<sec><title>B</title>two</sec>three"]
-    assert len(E.balanced_sections(xml, "A", first_only=False)) == 2
-    assert E.balanced_sections("<sec><title>A</title>open", "A") == []
+    assert one(spark, E.sections(F.lit(xml), "A")) == ["one<sec><title>B</title>two</sec>three", "four"]
+    assert one(spark, E.sections(F.lit("<sec><title>A</title>open"), "A")) == []
 
 
 def test_list_items_and_tables(spark):
@@ -259,10 +258,11 @@ def test_run_counters(spark):
 
 def test_assign_gives_each_entry_its_turns(spark):
     df = spark.createDataFrame([(e, i) for e in "abc" for i in range(3 + ord(e) - 97)], "entry string, item int")
-    got = I.assign(df, "entry", "item", per_entry=4, seed=1).collect()
+    got = I.assign(df, "entry", "item", count=100, seed=1).collect()
     for e in "abc":
         mine = sorted((r["round"], r["item"]) for r in got if r["entry"] == e)
-        assert [m[0] for m in mine] == list(range(1, min(4, 3 + ord(e) - 97) + 1)) and len({m[1] for m in mine}) == len(mine)
+        assert [m[0] for m in mine] == list(range(1, 3 + ord(e) - 97 + 1)) and len({m[1] for m in mine}) == len(mine)
+    assert I.assign(df.limit(0), "entry", "item", count=3).count() == 0
 
 
 def test_some_views_are_drawn_from_those_that_exist(spark):

@@ -65,7 +65,7 @@ def test_bioprot(spark):
         "<sec><title>General notes and troubleshooting</title>" + item("The cells do not grow at all.") + "</sec>"
     )
     row = parsed(spark, "bioprot", body)
-    assert names(row["reagents"])[0] == ("Tris buffer solution", "Acme", "T100") and names(row["reagents"])[1][1:] == ("Vend Co", "BS-22")
+    assert names(row["reagents"])[0] == ("Tris buffer solution", "Acme", "T100") and names(row["reagents"])[-1][1:] == ("Vend Co", "BS-22")
     assert devices(row) == [("Bench centrifuge of any kind", "Spin Co", "C5")]
     assert steps(row) == [("1", "Thaw the cells in a bath.", "A. Cell Culture"), ("2", "Spin them down.", "A. Cell Culture"), ("1", "Add the Blocking serum (Vend Co, BS-22).", "B. Lysis")]
     assert row["troubleshooting"] == [{"problem": "The cells do not grow at all.", "solution": ""}]
@@ -143,7 +143,7 @@ def test_f1000_lists_and_prose(spark):
         "<sec><title>Methods</title><sec><title>Prep</title><p>Warm all buffers to room temperature.</p><p>short</p><p>Label every tube on its side.</p></sec><sec><title>Run</title><p>Load the gel and run it for an hour.</p></sec></sec>"
     )
     row = parsed(spark, "f1000", body)
-    assert names(row["reagents"])[:2] == [("Agarose powder", "", ""), ("Ethanol at seventy percent", "", "")]
+    assert names(row["reagents"])[:2] == [("Agarose powder", "Acme", "A100"), ("Ethanol at seventy percent", "", "")]
     assert devices(row) == [("Heating block with a lid", "", "")]
     assert steps(row) == [("1", "Warm all buffers to room temperature.", "Prep"), ("2", "Label every tube on its side.", "Prep")]
 
