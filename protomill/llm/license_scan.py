@@ -153,9 +153,10 @@ class Template:
         return len(self.words) - apart.bit_count()
 
 
-def best_window(words: list[str], where: dict[str, list[int]], template: list[str], threshold: float, density: float = DENSITY) -> tuple[float, int, int]:
+def best_window(words: list[str], where: dict[str, list[int]], template: list[str] | Template, threshold: float, density: float = DENSITY) -> tuple[float, int, int]:
     """(coverage, first word, last word) of the window that aligns best, (0, -1, -1) if none holds the template."""
-    size, its = len(template), Template(template)
+    its = template if isinstance(template, Template) else Template(template)
+    template, size = its.words, len(its.words)
     best = (0.0, -1, -1)
     needed = max(1, -int(-threshold * size // 1))  # aligned words at the threshold
     if not size or sum(min(n, len(where.get(w, ()))) for w, n in its.counts.items()) < needed:
@@ -186,19 +187,18 @@ def best_window(words: list[str], where: dict[str, list[int]], template: list[st
     return best
 
 
-def scan(text: str, templates: dict[str, list[str]], threshold: float) -> tuple[str | None, float, int, int, list[str]]:
+def scan(text: str, templates: dict[str, list[str] | Template], threshold: float) -> tuple[str | None, float, int, int, list[str]]:
     """(license, coverage, first word, last word) of the best template of a whole text, and the names of all that reach the threshold, best first."""
-    wanted = {w for t in templates.values() for w in t}
+    templates = {name: t if isinstance(t, Template) else Template(t) for name, t in templates.items()}
     words = words_of(text) if text else []
     where: dict[str, list[int]] = {}
     for i, w in enumerate(words):
-        if w in wanted:
-            where.setdefault(w, []).append(i)
+        where.setdefault(w, []).append(i)
     found = []
     for name, template in templates.items():
         coverage, first, last = best_window(words, where, template, threshold) if where else (0.0, -1, -1)
         if coverage:
-            found.append((-coverage, -len(template), name, first, last))
+            found.append((-coverage, -len(template.words), name, first, last))
     found.sort()
     if not found:
         return None, 0.0, -1, -1, []
@@ -213,7 +213,7 @@ def scan_licenses(
 
     A kept column with the name of a new one is replaced.
     """
-    tokens = {name: words_of(t) for name, t in sorted((templates or read_templates()).items())}
+    tokens = {name: Template(words_of(t)) for name, t in sorted((templates or read_templates()).items())}
 
     def make() -> Callable[[list[str]], list[list]]:
         def work(texts: list[str]) -> list[list]:
