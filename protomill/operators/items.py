@@ -291,25 +291,36 @@ def task_failures(tasks: DataFrame, hard: bool = False) -> DataFrame:
     return tasks.withColumn("reasons", reasons(**tests))
 
 
-def generate(items: DataFrame, prompt_col: str, model, validate, tries: int = 3) -> DataFrame:
+def generate(items: DataFrame, prompt_col: str, model, validate, tries: int = 3, solved=None, rounds: int = 1, advice: dict[str, str] | None = None) -> DataFrame:
     """``items`` with result and error: a model's reply is validated, and a refusal's reason is added to the next prompt.
 
-    ``model`` maps a prompt to a reply, ``validate`` a reply to None or a reason.
+    ``model`` maps a prompt to a reply, ``validate`` a reply to None or a reason.  ``solved`` tells whether a solver answers a valid reply correctly; one
+    that it answers in any of ``rounds`` is too easy and is refused as well.  ``advice`` maps a part of a reason to what is said after it.  A null prompt isn't sent.
     """
     schema = ", ".join(f"`{n}` {t}" for n, t in items.dtypes) + ", result string, error string, tries int"
 
-    def one(prompt: str) -> tuple[str | None, str | None, int]:
+    def refusal(reply: str) -> str | None:
+        reason = validate(reply)
+        if reason is None and solved is not None:
+            n = next((n for n in range(1, rounds + 1) if solved(reply)), None)
+            return n and f"it was solved (round {n} of {rounds})"
+        return reason
+
+    def one(prompt: str | None) -> tuple[str | None, str | None, int]:
+        if not isinstance(prompt, str):
+            return None, "no prompt", 0
         said = prompt
         reason = "no try"
         for n in range(1, tries + 1):
             try:
                 reply = model(said)
-                reason = validate(reply)
+                reason = refusal(reply)
             except Exception as e:  # noqa: BLE001  any failure of a call or of a check is a refusal
                 reply, reason = None, f"{type(e).__name__}: {e}"
             if reason is None:
                 return reply, None, n
-            said = f"{prompt}\nThe last reply was refused: {reason}"
+            hints = "".join(f" {text}" for part, text in (advice or {}).items() if part in reason)
+            said = f"{prompt}\nThe last reply was refused: {reason}{hints}"
         return None, reason, tries
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from protomill.plans import item_queries, match_queries, metric_queries, more_queries, parser_queries, record_queries, step_queries, text_queries  # noqa: F401  they register their queries
+from protomill.plans import item_queries, match_queries, metric_queries, more_queries, parser_queries, question_queries, record_queries, step_queries, text_queries  # noqa: F401  they register their queries
 from protomill.plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP = "select_windows"
