@@ -116,31 +116,41 @@ def some_views(views: Column, preferred: list[str], seed: int = 0, k: int = 3) -
 
 def stem_failures(question: Column, identity: Column, cues: list[str]) -> Column:
     """Why a question's stem is refused: it names the asset, hints at its function, or lacks numbers or sequence."""
-    key = X.search_key(question, fold_micro=False)
     numbers = F.regexp_extract_all(question, F.lit(r"\b(\d+(?:\.\d+)?(?:[–-]\d+(?:\.\d+)?)?)\b"), F.lit(1))
-    some = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(key, w))
-    return reasons(
-        leaks_identity=F.exists(identity, lambda t: (t != "") & F.contains(key, t)),
-        leaks_function=some(cues),
-        few_numbers=F.size(numbers) < 2,
-        no_sequence=~some(V.SEQUENCE_CUES),
-    )
+
+    def told(key: Column) -> Column:
+        return reasons(
+            leaks_identity=F.exists(identity, lambda t: (t != "") & F.contains(key, t)),
+            leaks_function=_any_of(key, cues),
+            few_numbers=F.size(numbers) < 2,
+            no_sequence=~_any_of(key, V.SEQUENCE_CUES),
+        )
+
+    return X.let(X.search_key(question, fold_micro=False), told)
+
+
+def _any_of(key: Column, words: tuple[str, ...] | list[str]) -> Column:
+    """Whether a text holds any of the words; without lambdas, in which the text would be made anew for each word."""
+    return F.coalesce(*[F.when(F.contains(key, F.lit(w)), F.lit(True)) for w in words], F.lit(False))
 
 
 def option_failures(letter: Column, option: Column, function: Column, context: Column, group: Column) -> Column:
     """Why an option's text is refused."""
-    key = X.search_key(option, fold_micro=False)
     last = letter == "J"
     none = F.trim(option) == "none_of_the_above()"
-    off = F.exists(F.array(*[F.lit(t) for t in V.SUSPICIOUS_TOKENS]), lambda t: F.contains(key, t) & ~F.contains(context, t))
-    return reasons(
-        last_is_not_none=last & ~none,
-        none_elsewhere=~last & (function == "none_of_the_above"),
-        zero_argument=~last & option.rlike(V.ZERO_ARGUMENT),
-        off_context=~last & off,
-        magnetic_holder=~last & group.isin(*V.PASSIVE_HOLDERS) & F.contains(key, F.lit("magnetic")) & ~F.contains(context, F.lit("magnetic")),
-        rack_as_tool=~last & (group == "pipette_rack") & function.rlike("aspirat|dispens|aliquot|transfer"),
-    )
+
+    def told(key: Column) -> Column:
+        off = F.coalesce(*[F.when(F.contains(key, F.lit(t)) & ~F.contains(context, F.lit(t)), F.lit(True)) for t in V.SUSPICIOUS_TOKENS], F.lit(False))
+        return reasons(
+            last_is_not_none=last & ~none,
+            none_elsewhere=~last & (function == "none_of_the_above"),
+            zero_argument=~last & option.rlike(V.ZERO_ARGUMENT),
+            off_context=~last & off,
+            magnetic_holder=~last & group.isin(*V.PASSIVE_HOLDERS) & F.contains(key, F.lit("magnetic")) & ~F.contains(context, F.lit("magnetic")),
+            rack_as_tool=~last & (group == "pipette_rack") & function.rlike("aspirat|dispens|aliquot|transfer"),
+        )
+
+    return X.let(X.search_key(option, fold_micro=False), told)
 
 
 @F.pandas_udf(T.StructType([T.StructField("function", T.StringType()), T.StructField("arguments", T.MapType(T.StringType(), T.StringType()))]))

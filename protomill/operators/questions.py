@@ -26,8 +26,13 @@ def _call(text: str | None) -> dict | None:
         return None
     if not isinstance(call, ast.Call) or not isinstance(call.func, ast.Name):
         return None
-    number = lambda node: any(isinstance(n, ast.Constant) and isinstance(n.value, (int, float)) for n in ast.walk(node))
-    return {"function": call.func.id, "arguments": {k.arg or "": {"value": ast.unparse(k.value), "number": number(k.value)} for k in call.keywords}}
+    return {"function": call.func.id, "arguments": {k.arg or "": _argument(k.value) for k in call.keywords}}
+
+
+def _argument(node: ast.expr) -> dict:
+    constants = [node] if isinstance(node, ast.Constant) else [n for n in ast.walk(node) if isinstance(n, ast.Constant)]
+    number = any(isinstance(n.value, (int, float)) for n in constants)
+    return {"value": repr(node.value) if constants == [node] else ast.unparse(node), "number": number}
 
 
 @F.pandas_udf(T.ArrayType(_CALL))

@@ -87,13 +87,13 @@ def g1_question_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _word(prompt: str) -> str:
-    """A stub model: the text's first word, and its second once it was refused."""
-    words = prompt.split(" ")
-    return words[1 if "The last reply was refused" in prompt else 0]
+    """A stub model: the text's first word, and its second (if there is one) once it was refused."""
+    text, refused, _ = prompt.partition("\nThe last reply was refused")
+    return text.split(" ")[:2][-1 if refused else 0]
 
 
 @query(
-    "WITH w AS (SELECT doc_id, string_split(text, ' ')[1] AS a, string_split(text, ' ')[2] AS b FROM documents) "
+    "WITH w AS (SELECT doc_id, string_split(text, ' ')[1] AS a, coalesce(string_split(text, ' ')[2], string_split(text, ' ')[1]) AS b FROM documents) "
     "SELECT doc_id, CASE WHEN length(a) > 4 THEN a WHEN length(b) > 4 THEN b END AS result, CASE WHEN length(a) > 4 OR length(b) > 4 THEN NULL ELSE 'it was solved (round 1 of 2)' END AS error, "
     "CASE WHEN length(a) > 4 THEN 1 ELSE 2 END AS tries FROM w"
 )
