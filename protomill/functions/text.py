@@ -146,7 +146,7 @@ def numbers_agree(a: Column, b: Column, relative: float = 0.1, absolute: float =
 
 
 def data_url(content: Column, path: Column) -> Column:
-    """``data:`` URL of a file's bytes, by suffix; null for other suffixes."""
+    """``data:`` URL of a file's bytes, by suffix; null for other suffixes.  base64() breaks lines after 76 characters, which a URL must not."""
     suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))
     kind = F.when(suffix == "png", "image/png").when(suffix.isin("jpg", "jpeg"), "image/jpeg").when(suffix == "webp", "image/webp")
-    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import random
 
 import pytest
@@ -40,6 +41,13 @@ def test_compact(spark):
     assert one(spark, X.compact(F.lit("abcdefghijkl"), 10, exact=True)) == "abcdefg..."
 
 
+@pytest.mark.parametrize("size", [0, 57, 58, 500])
+def test_data_url_is_one_line(spark, size):
+    content = bytes(i % 251 for i in range(size))
+    assert one(spark, X.data_url(F.lit(bytearray(content)), F.lit("a.PNG"))) == "data:image/png;base64," + base64.b64encode(content).decode()
+    assert one(spark, X.data_url(F.lit(bytearray(content)), F.lit("a.gif"))) is None
+
+
 def test_qc_score(spark):
     yes, no = F.lit(True), F.lit(False)
     assert one(spark, X.qc_score(F.lit(10), F.lit(3), F.lit(20), yes, no, yes)) == 0.95
