@@ -12,8 +12,8 @@ from protomill.llm import quality_classifier, sentencepiece_codec, simhash_dedup
 from protomill.llm.common import numbered, read_table, stored
 from protomill.llm.queries import SOURCE_WEIGHTS, vocabulary
 
-#: Near duplicates have a Jaccard similarity of 0.8 or more between their sets of five-word shingles, which is counted exactly.  SimHash bits only
-#: tell which candidates are compared: a pair at 0.8 differs in a bit with probability 0.1875 at most (4 of 5 shingles; 0.161 from 12 shingles on, 0.152 for long
+#: Near duplicates have a Jaccard similarity of 0.8 or more between their sets of five-word shingles, which is counted exactly.  Candidates come from the
+#: vantage-point tree over SimHash fingerprints and, beyond its bits, from shared minima.  SimHash bits also tell which candidates are compared: a pair at 0.8 differs in a bit with probability 0.1875 at most (4 of 5 shingles; 0.161 from 12 shingles on, 0.152 for long
 #: texts), so the bounds are the mean and four standard deviations of 64 bits (12 + 4 x 3.12) and of four lanes' 256 (48 + 4 x 6.24), rounded up.
 FIRST_LANE_BITS, ALL_LANES_BITS, LANES, SIMILARITY = 25, 73, 4, 0.8
 #: Files of a stored table whose first places are broadcast (about 10 MB).

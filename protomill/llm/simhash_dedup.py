@@ -17,11 +17,12 @@ pairs, so a group of thousands of near copies costs as many rows as it has membe
 alternating large-star and small-star rounds on tables in the shared folder.  No fingerprints (but for the sample), links or
 components reach the driver.
 
-Exact similarity.  ``shingle_components`` links texts by the Jaccard similarity of their sets of shingles.  Fingerprints of texts at 0.8 differ in so
-many bits (25 of 64 must be allowed) that no vantage point's bounds prune anything: distances between unrelated texts all lie within that of half the
-bits, and a tree would compare all pairs.  There the shards are dealt by minima instead: a text goes to one shard for each of ``BANDS`` bands of
-``BAND_ROWS`` minima of its shingles' hashes, so a pair at similarity s shares none with probability (1 - s ** BAND_ROWS) ** BANDS (2.7e-5 at 0.8).  Rows with
-equal sets are one node; nodes that share a shard join into candidate components, and only nodes of the same one can be linked.  The shingle hashes
+Exact similarity.  ``shingle_components`` links texts by the Jaccard similarity of their sets of shingles.  Rows with equal sets are one node.  The tree search
+above gives the candidates within ``TREE_BITS`` of the first lane, whatever their minima.  Fingerprints of texts at 0.8 may differ in more (25 of 64 must be
+allowed), and there no vantage point's bounds prune anything: distances between unrelated texts all lie within that of half the bits, and a
+tree would compare all pairs.  So the candidates beyond come from minima: a text goes to one shard for each of ``BANDS`` bands of
+``BAND_ROWS`` minima of its shingles' hashes, so a pair at similarity s shares none with probability (1 - s ** BAND_ROWS) ** BANDS (2.7e-5 at 0.8).  Nodes that
+the tree links or that share a shard join into candidate components, and only nodes of the same one can be linked.  The shingle hashes
 of a component's nodes are joined to them and met once, a pair of blocks of the component in each task (many small components share one).
 A pair is compared if its SimHash fingerprints differ in few enough bits, and linked if the exact similarity of its sets reaches the bound.
 Nodes without any candidate ship no shingles.
@@ -50,6 +51,8 @@ LEAF_NODES = 2048
 MAX_LEAVES = 1024
 #: Nodes and shingles of a block of a candidate component, about.
 BLOCK_NODES, BLOCK_SHINGLES = 2048, 1 << 20
+#: Differing bits up to which the tree finds the candidates for an exact similarity.
+TREE_BITS = 4
 #: Bands of minima that deal sets of shingles to shards, and the minima of each.
 BANDS, BAND_ROWS = 20, 4
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -317,6 +320,13 @@ def shared_bands(nodes: DataFrame) -> DataFrame:
     return dealt.join(shards, "key").where("n <> b").select(F.col("n").alias("a"), "b").distinct()
 
 
+def tree_candidates(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Edges (a, b) that connect the nodes (n, f0) whose fingerprints differ in ``max_bits`` at most: the tree meets one node of each fingerprint."""
+    prints = stored(nodes.groupBy("f0").agg(F.min("n").alias("n")), "tree")
+    equal = nodes.select("f0", F.col("n").alias("a")).join(prints.select("f0", F.col("n").alias("b")), "f0").where("a <> b").select("a", "b")
+    return links(prints, max_bits).unionByName(equal)
+
+
 def shingle_classes(
     docs: DataFrame,
     max_bits: int,
@@ -332,10 +342,10 @@ def shingle_classes(
     """
     prints = stored(fingerprints(docs, [c for c in docs.columns if c != "text"], words, lanes, distinct=True), "prints")
     names = [f"f{i}" for i in range(lanes)]
-    firsts = [F.first(c).alias(c) for c in ("shingles", "bands")]  # the same in all rows of a node
+    firsts = [F.first(c).alias(c) for c in ("f0", "shingles", "bands")]  # the same in all rows of a node
     row = F.min(F.struct(F.col("__id").isNull().alias("none"), "__d", "__k")).alias("__row")
     nodes = stored(prints.groupBy("n").agg(F.min("__id").alias("least"), row, *firsts), "nodes")
-    candidates = connected(shared_bands(nodes))
+    candidates = connected(tree_candidates(nodes, TREE_BITS).unionByName(shared_bands(nodes)))
     candidates = candidates.union(candidates.select(F.col("root").alias("node"), "root")).distinct()
     placed = nodes.select("n", "shingles", "__row.__d", "__row.__k").join(candidates.withColumnRenamed("node", "n"), "n")
     roots = connected(exact_links(docs, stored(placed, "placed"), words, lanes, max_bits, all_bits, similarity))

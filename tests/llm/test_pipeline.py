@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -98,6 +99,23 @@ def test_near_duplicates_are_those_of_exact_similarity(spark, monkeypatch, block
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
 
 
+def test_near_duplicates_come_from_the_tree(spark, monkeypatch):
+    """Without minima, the tree alone finds copies of few differing bits, also those with equal fingerprints and other sets."""
+    monkeypatch.setattr(simhash_dedup, "shared_bands", lambda nodes: nodes.select(nodes["n"].alias("a"), nodes["n"].alias("b")).limit(0))
+    rng = random.Random(29)
+    rows = []
+    for i in range(0, 300, 3):
+        words = prose(rng, 600).split()
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words, "more"])), (i + 2, " ".join(words[:598]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one = {i: simhash_dedup.fingerprint(np.unique(simhash_dedup.shingle_hashes(t, 5)))[0] for i, t in rows}
+    apart = lambda a, b: ((one[a] ^ one[b]) & (1 << 64) - 1).bit_count()
+    near = [i for i, _ in rows if i % 3 == 0 and max(apart(i, i + 1), apart(i, i + 2)) <= simhash_dedup.TREE_BITS]
+    assert len(near) > 80 and any(one[i] == one[i + 1] for i in near)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept >= {i for i, _ in rows if i % 3 == 0} and not kept & {i + k for i in near for k in (1, 2)}
+
+
 def test_rows_that_repeat_or_share_an_id_lose_no_text(spark, tmp_path):
     """Two equal rows under an id, two without an id, one text under two ids, and another text under one of these."""
     rng = random.Random(23)
