@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,6 +204,7 @@ def trio_failures(options: DataFrame, id_col: str) -> DataFrame:
     )
 
 
+@lru_cache(1 << 12)
 def moved(text: str, n: int) -> str:
     """A call whose first number is moved by the n-th step, down and up in turn but never to zero or below; unchanged if it has none."""
     try:
@@ -219,58 +222,90 @@ def moved(text: str, n: int) -> str:
     return text
 
 
-def one_number_apart(gold: str, other: str) -> bool:
-    """Whether two calls have one function and the same keywords, and differ in the value of one of them, a number in both."""
+@lru_cache(1 << 12)
+def _call_parts(text: str) -> tuple[str, dict] | None:
+    """A call's function and the texts of its keywords' values; None if it isn't one."""
     try:
-        a, b = (ast.parse(x.strip(), mode="eval").body for x in (gold, other))
+        call = ast.parse(text.strip(), mode="eval").body
     except (SyntaxError, ValueError):
+        return None
+    return (ast.dump(call.func), {k.arg: ast.unparse(k.value) for k in call.keywords}) if isinstance(call, ast.Call) else None
+
+
+def one_number_apart(gold: str, other: str) -> bool:
+    """Whether two calls have one function and the same keywords, and differ in the value of one of them, a number in both."""
+    a, b = _call_parts(gold), _call_parts(other)
+    if a is None or b is None or a[0] != b[0]:
         return False
-    if not (isinstance(a, ast.Call) and isinstance(b, ast.Call)) or ast.dump(a.func) != ast.dump(b.func):
-        return False
-    mine, theirs = ({k.arg: ast.unparse(k.value) for k in c.keywords} for c in (a, b))
+    mine, theirs = a[1], b[1]
     changed = [k for k in mine if mine[k] != theirs.get(k)]
     return mine.keys() == theirs.keys() and len(changed) == 1 and all(any(c.isdigit() for c in v[changed[0]]) for v in (mine, theirs))
 
 
-def repair_family(options: DataFrame, id_col: str, tries: int = 12) -> DataFrame:
-    """Wrong members of the answer's trio become the right call with its first number moved, unless they are one number apart from it already.
+def _repaired(options: DataFrame, id_col: str, fix: Callable[..., list], inputs: list[str], needed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``options`` with the texts that ``fix`` gives for an item's columns ``inputs``, lists in the order of letters.
 
-    Each takes the first step whose text no other option has; a member stays as it is if the right call has no number.  Rows are (id, letter, option,
-    answer), ten for an item, so an item is a small group.
+    An item has ten options at most, so its rows become one row of arrays; Python sees a batch of items at a time, and of these only the texts
+    that are ``needed``.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("letter")
-        texts = dict(zip(pdf["letter"], pdf["option"].fillna(""), strict=True))
-        answer = pdf["answer"].iloc[0]
-        trio = next((t for t in TRIOS if isinstance(answer, str) and len(answer) == 1 and answer in t), "")
-        gold = texts.get(answer, "")
-        for letter in trio:
-            if letter == answer or letter not in texts or one_number_apart(gold, texts[letter]):
-                continue
-            taken = {t for k, t in texts.items() if k != letter}
-            texts[letter] = next((t for t in (moved(gold, n) for n in range(tries)) if t not in taken), texts[letter])
-        return pdf.assign(option=[texts[k] if isinstance(o, str) or texts[k] else None for k, o in zip(pdf["letter"], pdf["option"], strict=True)])
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def fixed(*columns: pa.Array) -> pa.Array:
+        items = zip(*(c.to_pylist() for c in columns), strict=True)
+        return pa.array([None if x[0] is None else fix(*x) for x in items], pa.list_(pa.string()))
 
-    return options.groupBy(id_col).applyInPandas(run, options.schema)
+    items = options.groupBy(F.col(f"`{id_col}`").alias("__id")).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in options.columns])).alias("__rows"))
+    column = lambda c: F.transform("__rows", lambda r: r[c])
+    asked = [F.when(needed(column("option")), column(c)) if needed else column(c) for c in inputs]
+    each = items.select("__rows", fixed(*asked).alias("__new")).select(F.posexplode("__rows").alias("__at", "__row"), "__new")
+    new = F.when(F.col("__new").isNull(), F.col("__row.option")).otherwise(F.get("__new", F.col("__at")))
+    return each.select(*[(new if c == "option" else F.col(f"__row.`{c}`")).alias(c) for c in options.columns])
 
 
-def repair_repeats(options: DataFrame, id_col: str, tries: int = 5) -> DataFrame:
-    """Options whose text repeats an earlier one get the first number moved by a step, until it is new.
+def _by_letter(letters: list[str | None]) -> list[int]:
+    """Places in the order of letters, none last."""
+    return sorted(range(len(letters)), key=lambda i: (letters[i] is None, letters[i] or ""))
 
-    An item has ten options at most, so its rows are a small group.
+
+def family_texts(letters: list[str | None], texts: list[str | None], answers: list[str | None], tries: int = 12) -> list[str | None]:
+    """An item's options after ``repair_family``."""
+    order = _by_letter(letters)
+    by_letter = {letters[i]: texts[i] or "" for i in order}
+    answer = answers[order[0]]
+    trio = next((t for t in TRIOS if isinstance(answer, str) and len(answer) == 1 and answer in t), "")
+    gold = by_letter.get(answer, "")
+    for letter in trio:
+        if letter == answer or letter not in by_letter or one_number_apart(gold, by_letter[letter]):
+            continue
+        taken = {t for k, t in by_letter.items() if k != letter}
+        by_letter[letter] = next((t for t in (moved(gold, n) for n in range(tries)) if t not in taken), by_letter[letter])
+    return [by_letter[k] if isinstance(o, str) or by_letter[k] else None for k, o in zip(letters, texts, strict=True)]
+
+
+def repair_family(options: DataFrame, id_col: str, tries: int = 12) -> DataFrame:
+    """Wrong members of the answer's trio become the right call with its first number moved, unless they are one number apart from it already.
+
+    Each takes the first step whose text no other option has; a member stays as it is if the right call has no number.  Rows are (id, letter, option,
+    answer), ten for an item.
     """
+    return _repaired(options, id_col, partial(family_texts, tries=tries), ["letter", "option", "answer"])
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        fixed = []
-        for text in pdf.sort_values("letter")["option"]:
-            new = next((t for t in (text, *(moved(text, n) for n in range(tries))) if t not in seen), text)
-            seen.add(new)
-            fixed.append(new)
-        return pdf.sort_values("letter").assign(option=fixed)
+def distinct_texts(letters: list[str | None], texts: list[str | None], tries: int = 5) -> list[str | None]:
+    """An item's options after ``repair_repeats``."""
+    seen: set[str | None] = set()
+    fixed = list(texts)
+    for i in _by_letter(letters):
+        steps = () if texts[i] is None else (moved(texts[i], n) for n in range(tries))
+        fixed[i] = next((t for t in (texts[i], *steps) if t not in seen), texts[i])
+        seen.add(fixed[i])
+    return fixed
 
-    return options.groupBy(id_col).applyInPandas(run, options.schema)
+
+def repair_repeats(options: DataFrame, id_col: str, tries: int = 5) -> DataFrame:
+    """Options whose text repeats an earlier one get the first number moved by a step, until it is new; items without a repeat stay in Spark."""
+    repeats = lambda texts: F.size(F.array_distinct(texts)) < F.size(texts)
+    return _repaired(options, id_col, partial(distinct_texts, tries=tries), ["letter", "option"], repeats)
 
 
 def task_failures(tasks: DataFrame, hard: bool = False) -> DataFrame:

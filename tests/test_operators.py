@@ -238,6 +238,22 @@ def test_repair_family(spark):
     assert I.repair_family(df.where("id > 9"), "id").count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_repair_repeats(spark):
+    """Other columns stay, null texts and items of one option too; items are not groups of a Python task."""
+    rows = [(1, k, o, {"k": k}) for k, o in zip("DCBA", ["f(n=1)", "f(n=1)", "f(n=2)", "f(n=1)"], strict=True)]
+    rows += [(2, "A", "f()", None), (2, "B", "f()", None), (3, "A", None, None), (3, None, None, None), (None, "A", "x", None), (None, "B", "x 1", None)]
+    df = spark.createDataFrame(rows, "id int, letter string, option string, more map<string,string>")
+    fixed = I.repair_repeats(df, "id")
+    assert fixed.schema.simpleString() == df.schema.simpleString() and "FlatMapGroupsInPandas" not in plan_of(fixed)
+    got = {(r["id"], r["letter"]): (r["option"], r["more"]) for r in fixed.collect()}
+    assert [got[1, k] for k in "ABCD"] == [("f(n=1)", {"k": "A"}), ("f(n=2)", {"k": "B"}), ("f(n=3)", {"k": "C"}), ("f(n=4)", {"k": "D"})]
+    assert [got[i][0] for i in ((2, "A"), (2, "B"), (3, "A"), (3, None), (None, "A"), (None, "B"))] == ["f()", "f()", None, None, "x", "x 1"]
+
+
 def test_groups_of_equals_the_join(spark):
     texts = ["use 10 mL tubes", "use 10-mL tube.", "110 ml tube", "a 1.5 ml screw cap tube here", "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", X.search_key(F.col("t")).alias("c"))
