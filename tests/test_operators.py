@@ -254,6 +254,21 @@ def test_repair_repeats(spark):
     assert [got[i][0] for i in ((2, "A"), (2, "B"), (3, "A"), (3, None), (None, "A"), (None, "B"))] == ["f()", "f()", None, None, "x", "x 1"]
 
 
+def test_repair_family_takes_batches_of_items(spark):
+    rows = [(i, k, f"f(n={i % 3 + 2})", answer) for i, answer in enumerate(["A", "C", "E", "J", "", None] * 5) for k in "CBADEJ"]
+    df = spark.createDataFrame(rows, "id int, letter string, option string, answer string")
+    fixed = I.repair_family(df, "id")
+    assert "FlatMapGroupsInPandas" not in plan_of(fixed)
+    want = {}
+    for i, answer in enumerate(["A", "C", "E", "J", "", None] * 5):
+        gold = f"f(n={i % 3 + 2})"
+        texts = dict.fromkeys("ABCDEJ", gold)
+        for k in {"A": "BC", "C": "AB", "E": "D"}.get(answer, ""):
+            texts[k] = next(t for t in (I.moved(gold, n) for n in range(12)) if t not in [o for x, o in texts.items() if x != k])
+        want |= {(i, k): t for k, t in texts.items()}
+    assert {(r["id"], r["letter"]): r["option"] for r in fixed.collect()} == want
+
+
 def test_groups_of_equals_the_join(spark):
     texts = ["use 10 mL tubes", "use 10-mL tube.", "110 ml tube", "a 1.5 ml screw cap tube here", "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", X.search_key(F.col("t")).alias("c"))
