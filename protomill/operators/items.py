@@ -18,6 +18,8 @@ from protomill.operators.records import reasons
 from protomill.sources.files import shared_folder
 
 TRIOS = ("ABC", "DEF", "GHI")
+#: Bytes of prompts that are Python strings at a time, about.
+PIECE_BYTES = 1 << 20
 
 
 def difficulty(group: Column) -> Column:
@@ -368,9 +370,14 @@ def generate(items: DataFrame, prompt_col: str, model, validate, tries: int = 3,
             said = f"{prompt}\nThe last reply was refused: {reason}{hints}"
         return None, reason, tries
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [one(p) for p in pdf[prompt_col]]
-            yield pdf.assign(result=[f[0] for f in found], error=[f[1] for f in found], tries=[f[2] for f in found])
+    at = items.columns.index(prompt_col)
 
-    return items.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.column(at).nbytes))
+            for piece in (batch.slice(i, size) for i in range(0, batch.num_rows, size)):
+                found = [one(p) for p in piece.column(at).to_pylist()]
+                made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *made], names=[*piece.schema.names, "result", "error", "tries"])
+
+    return items.mapInArrow(run, schema)

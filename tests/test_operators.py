@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,28 @@ def test_repair_family(spark):
     assert I.repair_family(df.where("id > 9"), "id").count() == 0
 
 
+def test_generate_holds_few_prompts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(I, "PIECE_BYTES", 50)
+    df = spark.range(40).repartition(1).select("id", F.when(F.col("id") % 4 > 0, F.concat(F.lit("prompt "), "id")).alias("p"), F.array("id").alias("more"))
+    made = I.generate(df, "p", lambda p: p.upper(), lambda r: None)
+    assert "MapInPandas" not in plan_of(made)
+    want = sorted((i, [i], f"PROMPT {i}" if i % 4 else None, None if i % 4 else "no prompt", min(i % 4, 1)) for i in range(40))
+    assert sorted((r["id"], r["more"], r["result"], r["error"], r["tries"]) for r in made.collect()) == want
+
+
+def test_programs_are_parsed_in_pieces(monkeypatch):
+    held = []
+
+    def one(x):
+        held.append(x)
+        return x and x + x
+
+    monkeypatch.setattr(P, "PIECE_ROWS", 3)
+    values = pa.array(["a", None, "b", "", "c", "d", "e"])
+    assert P.in_pieces(values, one, pa.string()).to_pylist() == ["aa", None, "bb", "", "cc", "dd", "ee"] and len(held) == 7
+    assert len(P.in_pieces(values.slice(7), one, pa.string())) == 0
+
+
 def plan_of(df):
     return df._jdf.queryExecution().toString()
 
