@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from html.entities import name2codepoint
 
@@ -63,10 +64,21 @@ def number_mentions(c: Column) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit(r"([-+]?\d+(?:\.\d+)?)"), F.lit(1)))
 
 
+_PLAIN_WORDS = re.compile(r"(?:\\b)?[a-z][a-z ]*(?:\\b)?(?:\|(?:\\b)?[a-z][a-z ]*(?:\\b)?)*")
+
+
+def guarded(pattern: str) -> str:
+    """A pattern that is found where ``pattern`` is; alternatives of plain words are tried only at their first letters, once for all with a boundary before them."""
+    if not _PLAIN_WORDS.fullmatch(pattern):
+        return pattern
+    words = pattern.split("|")
+    starts = [[w.removeprefix(r"\b") for w in words if w.startswith(r"\b") is bound] for bound in (True, False)]
+    return "|".join(f"(?=[{''.join(sorted({w[0] for w in some}))}]){bound}(?:{'|'.join(some)})" for some, bound in zip(starts, (r"\b", ""), strict=True) if some)
+
+
 def families(c: Column, patterns: dict[str, str]) -> Column:
     """The families whose pattern occurs in the lower-cased text, in the order of the names."""
-    low = F.lower(c)
-    return F.array_compact(F.array(*[F.when(low.rlike(patterns[f]), F.lit(f)) for f in sorted(patterns)]))
+    return let(F.lower(c), lambda low: F.array_compact(F.array(*[F.when(low.rlike(guarded(patterns[f])), F.lit(f)) for f in sorted(patterns)])))
 
 
 def is_generic_step(c: Column, headings: str, shortest: int = 18) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -261,6 +262,17 @@ def test_programs_are_parsed_in_pieces(monkeypatch):
     assert len(P.in_pieces(values.slice(7), one, pa.string())) == 0
 
 
+def test_guarded_patterns_find_the_same():
+    rng = random.Random(3)
+    assert X.guarded("a+b|c") == "a+b|c"
+    for pattern in V.FAMILY_PATTERNS.values():
+        words = pattern.replace(r"\b", "").split("|")
+        assert X.guarded(pattern) != pattern
+        for _ in range(500):
+            text = "".join(rng.choice([*words, " ", "s", "re", "_", "1", "-"]) for _ in range(6))
+            assert bool(re.search(pattern, text)) == bool(re.search(X.guarded(pattern), text))
+
+
 def plan_of(df):
     return df._jdf.queryExecution().toString()
 
